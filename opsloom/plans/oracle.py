@@ -330,7 +330,7 @@ def utilisation_sql() -> str:
         "write_records_pct": ("in_records", 1000),
     }
     shown = ", ".join(
-        f"round(coalesce({value}, 0) / (shards * {limit} * 300) * 100, 2) AS {name}"
+        f"round(coalesce({value}, 0) / (CAST(shards AS BIGINT) * {limit} * 300) * 100, 2) AS {name}"
         for name, (value, limit) in capacity.items()
     )
     return using(
