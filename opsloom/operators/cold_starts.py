@@ -17,7 +17,7 @@ from opsloom.operators.distribution import distribution_stats
 from opsloom.sources.filters import Moment, moment
 from opsloom.sources.metrics import scan_metrics
 
-KEYS = ["region", "function_name", "memory_mb"]
+KEYS = ["region", "function_name", "memory_bytes"]
 
 
 def parse_cold_starts(logs: DataFrame) -> DataFrame:
@@ -31,24 +31,29 @@ def parse_cold_starts(logs: DataFrame) -> DataFrame:
     return logs.where(F.col("message").rlike(COLD_START_FILTER)).select(
         "region",
         F.regexp_extract("log", LOG_FUNCTION_PATTERN, 1).alias("function_name"),
-        (F.col("memory_bytes") / 1000000).alias("memory_mb"),
+        "memory_bytes",
         duration.try_cast("double").alias("duration_ms"),
         init.try_cast("double").alias("init_ms"),
     )
 
 
+def _by_memory(parsed: DataFrame, value: str, exact: bool) -> DataFrame:
+    """Statistics per region, function and memory size; the size is in MB of a million bytes."""
+    stats = distribution_stats(parsed, KEYS, value, value, exact)
+    others = [c for c in stats.columns if c not in (*KEYS, "n")]
+    megabytes = (F.col("memory_bytes") / 1000000).alias("memory_mb")
+    return stats.select("region", "function_name", megabytes, F.col("n").alias("cold_starts"), *others)
+
+
 def cold_start_stats(logs: DataFrame, exact: bool = True) -> DataFrame:
-    """Init duration statistics per region, function and memory size."""
-    stats = distribution_stats(parse_cold_starts(logs), KEYS, "init_ms", "init_ms", exact)
-    return stats.withColumnRenamed("n", "cold_starts")
+    """Init duration statistics."""
+    return _by_memory(parse_cold_starts(logs), "init_ms", exact)
 
 
 def cold_start_total(logs: DataFrame, exact: bool = True) -> DataFrame:
     """Statistics of the whole cold start duration: run duration plus init duration."""
     total = parse_cold_starts(logs).withColumn("total_ms", F.col("duration_ms") + F.col("init_ms"))
-    return distribution_stats(total, KEYS, "total_ms", "total_ms", exact).withColumnRenamed(
-        "n", "cold_starts"
-    )
+    return _by_memory(total, "total_ms", exact)
 
 
 def pc_totals(configs: DataFrame) -> DataFrame:

@@ -76,13 +76,16 @@ def distribution_stats(
     # The first bucket always stays, so that groups without values keep their count.
     picked = ranked.where(wanted | (F.col("_row") == 1)).drop("_row", "_end")
 
-    values = counts.where(F.col("_v").isNotNull()).select(*keys, "_bucket", "_v", "_n")
+    # Null-safe keys keep both readings of the counts the same plan, so that it runs once.
+    right = [*keys, "_bucket"]
+    values = counts.select(*[F.col(c).alias(f"_j{c}") for c in right], "_v", "_n")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_j{c}")) for c in right])
     inside = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    located = picked.join(values, [*keys, "_bucket"], "left").withColumn(
+    located = picked.join(values, same).withColumn(
         "_last", F.col("_start") + F.sum("_n").over(inside)
     )
     holds = lambda r: F.max(F.when((r >= F.col("_last") - F.col("_n")) & (r < F.col("_last")), F.col("_v")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def query_objects(spark: SparkSession, records: DataFrame, expression: str) -> DataFrame:
     """A Spark SQL query over all records, which it sees as the table ``s3object``."""
-    records.createOrReplaceTempView("s3object")
+    records.drop("object_row").createOrReplaceTempView("s3object")
     return spark.sql(expression)
 
 

@@ -84,7 +84,7 @@ def _report(spark: SparkSession, folder: str, region: str | None = None, name: s
     logs = filters.lookback(views.logs(ev), AS_OF, days=30)
     functions = tables.scan_functions(views.functions(spark, folder), region, name)
     configs = tables.scan_pc_configs(views.pc_configs(spark, folder), region, name)
-    utilisation = cold_starts.pc_utilisation(views.lambda_metrics(ev), configs, AS_OF, minutes=30 * 24 * 60)
+    utilisation = cold_starts.pc_utilisation(views.pc_metrics(ev), configs, AS_OF, minutes=30 * 24 * 60)
     pc = cold_starts.pc_report(cold_starts.pc_totals(configs), utilisation)
     report = cold_starts.cold_start_report(functions, cold_starts.cold_start_stats(logs), pc)
     return cold_starts.order_report(rounded(report))
@@ -145,7 +145,7 @@ def pc_totals(spark, folder):
 def pc_utilisation(spark, folder):
     ev = views.events(spark, folder)
     configs = tables.scan_pc_configs(views.pc_configs(spark, folder))
-    used = cold_starts.pc_utilisation(views.lambda_metrics(ev), configs, AS_OF, minutes=30 * 24 * 60)
+    used = cold_starts.pc_utilisation(views.pc_metrics(ev), configs, AS_OF, minutes=30 * 24 * 60)
     report = rounded(cold_starts.pc_report(cold_starts.pc_totals(configs), used))
     return report.withColumn("band", text.util_band(F.col("pc_utilisation")))
 
@@ -154,7 +154,9 @@ def pc_utilisation(spark, folder):
 
 
 def _stat(spark: SparkSession, folder: str, metric: str, period: str, stat: str) -> DataFrame:
-    points = scan_metrics(views.lambda_metrics(views.events(spark, folder)), "AWS/Lambda", [metric], START, AS_OF)
+    ev = views.events(spark, folder)
+    table = views.lambda_metrics(ev, metric) if metric == "Duration" else views.pc_metrics(ev)
+    points = scan_metrics(table, "AWS/Lambda", [metric], START, AS_OF)
     return rounded(metrics.metric_stat(points, period, stat, {"function_name": "FunctionName"}), 8)
 
 
@@ -203,7 +205,7 @@ def lambda_cost_text(spark, folder):
 
 def _activity(spark: SparkSession, folder: str, inactive_only: bool) -> DataFrame:
     functions = tables.scan_functions(views.functions(spark, folder))
-    points = views.lambda_metrics(views.events(spark, folder))
+    points = views.lambda_metrics(views.events(spark, folder), "Invocations")
     return rounded(metrics.lambda_activity(functions, points, AS_OF, inactive_only))
 
 
@@ -255,7 +257,8 @@ def shard_report(spark, folder):
 @query
 def latest_value(spark, folder):
     """Newest hourly duration sum per function."""
-    points = scan_metrics(views.lambda_metrics(views.events(spark, folder)), "AWS/Lambda", ["Duration"], START, AS_OF)
+    durations = views.lambda_metrics(views.events(spark, folder), "Duration")
+    points = scan_metrics(durations, "AWS/Lambda", ["Duration"], START, AS_OF)
     hourly = metrics.metric_stat(points, "1 hour", "Sum", {"function_name": "FunctionName"})
     return rounded(metrics.latest_value(hourly, ["region", "function_name"]))
 
@@ -457,7 +460,7 @@ def tail_records(spark, folder):
 
 @query
 def metric_stat_stream(spark, folder):
-    points = views.lambda_metrics(views.events(spark, folder, stream=True)).where(F.col("metric") == "Duration")
+    points = views.lambda_metrics(views.events(spark, folder, stream=True), "Duration")
     stream = tails.metric_stat_stream(points, "1 hour", "Sum", {"function_name": "FunctionName"})
     keys = ["region", "metric", "function_name", "bucket_start"]
     return rounded(runner.run_latest(stream, "metric-stat", keys))
@@ -466,7 +469,7 @@ def metric_stat_stream(spark, folder):
 @query
 def metric_stat_closed(spark, folder):
     """The same rollup in append mode: only periods that can no longer change."""
-    points = views.lambda_metrics(views.events(spark, folder, stream=True)).where(F.col("metric") == "Duration")
+    points = views.lambda_metrics(views.events(spark, folder, stream=True), "Duration")
     stream = tails.metric_stat_stream(points, "1 hour", "Sum", {"function_name": "FunctionName"})
     return rounded(runner.run_available(stream, "metric-stat-closed"))
 

@@ -14,13 +14,36 @@ from opsloom.session import use_utc
 from opsloom.sources.tables import union_resources
 
 AS_OF = "2024-01-31 00:00:00"
-EVENTS_SCHEMA = (
-    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-)
+
+# Known schemas spare the job that would read them from the files.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+    ),
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+        "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    ),
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{folder}/{name}.parquet")
+    return use_utc(spark).read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def in_region(df: DataFrame, spark: SparkSession, folder: str, key: str) -> DataFrame:
@@ -52,7 +75,7 @@ def functions(spark: SparkSession, folder: str) -> DataFrame:
 def events(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Events with region and function name; as a stream the time is an instant."""
     if stream:
-        reader = use_utc(spark).readStream.schema(EVENTS_SCHEMA)
+        reader = use_utc(spark).readStream.schema(SCHEMAS["events"])
         rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
             "landed_at", F.col("_metadata.file_modification_time")
@@ -93,33 +116,25 @@ def _points(ev: DataFrame, namespace: str, dims: dict[str, Column], values: dict
     return named.select("region", F.lit(namespace).alias("namespace"), "metric", "dims", "ts", "value")
 
 
-def lambda_metrics(ev: DataFrame) -> DataFrame:
-    """Invocations and durations per function, utilisation per qualifier."""
-    name = F.col("function_name")
-    resource = text(name, ":alias-", F.col("event_id") % 4)
-
-    def branch(metric: str, value: Column, **dims: Column) -> DataFrame:
-        dim_map = F.create_map(*[x for k, v in dims.items() for x in (F.lit(k), v)])
-        return ev.select(
-            "region",
-            F.lit("AWS/Lambda").alias("namespace"),
-            F.lit(metric).alias("metric"),
-            dim_map.alias("dims"),
-            "ts",
-            value.cast("double").alias("value"),
-        )
+def lambda_metrics(ev: DataFrame, *names: str) -> DataFrame:
+    """Invocations and durations per function: the named metrics, or both."""
+    values = {"Invocations": F.lit(1), "Duration": F.col("value")}
+    return _points(
+        ev,
+        "AWS/Lambda",
+        {"FunctionName": F.col("function_name")},
+        {name: values[name] for name in names or values},
+    )
 
-    return (
-        branch("Invocations", F.lit(1), FunctionName=name)
-        .unionByName(branch("Duration", F.col("value"), FunctionName=name))
-        .unionByName(
-            branch(
-                "ProvisionedConcurrencyUtilization",
-                F.col("value") / 500,
-                FunctionName=name,
-                Resource=resource,
-            )
-        )
+
+def pc_metrics(ev: DataFrame) -> DataFrame:
+    """Utilisation per function and qualifier."""
+    name = F.col("function_name")
+    return _points(
+        ev,
+        "AWS/Lambda",
+        {"FunctionName": name, "Resource": text(name, ":alias-", F.col("event_id") % 4)},
+        {"ProvisionedConcurrencyUtilization": F.col("value") / 500},
     )
 
 
@@ -318,16 +333,14 @@ LINE_ORDER = ["doc_id", "line_no"]
 
 def resources(spark: SparkSession, folder: str) -> DataFrame:
     """Account resources of all types; their states and paths follow from the given columns."""
-    customer = in_region(table(spark, folder, "customer"), spark, folder, "c_custkey")
-    supplier = in_region(table(spark, folder, "supplier"), spark, folder, "s_suppkey")
-    orders = in_region(table(spark, folder, "orders"), spark, folder, "o_custkey")
-    nation = in_region(table(spark, folder, "nation"), spark, folder, "n_nationkey")
-    part = table(spark, folder, "part")
+    customer, supplier, part = (table(spark, folder, t) for t in ("customer", "supplier", "part"))
+    orders, nation = table(spark, folder, "orders"), table(spark, folder, "nation")
 
-    def kind(df: DataFrame, key: str, prefix: str, **more: Column) -> DataFrame:
+    def kind(df: DataFrame, key: str, prefix: str, place: str | None = None, **more: Column) -> DataFrame:
+        """``place`` is the column that gives the region; without it a resource is global."""
         columns = {"id": F.col(key), "name": text(f"{prefix}-", F.col(key)), **more}
-        if "region" in df.columns:
-            columns["region"] = F.col("region")
+        if place:
+            columns["region"] = F.col(place) % 5
         return df.select(*[c.alias(n) for n, c in columns.items()])
 
     status = (
@@ -338,26 +351,26 @@ def resources(spark: SparkSession, folder: str) -> DataFrame:
     bus = F.when(F.col("c_mktsegment") == "BUILDING", "default").otherwise(text("bus-", F.col("c_custkey")))
     path = F.when(F.col("s_nationkey") < 5, "/aws-service-role/x/").otherwise("/my-roles/")
     local = F.when(F.col("p_size") < 25, "Local").otherwise("AWS")
-    return union_resources(
+    group = text("/aws/lambda/", F.col("c_name"))
+    stored = F.round(F.abs("c_acctbal"))
+    vpc = text("vpc-", F.col("s_nationkey"))
+    united = union_resources(
         {
             "bucket": kind(part, "p_partkey", "bucket"),
-            "event_bus": kind(customer, "c_custkey", "bus", name=bus),
-            "stack": kind(orders, "o_orderkey", "stack", status=status),
-            "http_api": kind(supplier, "s_suppkey", "http"),
-            "rest_api": kind(nation, "n_nationkey", "rest"),
-            "role": kind(supplier, "s_suppkey", "role", path=path),
-            "function": kind(customer, "c_custkey", "fn", name=F.col("c_name")),
-            "log_group": kind(
-                customer,
-                "c_custkey",
-                "log",
-                name=text("/aws/lambda/", F.col("c_name")),
-                bytes=F.round(F.abs("c_acctbal")),
-            ),
-            "nat_gateway": kind(supplier, "s_suppkey", "nat", parent=text("vpc-", F.col("s_nationkey"))),
+            "event_bus": kind(customer, "c_custkey", "bus", "c_custkey", name=bus),
+            "stack": kind(orders, "o_orderkey", "stack", "o_custkey", status=status),
+            "http_api": kind(supplier, "s_suppkey", "http", "s_suppkey"),
+            "rest_api": kind(nation, "n_nationkey", "rest", "n_nationkey"),
+            "role": kind(supplier, "s_suppkey", "role", "s_suppkey", path=path),
+            "function": kind(customer, "c_custkey", "fn", "c_custkey", name=F.col("c_name")),
+            "log_group": kind(customer, "c_custkey", "log", "c_custkey", name=group, bytes=stored),
+            "nat_gateway": kind(supplier, "s_suppkey", "nat", "s_suppkey", parent=vpc),
             "policy": kind(part, "p_partkey", "policy", status=local),
         }
     )
+    names = table(spark, folder, "region").select(F.col("r_regionkey").cast("string"), F.col("r_name"))
+    located = united.join(names, F.col("region") == F.col("r_regionkey"), "left")
+    return located.withColumn("region", F.col("r_name")).drop("r_regionkey", "r_name")
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:

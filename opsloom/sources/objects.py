@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 # Compression kinds and the file suffix of each.
@@ -18,9 +19,24 @@ CSV_OPTIONS = {
 }
 
 
+def _glob(prefix: str) -> str:
+    """A prefix need not end at a folder: everything that starts with it is meant."""
+    return prefix if prefix.endswith("/") or "*" in prefix else f"{prefix}*"
+
+
+def _is_empty_set(error: AnalysisException) -> bool:
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def scan_objects(spark: SparkSession, prefix: str) -> DataFrame:
     """Path and size of every file below a prefix; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        files = reader.load(_glob(prefix))
+    except AnalysisException as error:
+        if not _is_empty_set(error):
+            raise
+        return spark.createDataFrame([], "path STRING, size BIGINT")
     return files.select("path", F.col("length").alias("size"))
 
 
@@ -50,7 +66,9 @@ def read_objects(
     schema: str | None = None,
     on_error: str = "skip",
 ) -> DataFrame:
-    """Records of all files below a prefix, with ``object`` holding the file path.
+    """Records of all files below a prefix.
+
+    ``object`` is the path of a record's file and ``object_row`` orders the records of a file.
 
     ``config`` is the caller's parse configuration. Columns of a CSV without header are
     ``_1, _2, ...``. The codec follows from the file suffix, so ``compression`` selects
@@ -72,16 +90,32 @@ def read_objects(
     if schema is not None:
         reader = reader.schema(schema)
 
-    kind = file_type.upper()
+    try:
+        return _read(reader, _glob(prefix), file_type.upper(), config, schema is None)
+    except AnalysisException as error:
+        if not _is_empty_set(error):
+            raise
+        columns = f"{schema}, object STRING" if schema else "object STRING"
+        return spark.createDataFrame([], columns)
+
+
+def _read(
+    reader: DataFrameReader, path: str, kind: str, config: dict, inferred: bool
+) -> DataFrame:
     if kind == "CSV":
-        records = reader.options(**_csv_options(config)).csv(prefix)
-        if schema is None and config.get("FileHeaderInfo", "NONE") != "USE":
-            records = records.toDF(*[f"_{i}" for i in range(1, len(records.columns) + 1)])
+        records = reader.options(**_csv_options(config)).csv(path)
     elif kind == "JSON":
         multi_line = config.get("Type", "DOCUMENT").upper() == "DOCUMENT"
-        records = reader.option("multiLine", str(multi_line).lower()).json(prefix)
+        records = reader.option("multiLine", str(multi_line).lower()).json(path)
     elif kind == "PARQUET":
-        records = reader.parquet(prefix)
+        records = reader.parquet(path)
     else:
-        raise ValueError(f"unknown file type {file_type}")
-    return records.select("*", F.col("_metadata.file_path").alias("object"))
+        raise ValueError(f"unknown file type {kind}")
+    columns = [F.col(f"`{c}`") for c in records.columns]
+    if kind == "CSV" and inferred and config.get("FileHeaderInfo", "NONE") != "USE":
+        columns = [c.alias(f"_{i}") for i, c in enumerate(columns, start=1)]
+    return records.select(
+        *columns,
+        F.col("_metadata.file_path").alias("object"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("object_row"),
+    )
