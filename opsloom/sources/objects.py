@@ -114,8 +114,11 @@ def _read(
     columns = [F.col(f"`{c}`") for c in records.columns]
     if kind == "CSV" and inferred and config.get("FileHeaderInfo", "NONE") != "USE":
         columns = [c.alias(f"_{i}") for i, c in enumerate(columns, start=1)]
+    # Parquet numbers its rows, so filters still reach the scan; other rows are numbered as read.
+    if kind == "PARQUET":
+        position = F.struct(F.lit(0), F.col("_metadata.row_index"))
+    else:
+        position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     return records.select(
-        *columns,
-        F.col("_metadata.file_path").alias("object"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("object_row"),
+        *columns, F.col("_metadata.file_path").alias("object"), position.alias("object_row")
     )

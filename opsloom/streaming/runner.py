@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,15 @@ def read_stream(
     path: str,
     schema: str,
     fmt: str = "parquet",
-    start: str = "earliest",
+    start: str | datetime = "earliest",
     max_files: int | None = None,
     pattern: str | None = None,
     arrival: str | None = None,
 ) -> DataFrame:
     """Files landing in a folder. ``arrival`` names a column for their modification time.
 
-    ``start="latest"`` begins with files that are modified from now on.
+    ``start="latest"`` begins with files that are modified from now on. A stream that is to
+    be restarted gets the instant itself, so that files which landed meanwhile are read.
     ``max_files`` bounds a micro-batch.
     """
     reader = spark.readStream.schema(schema).format(fmt)
@@ -33,11 +35,12 @@ def read_stream(
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if start == "latest":
-        now = spark.sql("SELECT date_format(now(), \"yyyy-MM-dd'T'HH:mm:ss\") AS t").first()["t"]
-        reader = reader.option("modifiedAfter", now)
-    elif start != "earliest":
-        raise ValueError("start must be earliest or latest")
+        start = datetime.now(timezone.utc)
+    elif start != "earliest" and not isinstance(start, datetime):
+        raise ValueError("start must be earliest, latest or a datetime")
     rows = reader.load(path)
+    if isinstance(start, datetime):
+        rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(start))
     if arrival:
         rows = rows.select("*", F.col("_metadata.file_modification_time").alias(arrival))
     return rows
