@@ -22,23 +22,26 @@ CHUNK_ROWS = 20_000
 CHUNKS_PER_RUN = 1_000
 
 
-def dense_positions(lines: DataFrame, order: list[str]) -> DataFrame:
+def dense_positions(sizes: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``_p``, the running number of a line in its file, starting at 0.
 
     ``block`` cuts a file into ordered stretches of limited length, so no window holds
     more than one stretch, or one row per stretch.
     """
-    counts = lines.groupBy("file", "block").agg(F.count("*").alias("_n"))
+    stretch = Window.partitionBy("file", "block").orderBy(*order)
+    numbered = sizes.withColumn("_r", F.row_number().over(stretch))
+    # The last row of a stretch, whole, so that both branches share one shuffle of the sizes.
+    last = numbered.groupBy("file", "block").agg(F.max(F.struct("_r", "n_bytes")).alias("_last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    offsets = last.select(
+        F.col("file").alias("_file"),
+        F.col("block").alias("_block"),
+        F.coalesce(F.sum("_last._r").over(before), F.lit(0)).alias("_before"),
     )
-    numbered = lines.withColumn(
-        "_r", F.row_number().over(Window.partitionBy("file", "block").orderBy(*order))
+    same = F.col("file").eqNullSafe(F.col("_file")) & F.col("block").eqNullSafe(F.col("_block"))
+    return numbered.join(offsets, same).select(
+        *sizes.columns, (F.col("_before") + F.col("_r") - 1).alias("_p")
     )
-    return numbered.join(offsets, ["file", "block"]).withColumn(
-        "_p", F.col("_before") + F.col("_r") - 1
-    ).drop("_r", "_before")
 
 
 def _next_starts(sizes: np.ndarray, max_n: int, max_bytes: int) -> np.ndarray:
@@ -88,7 +91,8 @@ def pack_batches(
             F.when(shared, F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))
         ),
     )
-    rows = spread.select("file", "_chunk", (F.col("_own") == F.col("_chunk")).alias("_mine"), "_p", "n_bytes")
+    mine = (F.col("_own") == F.col("_chunk")).alias("_mine")
+    rows = spread.select(*keys, "_chunk", mine, "_p", "n_bytes")
 
     def chunk_table(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_p")
@@ -163,15 +167,14 @@ def pack_batches(
         opens[_walk(following, int(at["_entry"].iloc[0]), own)[:-1]] = 1
         # Lines before the first start belong to the batch opened in the chunk before.
         batch = int(at["_base"].iloc[0]) - 1 + np.cumsum(opens)
-        mine = pdf[pdf["_mine"]]
-        return pd.DataFrame({"file": mine["file"], "_p": mine["_p"], "batch_id": batch})
+        return pdf.loc[pdf["_mine"], keys].assign(batch_id=batch)
 
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
     numbered = (
         rows.groupBy("file", "_chunk")
         .cogroup(chunk_starts.groupBy("file", "_chunk"))
-        .applyInPandas(number, "file STRING, _p BIGINT, batch_id BIGINT")
+        .applyInPandas(number, f"{kinds}, batch_id BIGINT")
     )
-    placed = sizes.select(*keys, "_p").join(numbered, ["file", "_p"]).drop("_p")
-    return lines.join(placed, keys).withColumn(
+    return lines.join(numbered, keys).withColumn(
         "entry_id", F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), 256)
     )

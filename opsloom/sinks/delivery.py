@@ -64,10 +64,12 @@ def to_queue(
 ) -> tuple[DataFrame, DataFrame]:
     """Sends packed lines in their batches; returns ``(results, failures with body)``.
 
-    Results are written below ``path`` before they are read, so nothing is sent twice when
-    both tables are used.
+    Packed lines and results are written below ``path`` before they are read, so packing runs
+    once and nothing is sent twice when both tables are used.
     """
     sent = Observation("sent")
+    packed.write.parquet(f"{path}/entries")
+    packed = packed.sparkSession.read.parquet(f"{path}/entries")
     if sender is None:
         error = size_error(F.col("n_bytes"), max_bytes)
         batch_entries(packed.where(error.isNull())).write.json(f"{path}/messages")
