@@ -9,9 +9,10 @@ least once: a retried task sends its batches again, with the same ids.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.constants import BATCH_MAX_BYTES
@@ -39,6 +40,18 @@ def landing_results(packed: DataFrame, max_bytes: int = BATCH_MAX_BYTES) -> Data
     )
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Limits the rows handed to Python at once: each can hold a full batch of text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def deliver(batches: DataFrame, sender: Sender) -> DataFrame:
     """Hands every batch to the sender and returns a result row per entry."""
 
@@ -77,7 +90,8 @@ def to_queue(
     else:
         results = deliver(batch_entries(packed), sender)
     counted = results.observe(sent, F.count("*").alias("processed"))
-    counted.write.parquet(f"{path}/results")
+    with arrow_rows(packed.sparkSession):
+        counted.write.parquet(f"{path}/results")
     print(f"sent {sent.get['processed']} messages")
     stored = packed.sparkSession.read.parquet(f"{path}/results")
     return stored, failed_entries(stored, packed)
@@ -99,7 +113,9 @@ def to_topic(
         )
         results = deliver(single.repartition(concurrency), sender)
     sent = Observation("published")
-    results.observe(sent, F.count("*").alias("processed")).write.parquet(f"{path}/results")
+    counted = results.observe(sent, F.count("*").alias("processed"))
+    with arrow_rows(lines.sparkSession):
+        counted.write.parquet(f"{path}/results")
     print(f"sent {sent.get['processed']} messages")
     stored = lines.sparkSession.read.parquet(f"{path}/results")
     return stored, failed_entries(stored, entries)
