@@ -75,8 +75,8 @@ def functions(spark: SparkSession, folder: str) -> DataFrame:
 def events(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Events with region and function name; as a stream the time is an instant."""
     if stream:
-        reader = use_utc(spark).readStream.schema(SCHEMAS["events"])
-        rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+        # As a pattern, the path can be a folder of files or one file.
+        rows = use_utc(spark).readStream.schema(SCHEMAS["events"]).parquet(f"{folder}/events.parque[t]")
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
             "landed_at", F.col("_metadata.file_modification_time")
         )
