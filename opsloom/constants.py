@@ -60,8 +60,8 @@ SHARD_READ_BYTES = 2048 * 1024
 BATCH_MAX_MESSAGES = 10
 BATCH_MAX_BYTES = 256 * 1024
 
-# Log line patterns of the cold start query.
-COLD_START_FILTER = r"(?i)(Init Duration)"
+# Text that marks a cold start, in any case, and the log line patterns.
+COLD_START_TEXT = "init duration"
 INIT_DURATION_PATTERN = r"^REPORT.*Init Duration: (.*) ms.*"
 DURATION_PATTERN = r"^REPORT.*?\bDuration: ([0-9.]+) ms"
 LOG_FUNCTION_PATTERN = r"^.*/aws/lambda/(.*)"

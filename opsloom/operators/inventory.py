@@ -12,6 +12,18 @@ from opsloom.constants import DELETABLE_STACK_STATUS, SERVICE_ROLE_PATH
 PART_SIZE = 1000
 
 
+def _collected(name: str, child: DataFrame) -> Column:
+    """Children in a repeatable order; structs with maps have none of their own, so their JSON is used."""
+    collected = F.collect_list(name)
+    if not any(kind.startswith("map") or "map<" in kind for _, kind in child.dtypes):
+        return F.sort_array(collected).alias(name)
+    first = lambda a, b: F.to_json(a) < F.to_json(b)
+    ordered = F.array_sort(
+        collected, lambda a, b: F.when(first(a, b), -1).when(first(b, a), 1).otherwise(0)
+    )
+    return ordered.alias(name)
+
+
 def nest(
     parents: DataFrame, keys: list[str], children: dict[str, DataFrame], part_size: int = PART_SIZE
 ) -> DataFrame:
@@ -36,12 +48,12 @@ def nest(
         .where(F.col("_n") > part_size)
         .select(*keys, F.ceil(F.col("_n") / part_size).alias("_parts"), "_known")
     )
-    spread = F.pmod(F.xxhash64(*children), F.col("_parts"))
+    spread = F.pmod(F.xxhash64(*[F.to_json(name) for name in children]), F.col("_parts"))
     part = F.when(is_parent | F.col("_parts").isNull(), 0).otherwise(spread)
     placed = tall.join(big, keys, "left").where(F.coalesce("_known", F.lit(True)))
     documents = placed.groupBy(*keys, part.cast("int").alias("part")).agg(
         F.first("_parent", ignorenulls=True).alias("_parent"),
-        *[F.sort_array(F.collect_list(name)).alias(name) for name in children],
+        *[_collected(name, child) for name, child in children.items()],
     )
     return documents.where(F.col("_parent").isNotNull() | (F.col("part") > 0)).select(
         *keys, *[F.col("_parent")[c].alias(c) for c in own], "part", *children
@@ -62,16 +74,22 @@ def inventory_functions(
     tags: DataFrame,
     mappings: DataFrame,
     pc_configs: DataFrame,
+    invoke_configs: DataFrame | None = None,
+    policies: DataFrame | None = None,
     part_size: int = PART_SIZE,
 ) -> DataFrame:
-    """Functions with tags, event source mappings and provisioned concurrency."""
+    """Functions with tags, event source mappings, provisioned concurrency and, when their
+    tables are given, the first invoke configuration and the policy."""
     keys = ["region", "function_name"]
     children = {
         "tags": last_tags(tags, keys),
         "event_source_mappings": mappings,
         "provisioned_concurrency_configs": pc_configs,
     }
-    return with_tag_map(nest(functions, keys, children, part_size))
+    single = {"event_invoke_config": invoke_configs, "policy": policies}
+    given = {name: df for name, df in single.items() if df is not None}
+    documents = with_tag_map(nest(functions, keys, {**children, **given}, part_size))
+    return documents.withColumns({name: F.get(name, F.lit(0)) for name in given})
 
 
 def inventory_tables(

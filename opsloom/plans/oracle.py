@@ -69,7 +69,7 @@ VIEWS: dict[str, str] = {
         FROM pc LEFT JOIN pc_used USING (region, function_name)""",
     "report": """
         SELECT region, function_name, runtime,
-               round(coalesce(memory_mb, CAST(memory_size AS DOUBLE)), 6) AS memory_size, cold_starts,
+               round(coalesce(memory_mb, CAST(memory_size AS DOUBLE)), 6) AS memory_size, CAST(cold_starts AS DOUBLE) AS cold_starts,
                round(median_init_ms, 6) AS median_init_ms, round(p75_init_ms, 6) AS p75_init_ms,
                round(p95_init_ms, 6) AS p95_init_ms, round(max_init_ms, 6) AS max_init_ms,
                round(stddev_init_ms, 6) AS stddev_init_ms,
@@ -431,7 +431,7 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""",
     "select_objects_agg_per_object": """SELECT source AS object,
         count(*) FILTER (WHERE lang = 'en' AND n_chars > 30000) AS n,
-        max(n_chars) FILTER (WHERE lang = 'en' AND n_chars > 30000) AS longest FROM documents GROUP BY source""",
+        CAST(max(n_chars) FILTER (WHERE lang = 'en' AND n_chars > 30000) AS DOUBLE) AS longest FROM documents GROUP BY source""",
     "object_totals": "SELECT count(*) AS objects, CAST(sum(strlen(text)) AS BIGINT) AS total_size FROM documents",
     "lines_nonblank": using(
         "lines",
@@ -535,7 +535,7 @@ ORACLE: dict[str, str] = {
         'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey AS source_queue_url FROM part""",
     "resource_scan": using(
         "res",
-        """SELECT type, region, id, name, path, parent, bytes FROM res
+        """SELECT type, region, id, name, path, parent, CAST(bytes AS DOUBLE) AS bytes FROM res
            WHERE type IN ('role', 'nat_gateway', 'log_group') AND region IN ('ASIA', 'EUROPE')""",
     ),
     "resource_counts": using("res", "SELECT type, count(*) AS resources FROM res GROUP BY type"),
@@ -567,10 +567,10 @@ ORACLE: dict[str, str] = {
     ),
     "bus_targets": using(
         "fn od",
-        """SELECT f.region, c_custkey AS bus, o_orderkey AS rule, l_suppkey || '/' || l_linenumber AS target
+        """SELECT f.region, c_custkey AS bus, CAST(o_orderkey AS VARCHAR) AS rule, l_suppkey || '/' || l_linenumber AS target
            FROM fn f LEFT JOIN od ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""",
     ),
-    "role_policies": """SELECT s_suppkey AS role, policy, kind FROM supplier LEFT JOIN (
+    "role_policies": """SELECT s_suppkey AS role, CAST(policy AS VARCHAR) AS policy, kind FROM supplier LEFT JOIN (
         SELECT DISTINCT l_suppkey, l_partkey AS policy,
                CASE l_returnflag WHEN 'R' THEN 'attached' ELSE 'inline' END AS kind FROM lineitem) ON l_suppkey = s_suppkey""",
     "disabled_rules": using(

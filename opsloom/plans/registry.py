@@ -87,7 +87,8 @@ def _report(spark: SparkSession, folder: str, region: str | None = None, name: s
     utilisation = cold_starts.pc_utilisation(views.pc_metrics(ev), configs, AS_OF, minutes=30 * 24 * 60)
     pc = cold_starts.pc_report(cold_starts.pc_totals(configs), utilisation)
     report = cold_starts.cold_start_report(functions, cold_starts.cold_start_stats(logs), pc)
-    return cold_starts.order_report(rounded(report))
+    counted = report.withColumn("cold_starts", F.col("cold_starts").cast("double"))
+    return cold_starts.order_report(rounded(counted))
 
 
 @query
@@ -291,7 +292,7 @@ def select_objects_agg_per_object(spark, folder):
     return objects.select_objects(
         views.records(spark, folder),
         where="lang = 'en' AND n_chars > 30000",
-        aggs=["count(*) AS n", "max(n_chars) AS longest"],
+        aggs=["count(*) AS n", "CAST(max(n_chars) AS DOUBLE) AS longest"],
     )
 
 
@@ -573,7 +574,8 @@ def resource_scan(spark, folder):
     found = tables.scan_resources(
         views.resources(spark, folder), ["role", "nat_gateway", "log_group"], [REGION, "EUROPE"]
     )
-    return found.select("type", "region", "id", "name", "path", "parent", "bytes")
+    stored = F.col("bytes").cast("double").alias("bytes")
+    return found.select("type", "region", "id", "name", "path", "parent", stored)
 
 
 @query
@@ -613,12 +615,14 @@ def other_buckets(spark, folder):
 
 @query
 def bus_targets(spark, folder):
-    return inventory.bus_targets(*views.buses(spark, folder))
+    tree = inventory.bus_targets(*views.buses(spark, folder))
+    return tree.withColumn("rule", F.col("rule").cast("string"))
 
 
 @query
 def role_policies(spark, folder):
-    return inventory.role_policies(*views.roles(spark, folder))
+    policies = inventory.role_policies(*views.roles(spark, folder))
+    return policies.withColumn("policy", F.col("policy").cast("string"))
 
 
 @query

@@ -44,6 +44,32 @@ def test_queues_and_tags(spark):
     assert report.count() == 3 and report.first().type == "sqs"
 
 
+def test_functions_and_topics(spark):
+    fn = "region STRING, function_name STRING"
+    functions = spark.createDataFrame([("r", "f"), ("r", "g")], fn)
+    got = inventory.inventory_functions(
+        functions,
+        spark.createDataFrame([("r", "f", 0, "k", "v")], f"{fn}, pos INT, key STRING, value STRING"),
+        spark.createDataFrame([("r", "f", "u1"), ("r", "f", "u2")], f"{fn}, uuid STRING"),
+        spark.createDataFrame([("r", "f", "live", 3)], f"{fn}, qualifier STRING, allocated INT"),
+        invoke_configs=spark.createDataFrame([("r", "f", 2)], f"{fn}, retries INT"),
+        policies=spark.createDataFrame([("r", "g", "{}")], f"{fn}, document STRING"),
+    )
+    rows = {r.function_name: r for r in got.collect()}
+    assert rows["f"].tags == {"k": "v"} and [m.uuid for m in rows["f"].event_source_mappings] == ["u1", "u2"]
+    assert rows["f"].event_invoke_config.retries == 2 and rows["f"].policy is None
+    assert rows["g"].event_invoke_config is None and rows["g"].policy.document == "{}"
+    topic = "region STRING, topic_arn STRING"
+    topics = inventory.inventory_topics(
+        spark.createDataFrame([("r", "t", {"DisplayName": "x"})], f"{topic}, attributes MAP<STRING,STRING>"),
+        spark.createDataFrame([], f"{topic}, pos INT, key STRING, value STRING"),
+        spark.createDataFrame([("r", "t", "s2", {"Raw": "1"}), ("r", "t", "s1", {"Raw": "0"})],
+                              f"{topic}, subscription STRING, attributes MAP<STRING,STRING>"),
+    ).collect()
+    assert [(s.subscription, s.attributes) for s in topics[0].subscriptions] == [("s1", {"Raw": "0"}), ("s2", {"Raw": "1"})]
+    assert topics[0].attributes == {"DisplayName": "x"} and topics[0].tags == {}
+
+
 @pytest.fixture(scope="module")
 def resources(spark):
     rows = []
