@@ -95,8 +95,8 @@ def analyze_cold_starts(spark, args):
     logs = filters.scope(_table(spark, args, "logs", schemas.LOGS), args.region)
     stats = cold_starts.cold_start_stats(filters.lookback(logs, args.as_of, minutes), exact=not args.approx)
     configs = tables.scan_pc_configs(_table(spark, args, "pc_configs", schemas.PC_CONFIGS), args.region, args.name)
-    used = cold_starts.pc_utilisation(_metrics(spark, args), configs, args.as_of, minutes)
-    pc = cold_starts.pc_report(cold_starts.pc_totals(configs), used)
+    used = cold_starts.qualifier_utilisation(_metrics(spark, args), args.as_of, minutes)
+    pc = cold_starts.pc_report(configs, used)
     report = cold_starts.cold_start_report(_functions(spark, args), stats, pc)
     return reports.cold_start_table(cold_starts.order_report(report))
 

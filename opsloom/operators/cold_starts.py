@@ -66,13 +66,11 @@ def pc_totals(configs: DataFrame) -> DataFrame:
     )
 
 
-def pc_utilisation(
-    metrics: DataFrame, configs: DataFrame, as_of: Moment, minutes: int = 60, period: str = "1 hour"
-) -> DataFrame:
-    """Highest utilisation of a function over all its configured qualifiers and periods.
+def qualifier_utilisation(metrics: DataFrame, as_of: Moment, minutes: int = 60) -> DataFrame:
+    """Highest utilisation per function and qualifier.
 
-    The maximum of period maxima is the maximum of the datapoints, so no period bucket
-    is formed.
+    The maximum of hourly maxima is the maximum of the datapoints, so no period bucket is
+    formed.
     """
     end = moment(as_of)
     points = scan_metrics(
@@ -82,27 +80,31 @@ def pc_utilisation(
         end - timedelta(minutes=minutes),
         end,
     )
-    per_qualifier = points.groupBy(
+    return points.groupBy(
         "region",
         F.col("dims")["FunctionName"].alias("function_name"),
         F.element_at(F.split(F.col("dims")["Resource"], ":"), -1).alias("qualifier"),
-    ).agg(F.max("value").alias("value"))
-    configured = configs.select("region", "function_name", "qualifier").distinct()
-    return (
-        per_qualifier.join(configured, ["region", "function_name", "qualifier"], "left_semi")
-        .groupBy("region", "function_name")
-        .agg(F.max("value").alias("pc_utilisation"))
-    )
+    ).agg(F.max("value").alias("utilisation"))
 
 
-def pc_report(totals: DataFrame, utilisation: DataFrame) -> DataFrame:
-    """Totals with utilisation, zero where none was measured."""
-    return totals.join(utilisation, ["region", "function_name"], "left").select(
-        "region",
-        "function_name",
-        "provisioned_concurrency",
-        "qualifiers",
-        F.coalesce("pc_utilisation", F.lit(0.0)).alias("pc_utilisation"),
+def pc_report(configs: DataFrame, used: DataFrame) -> DataFrame:
+    """Totals per function with the highest utilisation of its configured qualifiers.
+
+    Utilisation of a qualifier without configuration does not count; it is zero where
+    none was measured. Configurations are read once, for totals and qualifiers alike.
+    """
+    qualifier = ["region", "function_name", "qualifier"]
+    configured = configs.groupBy(*qualifier).agg(
+        F.sum("allocated").alias("allocated"), F.count("*").alias("configs")
+    )
+    return (
+        configured.join(used, qualifier, "left")
+        .groupBy("region", "function_name")
+        .agg(
+            F.sum("allocated").alias("provisioned_concurrency"),
+            F.sum("configs").alias("qualifiers"),
+            F.coalesce(F.max("utilisation"), F.lit(0.0)).alias("pc_utilisation"),
+        )
     )
 
 

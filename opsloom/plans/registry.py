@@ -25,6 +25,7 @@ from opsloom.streaming import runner, tails
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 START = "2024-01-01 00:00:00"
+MONTH = 30 * 24 * 60
 REGION = "ASIA"
 FUNCTION = "Customer#000000007"
 FUNCTION_REGION = "ASIA"
@@ -84,8 +85,8 @@ def _report(spark: SparkSession, folder: str, region: str | None = None, name: s
     logs = filters.lookback(views.logs(ev), AS_OF, days=30)
     functions = tables.scan_functions(views.functions(spark, folder), region, name)
     configs = tables.scan_pc_configs(views.pc_configs(spark, folder), region, name)
-    utilisation = cold_starts.pc_utilisation(views.pc_metrics(ev), configs, AS_OF, minutes=30 * 24 * 60)
-    pc = cold_starts.pc_report(cold_starts.pc_totals(configs), utilisation)
+    used = cold_starts.qualifier_utilisation(views.pc_metrics(ev), AS_OF, MONTH)
+    pc = cold_starts.pc_report(configs, used)
     report = cold_starts.cold_start_report(functions, cold_starts.cold_start_stats(logs), pc)
     counted = report.withColumn("cold_starts", F.col("cold_starts").cast("double"))
     return cold_starts.order_report(rounded(counted))
@@ -146,8 +147,8 @@ def pc_totals(spark, folder):
 def pc_utilisation(spark, folder):
     ev = views.events(spark, folder)
     configs = tables.scan_pc_configs(views.pc_configs(spark, folder))
-    used = cold_starts.pc_utilisation(views.pc_metrics(ev), configs, AS_OF, minutes=30 * 24 * 60)
-    report = rounded(cold_starts.pc_report(cold_starts.pc_totals(configs), used))
+    used = cold_starts.qualifier_utilisation(views.pc_metrics(ev), AS_OF, MONTH)
+    report = rounded(cold_starts.pc_report(configs, used))
     return report.withColumn("band", text.util_band(F.col("pc_utilisation")))
 
 
@@ -243,14 +244,14 @@ def table_capacity(spark, folder):
 @query
 def stream_utilisation(spark, folder):
     ev = views.events(spark, folder)
-    usage = metrics.stream_usage(views.stream_metrics(ev), AS_OF, minutes=30 * 24 * 60)
+    usage = metrics.stream_usage(views.stream_metrics(ev), AS_OF, minutes=MONTH)
     return metrics.stream_utilisation(tables.scan_streams(views.streams(ev)), usage)
 
 
 @query
 def shard_report(spark, folder):
     ev = views.events(spark, folder)
-    usage = metrics.shard_usage(views.shard_metrics(ev), AS_OF, minutes=30 * 24 * 60)
+    usage = metrics.shard_usage(views.shard_metrics(ev), AS_OF, minutes=MONTH)
     report = metrics.shard_report(tables.scan_shards(views.streams(ev)), usage)
     return rounded(report.withColumn("shard_id", text.strip_shard_prefix(F.col("shard_id"))), 8)
 

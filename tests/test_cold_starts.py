@@ -97,9 +97,8 @@ def test_report_keeps_unmatched_functions(spark, logs):
         for q, v in (("live", 0.4), ("live", 0.6), ("gone", 0.9))
     ]
     metrics = spark.createDataFrame(points, schemas.METRICS)
-    pc = cold_starts.pc_report(
-        cold_starts.pc_totals(configs), cold_starts.pc_utilisation(metrics, configs, AS_OF)
-    )
+    assert cold_starts.pc_totals(configs).first().provisioned_concurrency == 7
+    pc = cold_starts.pc_report(configs, cold_starts.qualifier_utilisation(metrics, AS_OF))
     report = cold_starts.cold_start_report(functions, cold_starts.cold_start_stats(logs), pc)
     rows = cold_starts.order_report(report).collect()
     assert [(r.function_name, r.memory_size, r.cold_starts) for r in rows] == [
