@@ -217,13 +217,22 @@ def failure_summary(results: DataFrame, has_region: bool = True) -> DataFrame:
     return failed.join(counts, "type").select("type", "key", "reason", "failed_count")
 
 
+def with_children(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
+    """Left outer join, as an inner join and the parents without children.
+
+    The children of a hot parent can be split over tasks in an inner join, which an outer
+    join does not allow.
+    """
+    matched = parents.join(children, keys)
+    childless = parents.join(children.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(childless, allowMissingColumns=True)
+
+
 def bus_targets(buses: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
     """Bus, its rules and their targets; a bus without rules and a rule without targets stay."""
-    return (
-        buses.select("region", "bus")
-        .join(rules.select("region", "bus", "rule"), ["region", "bus"], "left")
-        .join(targets.select("region", "bus", "rule", "target"), ["region", "bus", "rule"], "left")
-    )
+    keys = ["region", "bus", "rule"]
+    ruled = with_children(rules.select(*keys), targets.select(*keys, "target"), keys)
+    return with_children(buses.select("region", "bus"), ruled, ["region", "bus"])
 
 
 def role_policies(roles: DataFrame, attached: DataFrame, inline: DataFrame) -> DataFrame:
@@ -231,7 +240,7 @@ def role_policies(roles: DataFrame, attached: DataFrame, inline: DataFrame) -> D
     policies = attached.select("role", "policy", F.lit("attached").alias("kind")).unionByName(
         inline.select("role", "policy", F.lit("inline").alias("kind"))
     )
-    return roles.select("role").join(policies, "role", "left")
+    return with_children(roles.select("role"), policies, ["role"])
 
 
 def recent_log_streams(logs: DataFrame, k: int = 50) -> DataFrame:

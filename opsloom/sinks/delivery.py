@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.constants import BATCH_MAX_BYTES
+from opsloom.functions.text import string_attributes
 from opsloom.operators.messages import failed_entries, remaining, replay_rows
 
 Sender = Callable[[list[dict]], dict[str, str]]
@@ -52,6 +53,20 @@ def arrow_rows(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def _send(batch: list[dict], sender: Sender) -> list[str | None]:
+    """The error of every entry of a batch, none for those that were accepted."""
+    try:
+        refused = sender(batch) or {}
+    except Exception as error:  # the whole batch failed, the run continues
+        refused = {e["entry_id"]: str(error) for e in batch}
+    return [refused.get(e["entry_id"]) for e in batch]
+
+
+def _result_frame(ids: list[str], errors: list[str | None]) -> pd.DataFrame:
+    status = ["success" if e is None else "fail" for e in errors]
+    return pd.DataFrame({"entry_id": ids, "status": status, "error": pd.Series(errors, dtype="object")})
+
+
 def deliver(batches: DataFrame, sender: Sender) -> DataFrame:
     """Hands every batch to the sender and returns a result row per entry."""
 
@@ -60,18 +75,44 @@ def deliver(batches: DataFrame, sender: Sender) -> DataFrame:
             ids, errors = [], []
             for entries in frame["entries"]:
                 batch = [dict(e) for e in entries]
-                try:
-                    refused = sender(batch) or {}
-                except Exception as error:  # the whole batch failed, the run continues
-                    refused = {e["entry_id"]: str(error) for e in batch}
                 ids.extend(e["entry_id"] for e in batch)
-                errors.extend(refused.get(e["entry_id"]) for e in batch)
-            status = ["success" if e is None else "fail" for e in errors]
-            yield pd.DataFrame({"entry_id": ids, "status": status, "error": pd.Series(errors, dtype="object")})
+                errors.extend(_send(batch, sender))
+            yield _result_frame(ids, errors)
 
     return batches.select("entries").mapInPandas(send, RESULTS)
 
 
+# Messages per request of each target.
+REQUEST_SIZE = {"queue": 10, "topic": 1, "stream": 10}
+
+
+def deliver_messages(messages: DataFrame, target_type: str, sender: Sender) -> DataFrame:
+    """Hands messages on as they come, in requests of the target's size.
+
+    An entry is the replayed row as a dict, with the message id as ``entry_id``.
+    """
+    rows = replay_rows(messages, target_type)
+    names = rows.columns
+    id_column = {"queue": "message_id", "stream": "partition_key"}.get(target_type)
+    if id_column is None:
+        rows = messages.select(
+            F.col("message_id").alias("entry_id"), "body", string_attributes(F.col("attributes")).alias("attributes")
+        )
+    else:
+        rows = rows.select(F.col(id_column).alias("entry_id"), *names)
+    size = REQUEST_SIZE[target_type]
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            entries = frame.to_dict("records")
+            errors = []
+            for start in range(0, len(entries), size):
+                errors.extend(_send(entries[start : start + size], sender))
+            yield _result_frame([e["entry_id"] for e in entries], errors)
+
+    return rows.mapInPandas(send, RESULTS)
+
+
 def to_queue(
     packed: DataFrame, path: str, sender: Sender | None = None, max_bytes: int = BATCH_MAX_BYTES
 ) -> tuple[DataFrame, DataFrame]:
@@ -128,21 +169,38 @@ def write_target(rows: DataFrame, target_type: str, path: str, mode: str = "appe
     rows.write.mode(mode).json(path)
 
 
-def replay(messages: DataFrame, target_type: str, path: str, keep: bool = False) -> DataFrame:
-    """Replays a dead-letter queue into a target folder and returns the messages left in it."""
-    write_target(replay_rows(messages, target_type), target_type, path)
-    return remaining(messages, messages, keep)
-
+def replay(
+    messages: DataFrame, target_type: str, path: str, keep: bool = False, sender: Sender | None = None
+) -> DataFrame:
+    """Replays a dead-letter queue into a target and returns the messages left in it.
 
-def replay_router(target_type: str, path: str) -> Callable[[DataFrame, int], None]:
+    With a sender, results are stored below ``path`` and refused messages are left as well.
+    """
+    if sender is None:
+        write_target(replay_rows(messages, target_type), target_type, path)
+        return remaining(messages, messages, keep)
+    with arrow_rows(messages.sparkSession):
+        deliver_messages(messages, target_type, sender).write.parquet(f"{path}/results")
+    results = messages.sparkSession.read.parquet(f"{path}/results")
+    accepted = results.where(F.col("status") == "success").select(F.col("entry_id").alias("message_id"))
+    return remaining(messages, accepted, keep)
+
+
+def replay_router(
+    target_type: str, path: str, sender: Sender | None = None
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function of a streaming replay.
 
     Every batch has its own folder that a retry overwrites, so a batch that runs twice is
-    stored once.
+    stored once. With a sender the folders hold the results.
     """
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        rows = replay_rows(batch, target_type)
-        write_target(rows, target_type, f"{path}/batch={batch_id}", mode="overwrite")
+        folder = f"{path}/batch={batch_id}"
+        if sender is None:
+            write_target(replay_rows(batch, target_type), target_type, folder, mode="overwrite")
+            return
+        with arrow_rows(batch.sparkSession):
+            deliver_messages(batch, target_type, sender).write.mode("overwrite").json(folder)
 
     return route

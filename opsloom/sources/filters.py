@@ -23,6 +23,13 @@ def time_literal(df: DataFrame, column: str, value: Moment) -> Column:
 
 
 def between(df: DataFrame, start: Moment, end: Moment, column: str = "ts") -> DataFrame:
+    """Rows of a time range, both ends included.
+
+    A table partitioned by ``date`` (the UTC day of ``ts``) only reads the days of the range.
+    """
+    if column == "ts" and "date" in df.columns:
+        days = [F.lit(str(moment(m).date())).cast("date") for m in (start, end)]
+        df = df.where(F.col("date").cast("date").between(*days))
     return df.where(
         (F.col(column) >= time_literal(df, column, start)) & (F.col(column) <= time_literal(df, column, end))
     )

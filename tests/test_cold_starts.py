@@ -139,3 +139,15 @@ def test_time_range_reaches_the_scan(spark, logs, tmp_path):
     df = filters.lookback(spark.read.parquet(str(tmp_path / "logs")), AS_OF).select(F.col("message"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<ts:timestamp,message:string>" in plan
+
+
+def test_only_the_days_and_region_of_the_range_are_read(spark, logs, tmp_path):
+    path = str(tmp_path / "logs")
+    days = logs.unionByName(logs.withColumn("ts", F.col("ts") - F.expr("INTERVAL 5 DAYS")))
+    days.withColumn("date", F.to_date("ts")).write.partitionBy("region", "date").parquet(path)
+    table = spark.read.schema(schemas.LOGS).parquet(path)
+    df = filters.scope(filters.lookback(table, AS_OF), "us-east-1")
+    assert df.count() == 5
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters_shown = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "date" in filters_shown and "region" in filters_shown

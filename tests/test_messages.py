@@ -133,3 +133,21 @@ def test_sent_count_is_printed(spark, tmp_path, capsys):
     delivery.to_queue(pack_batches(lines_table(spark, {"f": ["a", "b"]})), f"{tmp_path}/q", lambda entries: {})
     assert "sent 2 messages" in capsys.readouterr().out
     assert spark.read.parquet(f"{tmp_path}/q/results").select(F.count("*")).first()[0] == 2
+
+
+@pytest.mark.parametrize("target, most", [("queue", 10), ("topic", 1), ("stream", 10)])
+def test_replay_through_a_sender(spark, tmp_path, target, most):
+    rows = [(f"m{i}", None, f"b{i}", {"a": ("String", "x", None)}, None) for i in range(25)]
+    dlq = spark.createDataFrame(rows, schemas.MESSAGES)
+
+    def sender(entries):
+        assert len(entries) <= most
+        if any(e["entry_id"] == "m9" for e in entries):
+            return {"m9": "boom!"}
+
+    left = delivery.replay(dlq, target, f"{tmp_path}/{target}", sender=sender)
+    assert [r.message_id for r in left.collect()] == ["m9"]
+    route = delivery.replay_router(target, f"{tmp_path}/{target}-r", sender)
+    route(dlq, 0)
+    route(dlq, 0)
+    assert spark.read.json(f"{tmp_path}/{target}-r").where("status = 'success'").count() == 24
