@@ -172,7 +172,6 @@ VIEWS: dict[str, str] = {
                ceil(average_ms / 100) * (memory_mb / 128.0) * 0.000000208 + 0.0000002 AS average_cost, invocations
         FROM (SELECT region, function_name, CAST(128 * (1 + event_id % 4) AS INTEGER) AS memory_mb,
                      avg(round(value * 20)) AS average_ms, count(*) AS invocations FROM ev GROUP BY ALL)""",
-    "dead": "SELECT DISTINCT p_brand FROM part",
 }
 
 # Views that a view reads.
@@ -486,13 +485,10 @@ ORACLE: dict[str, str] = {
     ),
     "inventory_functions": using(
         "fn od",
-        """SELECT region, function_name, runtime, CAST(0 AS INTEGER) AS part, 'segment=' || runtime AS tags,
-                  coalesce(mappings, '') AS mappings, coalesce(configs, '') AS configs
-           FROM fn LEFT JOIN (
-               SELECT region, function_name, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS mappings,
-                      string_agg('alias-' || (o_orderkey % 6) || ':' || (1 + o_orderkey % 50), ','
-                                 ORDER BY o_orderkey % 6, 1 + o_orderkey % 50) AS configs
-               FROM od GROUP BY ALL) USING (region, function_name)""",
+        """SELECT region, function_name, runtime, 'segment=' || runtime AS tags, count(o_orderkey) AS mappings,
+                  CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS mapping_ids, count(o_orderkey) AS configs,
+                  CAST(coalesce(sum(1 + o_orderkey % 50), 0) AS BIGINT) AS allocated
+           FROM fn LEFT JOIN od USING (region, function_name) GROUP BY ALL""",
     ),
     "inventory_tables": using(
         "capacity",
@@ -502,34 +498,27 @@ ORACLE: dict[str, str] = {
     ),
     "inventory_topics": using(
         "fn od",
-        """SELECT region, 'arn:aws:sns:topic-' || c_custkey AS topic_arn, runtime AS owner, CAST(0 AS INTEGER) AS part,
-                  'segment=' || runtime AS tags, coalesce(subscriptions, '') AS subscriptions
-           FROM fn LEFT JOIN (
-               SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderpriority, ',' ORDER BY o_orderkey) AS subscriptions
-               FROM od GROUP BY ALL) ON o_custkey = c_custkey""",
+        """SELECT fn.region, 'arn:aws:sns:topic-' || c_custkey AS topic_arn, runtime AS owner,
+                  'segment=' || runtime AS tags, count(o_orderkey) AS subscriptions,
+                  CAST(coalesce(sum(o_orderkey * length(o_orderpriority)), 0) AS BIGINT) AS digest
+           FROM fn LEFT JOIN od ON o_custkey = c_custkey GROUP BY ALL""",
     ),
-    "inventory_queues": using(
-        "dead",
-        """SELECT 'arn:aws:sqs:us-east-1:1234567890:queue-' || p_partkey AS queue_arn,
+    "inventory_queues": """SELECT 'arn:aws:sqs:us-east-1:1234567890:queue-' || p_partkey AS queue_arn,
                   'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey AS queue_url,
-                  CAST(0 AS INTEGER) AS part, 'stage=dev,team=' || p_brand AS tags, '' AS sources FROM part
+                  'stage=dev,team=' || p_brand AS tags, CAST(0 AS BIGINT) AS sources, CAST(0 AS BIGINT) AS url_chars
+           FROM part
            UNION ALL
            SELECT 'arn:aws:sqs:us-east-1:1234567890:dlq-' || p_brand,
-                  'https://sqs.us-east-1.amazonaws.com/1234567890/dlq-' || p_brand, 0, '',
-                  (SELECT string_agg('https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey, ','
-                       ORDER BY 'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey)
-                   FROM part p WHERE p.p_brand = dead.p_brand)
-           FROM dead""",
-    ),
+                  'https://sqs.us-east-1.amazonaws.com/1234567890/dlq-' || p_brand, '', count(*),
+                  CAST(sum(length('https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey)) AS BIGINT)
+           FROM part GROUP BY p_brand""",
     "inventory_report": using(
-        "fn od",
+        "fn",
         """SELECT 'lambda' AS type, region, '{"region":"' || region || '","function_name":"' || function_name
                   || '","memory_size":' || memory_size || '}' AS document FROM fn
            UNION ALL
            SELECT 'sns', region, '{"region":"' || region || '","topic_arn":"arn:aws:sns:topic-' || c_custkey
-                  || '","part":0,"subscriptions":' || count(o_orderkey) || '}'
-           FROM (SELECT region, c_custkey FROM fn) LEFT JOIN (SELECT o_custkey, o_orderkey FROM od) ON o_custkey = c_custkey
-           GROUP BY region, c_custkey""",
+                  || '","owner":"' || runtime || '"}' FROM fn""",
     ),
     "queue_sources": """SELECT 'us-east-1' AS region, 'arn:aws:sqs:us-east-1:1234567890:dlq-' || p_brand AS queue_arn,
         'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey AS source_queue_url FROM part""",

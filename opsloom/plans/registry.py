@@ -55,6 +55,11 @@ def pairs(column: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
 
+def total_of(column: str, value: Callable[[Column], Column]) -> Column:
+    """Sum of a whole number over the structs of an array."""
+    return F.aggregate(column, F.lit(0).cast("bigint"), lambda total, e: total + value(e).cast("bigint"))
+
+
 def attribute_text(column: str) -> Column:
     entries = F.array_sort(F.map_entries(column))
     shown = lambda e: F.concat(
@@ -495,18 +500,14 @@ def inventory_functions(spark, folder):
         "region", "function_name", F.lit("segment").alias("key"), F.col("runtime").alias("value"), F.lit(0).alias("pos")
     )
     documents = inventory.inventory_functions(functions, tags, mappings, configs)
-    shown = F.transform(
-        "provisioned_concurrency_configs",
-        lambda c: F.concat(c["qualifier"], F.lit(":"), c["allocated"].cast("string")),
-    )
-    return documents.select(
-        "region",
-        "function_name",
-        "runtime",
-        "part",
-        pairs("tags").alias("tags"),
-        F.array_join(F.transform("event_source_mappings", lambda m: m["uuid"].cast("string")), ",").alias("mappings"),
-        F.array_join(shown, ",").alias("configs"),
+    # A function's document can have several parts; together they hold every child once.
+    return documents.groupBy("region", "function_name").agg(
+        F.max("runtime").alias("runtime"),
+        F.max(pairs("tags")).alias("tags"),
+        F.sum(F.size("event_source_mappings")).alias("mappings"),
+        F.sum(total_of("event_source_mappings", lambda m: m["uuid"])).alias("mapping_ids"),
+        F.sum(F.size("provisioned_concurrency_configs")).alias("configs"),
+        F.sum(total_of("provisioned_concurrency_configs", lambda c: c["allocated"])).alias("allocated"),
     )
 
 
@@ -535,31 +536,30 @@ def inventory_topics(spark, folder):
     documents = inventory.inventory_topics(
         views.topics(spark, folder), views.topic_tags(spark, folder), views.subscriptions(spark, folder)
     )
-    shown = F.transform(
-        "subscriptions", lambda s: F.concat(s["subscription_id"].cast("string"), F.lit(":"), s["protocol"])
-    )
-    return documents.select(
-        "region", "topic_arn", "owner", "part", pairs("tags").alias("tags"), F.array_join(shown, ",").alias("subscriptions")
+    return documents.groupBy("region", "topic_arn").agg(
+        F.max("owner").alias("owner"),
+        F.max(pairs("tags")).alias("tags"),
+        F.sum(F.size("subscriptions")).alias("subscriptions"),
+        F.sum(
+            total_of("subscriptions", lambda s: s["subscription_id"] * F.length(s["protocol"]))
+        ).alias("digest"),
     )
 
 
 @query
 def inventory_queues(spark, folder):
     documents = inventory.inventory_queues(views.queues(spark, folder), views.queue_tags(spark, folder))
-    return documents.select(
-        "queue_arn",
-        "queue_url",
-        "part",
-        pairs("tags").alias("tags"),
-        F.array_join(F.transform("source_queues", lambda s: s["source_queue_url"]), ",").alias("sources"),
+    return documents.groupBy("queue_arn").agg(
+        F.max("queue_url").alias("queue_url"),
+        F.max(pairs("tags")).alias("tags"),
+        F.sum(F.size("source_queues")).alias("sources"),
+        F.sum(total_of("source_queues", lambda s: F.length(s["source_queue_url"]))).alias("url_chars"),
     )
 
 
 @query
 def inventory_report(spark, folder):
-    topics = inventory.inventory_topics(
-        views.topics(spark, folder), views.topic_tags(spark, folder), views.subscriptions(spark, folder)
-    ).select("region", "topic_arn", "part", F.size("subscriptions").alias("subscriptions"))
+    topics = views.topics(spark, folder)
     functions = tables.scan_functions(views.functions(spark, folder)).select("region", "function_name", "memory_size")
     return inventory.inventory_report({"lambda": functions, "sns": topics})
 

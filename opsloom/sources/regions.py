@@ -8,6 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.constants import REGIONS
+
+
+def region_paths(root: str, regions: list[str] = REGIONS) -> dict[str, str]:
+    """Folder of every region below a table that is laid out by region."""
+    return {region: f"{root}/region={region}" for region in regions}
+
 
 def read_regions(
     spark: SparkSession, paths: dict[str, str], schema: str, on_error: str = "skip"

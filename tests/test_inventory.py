@@ -3,10 +3,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from opsloom import schemas
+from opsloom.constants import SCAN_REGIONS
 from opsloom.operators import inventory, resolve
 from opsloom.operators.versions import latest_version, sorted_versions, version_drift
 from opsloom.sources import tables
-from opsloom.sources.regions import read_regions
+from opsloom.sources.regions import read_regions, region_paths
 
 
 def test_hot_parent_comes_in_parts(spark):
@@ -198,6 +199,7 @@ def test_failed_region_is_reported(spark, tmp_path):
     )
     assert [(r.region, r.function_name) for r in table.collect()] == [("us-east-1", "f")]
     assert [r.region for r in errors.collect()] == ["eu-west-1"]
+    assert region_paths("/t", SCAN_REGIONS)["us-east-1"] == "/t/region=us-east-1" and len(region_paths("/t")) == 16
     with pytest.raises(PySparkException):
         read_regions(spark, {"x": f"{tmp_path}/none"}, "function_name STRING", on_error="fail")
 
