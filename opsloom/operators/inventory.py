@@ -213,7 +213,9 @@ def failure_summary(results: DataFrame, has_region: bool = True) -> DataFrame:
         .groupBy("type", key.alias("key"))
         .agg(F.max_by("reason", "attempt").alias("reason"))
     )
-    counts = failed.groupBy("type").agg(F.count("*").alias("failed_count"))
+    # Counted by its reason, a failure is the same row in both branches and found only once.
+    failures = F.count("reason") + F.count_if(F.col("reason").isNull())
+    counts = failed.groupBy("type").agg(failures.alias("failed_count"))
     return failed.join(counts, "type").select("type", "key", "reason", "failed_count")
 
 
