@@ -133,8 +133,9 @@ def strip_shard_prefix(shard_id: Column) -> Column:
 
 
 def number_or_null(text: Column) -> Column:
-    """Number of a text, null where it is not one."""
-    return text.try_cast("double")
+    """Number of a text, null where it is none or not finite."""
+    number = text.try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def time_text(ts: Column) -> Column:

@@ -13,6 +13,7 @@ from opsloom.constants import (
     INIT_DURATION_PATTERN,
     LOG_FUNCTION_PATTERN,
 )
+from opsloom.functions.text import number_or_null
 from opsloom.operators.distribution import distribution_stats
 from opsloom.sources.filters import Moment, moment
 from opsloom.sources.metrics import scan_metrics
@@ -34,8 +35,8 @@ def parse_cold_starts(logs: DataFrame) -> DataFrame:
         "region",
         F.regexp_extract("log", LOG_FUNCTION_PATTERN, 1).alias("function_name"),
         "memory_bytes",
-        duration.try_cast("double").alias("duration_ms"),
-        init.try_cast("double").alias("init_ms"),
+        number_or_null(duration).alias("duration_ms"),
+        number_or_null(init).alias("init_ms"),
     )
 
 

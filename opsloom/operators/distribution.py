@@ -42,11 +42,13 @@ def distribution_stats(
 
     bucket = F.floor(F.col(value) / bucket_width).alias("_bucket")
     counts = df.groupBy(*keys, bucket, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    weighted = F.col("_n") * F.col("_v")
+    # Moments are taken from the lower end of the bucket, which keeps their digits.
+    floor = F.col("_bucket") * bucket_width
+    rest = F.col("_v") - floor
     buckets = counts.groupBy(*keys, "_bucket").agg(
         F.sum("_n").alias("_bn"),
-        F.sum(weighted).alias("_s1"),
-        F.sum(weighted * F.col("_v")).alias("_s2"),
+        F.sum(F.col("_n") * rest).alias("_d1"),
+        F.sum(F.col("_n") * rest * rest).alias("_d2"),
         F.max("_v").alias("_max"),
     )
 
@@ -55,18 +57,24 @@ def distribution_stats(
     running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     valued = F.when(F.col("_bucket").isNotNull(), F.col("_bn")).otherwise(0)
+    total = F.sum(valued).over(whole)
     ranked = buckets.select(
         *keys,
         "_bucket",
         (F.sum(valued).over(running) - valued).alias("_start"),
         F.sum(valued).over(running).alias("_end"),
-        F.sum(valued).over(whole).alias("_total"),
+        total.alias("_total"),
         F.sum("_bn").over(whole).alias("n"),
-        F.sum("_s1").over(whole).alias("_s1"),
-        F.sum("_s2").over(whole).alias("_s2"),
         F.max("_max").over(whole).alias(f"max_{suffix}"),
         F.row_number().over(in_order).alias("_row"),
+        (F.sum(F.col("_bn") * floor + F.col("_d1")).over(whole) / F.nullif(total, F.lit(0))).alias("_mean"),
+        "_bn",
+        "_d1",
+        "_d2",
     )
+    off = floor - F.col("_mean")
+    squares = F.col("_d2") + 2 * off * F.col("_d1") + F.col("_bn") * off * off
+    ranked = ranked.withColumn("_m2", F.sum(squares).over(whole)).drop("_bn", "_d1", "_d2", "_mean")
 
     def rank(p: float, side) -> Column:
         return side(F.lit(p) * (F.col("_total") - 1)).cast("bigint")
@@ -90,12 +98,12 @@ def distribution_stats(
     )
     holds = lambda r: F.max(F.when((r >= F.col("_last") - F.col("_n")) & (r < F.col("_last")), F.col("_v")))
     gathered = located.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in ("n", "_total", "_s1", "_s2", f"max_{suffix}")],
+        *[F.max(c).alias(c) for c in ("n", "_total", "_m2", f"max_{suffix}")],
         *[holds(rank(p, F.floor)).alias(f"_lo_{n}") for n, p in names.items()],
         *[holds(rank(p, F.ceil)).alias(f"_hi_{n}") for n, p in names.items()],
     )
     total = F.col("_total")
-    spread = F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / total, F.lit(0.0))
+    spread = F.greatest(F.col("_m2"), F.lit(0.0))
 
     def interpolate(name: str, p: float) -> Column:
         share = F.lit(p) * (total - 1) - rank(p, F.floor)

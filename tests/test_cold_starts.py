@@ -68,6 +68,19 @@ def test_percentiles_equal_brute_force_with_a_hot_group(spark, width):
         assert r.stddev_v == (pytest.approx(values.std(ddof=1)) if len(values) > 1 else None)
 
 
+def test_deviation_of_large_close_values(spark):
+    values = [1e7 + x / 1000 for x in range(50)]
+    df = spark.createDataFrame([("k", v) for v in values], "k STRING, v DOUBLE")
+    got = distribution_stats(df, ["k"], "v", "v").first().stddev_v
+    assert got == pytest.approx(np.std(values, ddof=1), rel=1e-6)
+
+
+def test_text_that_is_no_number_is_no_duration(spark):
+    rows = [log("f", REPORT.format(x)) for x in ("NaN", "Infinity", "x", "5.5")]
+    row = cold_starts.cold_start_stats(spark.createDataFrame(rows, schemas.LOGS)).first()
+    assert (row.cold_starts, row.median_init_ms, row.max_init_ms) == (4, 5.5, 5.5)
+
+
 def test_counts_are_read_once(spark, logs):
     df = cold_starts.cold_start_stats(logs)
     df.collect()
