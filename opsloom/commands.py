@@ -39,7 +39,8 @@ OPTIONS: dict[str, dict] = {
     "approx": {"flags": ["--approx"], "action": "store_true"},
     "inactive": {"flags": ["-i", "--inactive"], "action": "store_true"},
     "prefix": {"flags": ["-x", "--prefix"], "required": True},
-    "expression": {"flags": ["-e", "--expression"], "help": "SQL over all objects as the table s3object"},
+    "expression": {"flags": ["-e", "--expression"], "help": "SQL over the table s3object, for each object"},
+    "dataset": {"flags": ["--dataset"], "action": "store_true", "help": "all objects are one table"},
     "columns": {"flags": ["--columns"], "default": "*", "help": "columns selected from each object"},
     "where": {"flags": ["--where"]},
     "aggs": {"flags": ["--aggs"], "help": "aggregates per object, separated by semicolons"},
@@ -128,7 +129,7 @@ def list_shards(spark, args):
 
 
 @command(
-    "s3-select-batch", "prefix", "expression", "columns", "where", "aggs", "limit", "file_type", "csv_config",
+    "s3-select-batch", "prefix", "expression", "dataset", "columns", "where", "aggs", "limit", "file_type", "csv_config",
     "json_config", "output_file", "output_config", "compression",
 )
 def select_batch(spark, args):
@@ -138,13 +139,14 @@ def select_batch(spark, args):
         return None
     print(f"found {found['objects']} objects, with a total size of {found['size']}")
     config = {"CSV": args.csv_config, "JSON": args.json_config}.get(args.file_type)
-    records = read_objects(spark, args.prefix, args.file_type, config, args.compression)
+    records = read_objects(spark, args.prefix, args.file_type, config, args.compression, numbered=not args.expression)
+    one_table = "dataset" if args.dataset else "object"
     if args.expression:
-        result = objects.query_objects(spark, records, args.expression)
+        result = objects.query_objects(spark, records, args.expression, one_table)
     else:
         aggs = [a.strip() for a in args.aggs.split(";")] if args.aggs else None
         result = objects.select_objects(
-            records, [args.columns], args.where, aggs, args.limit, order=["object_row"]
+            records, [args.columns], args.where, aggs, args.limit, order=["object_row"], scope=one_table
         ).drop("object_row")
     if args.output_file:
         writers.write_result(result, args.output_file, writers.output_format(args.file_type), args.output_config)

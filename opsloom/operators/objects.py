@@ -8,10 +8,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def query_objects(spark: SparkSession, records: DataFrame, expression: str) -> DataFrame:
-    """A Spark SQL query over all records, which it sees as the table ``s3object``."""
-    records.drop("object_row").createOrReplaceTempView("s3object")
-    return spark.sql(expression)
+def query_objects(
+    spark: SparkSession, records: DataFrame, expression: str, scope: str = "object"
+) -> DataFrame:
+    """A Spark SQL query over records, which it sees as the table ``s3object``.
+
+    The query is answered for each object on its own, so that limits and aggregates count
+    per object; ``object`` names the object of a row. Spark turns the lateral join into
+    grouping and ranking by object. A limit is best given with an order: without one,
+    all matching rows of an object meet in one task (``select_objects`` avoids that).
+    With ``scope="dataset"`` all records are one table.
+    """
+    columns = [f"`{c}`" for c in records.columns if c != "object"]
+    if scope == "dataset":
+        records.select(*columns).createOrReplaceTempView("s3object")
+        return spark.sql(expression)
+    records.createOrReplaceTempView("s3object_records")
+    return spark.sql(
+        f"""SELECT each.object, answer.*
+        FROM (SELECT DISTINCT object FROM s3object_records) each, LATERAL (
+            WITH s3object AS (
+                SELECT {", ".join(columns)} FROM s3object_records all WHERE all.object = each.object
+            ) {expression}
+        ) answer"""
+    )
 
 
 def select_objects(

@@ -426,6 +426,12 @@ ORACLE: dict[str, str] = {
     ),
     "select_objects_dataset": """SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars
         FROM documents WHERE n_chars > 100 GROUP BY lang""",
+    "select_objects_sql_per_object": """SELECT source AS object, doc_id, n_chars FROM documents WHERE lang = 'en'
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1""",
+    "select_objects_sql_totals": """SELECT source AS object,
+        count(*) FILTER (WHERE lang = 'en' AND n_chars > 20000) AS n,
+        CAST(sum(n_chars) FILTER (WHERE lang = 'en' AND n_chars > 20000) AS DOUBLE) AS chars
+        FROM documents GROUP BY source""",
     "select_objects_limit_per_object": """SELECT source AS object, doc_id, n_chars FROM documents WHERE lang = 'en'
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""",
     "select_objects_agg_per_object": """SELECT source AS object,

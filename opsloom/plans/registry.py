@@ -279,6 +279,27 @@ def select_objects_dataset(spark, folder):
         spark,
         views.records(spark, folder),
         "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM s3object WHERE n_chars > 100 GROUP BY lang",
+        scope="dataset",
+    )
+
+
+@query
+def select_objects_sql_per_object(spark, folder):
+    """The longest English document of every object, as SQL text."""
+    return objects.query_objects(
+        spark,
+        views.records(spark, folder),
+        "SELECT s.doc_id, s.n_chars FROM s3object s WHERE s.lang = 'en' ORDER BY s.n_chars DESC, s.doc_id LIMIT 1",
+    )
+
+
+@query
+def select_objects_sql_totals(spark, folder):
+    """Totals of every object, as SQL text; objects without a match answer too."""
+    return objects.query_objects(
+        spark,
+        views.records(spark, folder),
+        "SELECT count(*) AS n, CAST(sum(n_chars) AS DOUBLE) AS chars FROM s3object WHERE lang = 'en' AND n_chars > 20000",
     )
 
 

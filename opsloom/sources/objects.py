@@ -65,10 +65,12 @@ def read_objects(
     compression: str = "NONE",
     schema: str | None = None,
     on_error: str = "skip",
+    numbered: bool = False,
 ) -> DataFrame:
     """Records of all files below a prefix.
 
-    ``object`` is the path of a record's file and ``object_row`` orders the records of a file.
+    ``object`` is the path of a record's file. With ``numbered``, ``object_row`` orders the
+    records of a file.
 
     ``config`` is the caller's parse configuration. Columns of a CSV without header are
     ``_1, _2, ...``. The codec follows from the file suffix, so ``compression`` selects
@@ -91,7 +93,7 @@ def read_objects(
         reader = reader.schema(schema)
 
     try:
-        return _read(reader, _glob(prefix), file_type.upper(), config, schema is None)
+        return _read(reader, _glob(prefix), file_type.upper(), config, schema is None, numbered)
     except AnalysisException as error:
         if not _is_empty_set(error):
             raise
@@ -100,7 +102,7 @@ def read_objects(
 
 
 def _read(
-    reader: DataFrameReader, path: str, kind: str, config: dict, inferred: bool
+    reader: DataFrameReader, path: str, kind: str, config: dict, inferred: bool, numbered: bool
 ) -> DataFrame:
     if kind == "CSV":
         records = reader.options(**_csv_options(config)).csv(path)
@@ -114,11 +116,12 @@ def _read(
     columns = [F.col(f"`{c}`") for c in records.columns]
     if kind == "CSV" and inferred and config.get("FileHeaderInfo", "NONE") != "USE":
         columns = [c.alias(f"_{i}") for i, c in enumerate(columns, start=1)]
+    columns.append(F.col("_metadata.file_path").alias("object"))
+    if not numbered:
+        return records.select(*columns)
     # Parquet numbers its rows, so filters still reach the scan; other rows are numbered as read.
     if kind == "PARQUET":
         position = F.struct(F.lit(0), F.col("_metadata.row_index"))
     else:
         position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return records.select(
-        *columns, F.col("_metadata.file_path").alias("object"), position.alias("object_row")
-    )
+    return records.select(*columns, position.alias("object_row"))

@@ -104,7 +104,8 @@ def test_select(spark, tmp_path, capsys):
     assert run(spark, [*base, "--limit", "1", "--columns", "id"]).count() == 2
     assert "found 2 objects" in capsys.readouterr().out
     assert run(spark, [*base, "--aggs", "count(*) AS n; max(id) AS m"]).collect()[0].n == 2
-    assert run(spark, [*base, "-e", "SELECT count(*) AS n FROM s3object"]).first().n == 4
+    assert run(spark, [*base, "-e", "SELECT count(*) AS n FROM s3object", "--dataset"]).first().n == 4
+    assert run(spark, [*base, "-e", "select * from s3object limit 1"]).count() == 2
     assert run(spark, [*base, "-o", f"{tmp_path}/out"]) is None
     assert spark.read.json(f"{tmp_path}/out").count() == 4
     assert run(spark, ["s3-select-batch", "-x", f"{tmp_path}/none/", "-f", "CSV"]) is None

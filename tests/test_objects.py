@@ -25,7 +25,7 @@ def prefix(tmp_path):
 
 
 def test_limit_counts_per_object(spark, prefix):
-    records = read_objects(spark, prefix, "JSON")
+    records = read_objects(spark, prefix, "JSON", numbered=True)
     assert records.count() == 6
     one = select_objects(records, columns=["id", "object"], limit=1, order=["object_row"])
     assert [r.id for r in one.collect()] == [1, 1]
@@ -43,8 +43,24 @@ def test_aggregates_per_object(spark, prefix):
 
 def test_sql_over_all_objects(spark, prefix):
     records = read_objects(spark, prefix, "JSON")
-    rows = query_objects(spark, records, "SELECT s.id FROM s3object s WHERE s.id > 1 LIMIT 3").collect()
-    assert len(rows) == 3
+    text = "SELECT s.id FROM s3object s WHERE s.id > 1 LIMIT 3"
+    assert query_objects(spark, records, text, scope="dataset").count() == 3
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("select * from s3object limit 1", 2),
+        ("SELECT s.id FROM s3object s WHERE s.id > 1 ORDER BY s.id LIMIT 1", 2),
+        ("SELECT id FROM s3object WHERE id > 1", 4),
+        ("SELECT count(*) AS n FROM s3object WHERE id > 7", 2),
+    ],
+)
+def test_sql_for_each_object(spark, prefix, text, expected):
+    rows = query_objects(spark, read_objects(spark, prefix, "JSON"), text).collect()
+    assert len(rows) == expected and len({r.object for r in rows}) == 2
+    if "count" in text:
+        assert [r.n for r in rows] == [0, 0]
 
 
 def test_totals_and_partial_prefix(spark, prefix):
@@ -96,7 +112,7 @@ def test_unreadable_object_is_skipped(spark, tmp_path):
 
 def test_only_needed_columns_are_read(spark, tmp_path):
     spark.range(5).selectExpr("id", "id * 2 AS twice", "id * 3 AS more").write.parquet(str(tmp_path / "w"))
-    records = read_objects(spark, f"{tmp_path}/w/", "Parquet")
+    records = read_objects(spark, f"{tmp_path}/w/", "Parquet", numbered=True)
     picked = select_objects(records, columns=["id"], where="twice > 2", limit=2, order=["object_row"])
     assert picked.count() >= 2
     plan = picked._jdf.queryExecution().executedPlan().toString()
