@@ -1,4 +1,7 @@
-"""Seconds per registered query: median of BENCH_RUNS runs after a warm-up. Prints one JSON line."""
+"""Seconds per registered query: median of BENCH_RUNS runs after a warm-up. Prints one JSON line.
+
+After BENCH_BUDGET seconds the remaining queries are timed once.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    budget = float(os.environ.get("BENCH_BUDGET", "420"))
     names = sys.argv[1:] or list(QUERIES)
     spark = build_session(
         "bench",
@@ -32,9 +36,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
+    begin = time.perf_counter()
     for name in names:
         times = []
-        for _ in range(runs + 1):
+        repeats = runs if time.perf_counter() - begin < budget else 1
+        for _ in range(repeats + 1):
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
