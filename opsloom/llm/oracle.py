@@ -3,3 +3,42 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n
+      FROM (SELECT item_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS gram
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+sizes AS (SELECT DISTINCT n FROM b),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, gram)),
+word AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+         FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+ORACLE["op2_line_dedup"] = """
+WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq
+           FROM lines WHERE trim(line, ' ') <> ''),
+starts AS (SELECT a.doc_id, a.seq, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.seq) AS copy
+           FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.seq = a.seq + 1),
+gone AS (SELECT DISTINCT doc_id, unnest([seq, seq + 1]) AS seq FROM starts WHERE copy > 1),
+marked AS (SELECT l.doc_id, l.i, l.line, f.seq, g.seq IS NOT NULL AS removed
+           FROM lines l LEFT JOIN filled f ON l.doc_id = f.doc_id AND l.i = f.i
+           LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.seq = f.seq)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS text,
+       count(seq) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed
+FROM marked GROUP BY doc_id
+"""

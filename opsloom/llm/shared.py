@@ -80,3 +80,16 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(counts) - counts
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, counts)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits for a document: its id and whole text, nulls included. Rows that repeat share it."""
+    parts = F.concat(
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\x00"), F.coalesce(F.col(text), F.lit("\x00"))
+    )
+    return F.unhex(F.md5(parts.cast("binary")))
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
