@@ -355,5 +355,6 @@ def near_duplicates(
     ids = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = ids.join(above, "root", "left").withColumn("root", F.coalesce("top", "root"))
     class_id = ids.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    ids = ids.join(class_id, "root").select("node", "class_id", "copies")
+    # Stored, so that the last join stands alone and Spark can split the rows of a text with very many copies.
+    ids = stored(ids.join(class_id, "root").select("node", "class_id", "copies"), "classes")
     return table.select("doc_id", "node", F.col("size").alias("n_shingles")).join(ids, "node")
