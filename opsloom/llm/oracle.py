@@ -42,3 +42,18 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT r
        count(seq) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed
 FROM marked GROUP BY doc_id
 """
+
+# SHA-1 in hexadecimal, read as 32 groups of 5 bits.
+ORACLE["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+bits AS (SELECT DISTINCT hex, array_to_string(list_transform(range(1, 41),
+           lambda i: lpad(bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')), '') AS b FROM h),
+code AS (SELECT hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST(list_sum(list_transform(range(0, 5),
+             lambda j: CAST(substr(b, 5 * i + j + 1, 1) AS INT) * (16 >> j))) AS INT), 1)), '') AS payload_digest FROM bits),
+r AS (SELECT h.page_id, payload_bytes, payload_digest,
+             max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM h JOIN code USING (hex))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to, true AS intact FROM r
+"""

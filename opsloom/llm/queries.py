@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import decontamination, language_id, line_dedup, near_dup, packing
-from opsloom.llm.shared import held_out
+from opsloom.llm import decontamination, language_id, line_dedup, near_dup, packing, warc
+from opsloom.llm.shared import held_out, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.archived(table(spark, sf_dir, "pages"), shared_folder(spark, "archives")).drop("url")
+
+
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates per document."""
