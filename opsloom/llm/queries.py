@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import decontamination, language_id, line_dedup, near_dup, packing, warc
+from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, warc
 from opsloom.llm.shared import held_out, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in spans shared with benchmark items."""
@@ -51,6 +57,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and how many others lie within the radius.
+
+    n_near is counted for the documents whose id is divisible by 20, against all documents.
+    """
+    return fingerprints.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
