@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, warc
+from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, substring_dedup, warc
 from opsloom.llm.shared import held_out, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that an earlier document has too."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and how many others lie within the radius.
