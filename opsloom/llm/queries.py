@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, substring_dedup, warc
+from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, substring_dedup, toxicity, warc
 from opsloom.llm.shared import held_out, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("row_key")
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs.select("doc_id", "text"), index)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every piece of every document."""
