@@ -40,7 +40,8 @@ def _directed(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
+    # Stored, so that the join can split a node with very many links.
+    least = stored(both.groupBy("a").agg(F.min("b").alias("least")), "least")
     found = both.where(F.col("b") > F.col("a")).join(least, "a")
     return _directed(found.select(F.col("b").alias("a"), F.least("a", "least").alias("b")))
 

@@ -332,7 +332,8 @@ def near_duplicates(
     nodes = table.groupBy("node").agg(F.min("bands").alias("bands"), F.min("size").alias("size"))
     buckets = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    shared = shared.where(F.col("pivot") != F.col("last")).select("bucket", "pivot")
+    # Stored, as are others below: the join then has plain shuffles on both sides, and Spark can split a large bucket.
+    shared = stored(shared.where(F.col("pivot") != F.col("last")).select("bucket", "pivot"), "shared")
     members = stored(buckets.join(shared, "bucket"), "buckets")
     needed = members.select("node").distinct()
     texts = docs.select(node, "text").join(needed, "node").groupBy("node").agg(F.min("text").alias("text"))
