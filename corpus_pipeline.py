@@ -13,20 +13,31 @@ from opsloom.llm import decontamination, language_id, line_dedup, near_dup, pack
 from opsloom.llm.shared import shared_folder
 
 
+def _renamed(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns that no operator adds or replaces, but for doc_id, text and lang; see :func:`_restored`."""
+    kept = ("doc_id", "text", "lang")
+    return docs.toDF(*[c if c in kept else f"column_{i}" for i, c in enumerate(docs.columns)])
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows of :func:`_renamed`, under their names."""
+    return found.select(*_renamed(docs).columns).toDF(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; lang becomes the predicted one. Wordless and foreign texts go."""
-    found = language_id.identified(docs, language_id.fit(docs)).where(~F.col("rejected"))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = language_id.identified(_renamed(docs), language_id.fit(docs)).where(~F.col("rejected"))
+    return _restored(found.withColumn("lang", F.col("lang_pred")), docs)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are deleted; documents of which nothing is left go."""
-    found = line_dedup.deduplicated(docs)
+    found = line_dedup.deduplicated(_renamed(docs))
     left = (F.col("n_removed") == 0) | (F.length(F.trim(F.col("text"))) > 0)
-    found = found.where(F.coalesce(left, F.lit(True)))
+    found = _restored(found.where(F.coalesce(left, F.lit(True))), docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +50,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     keep = keep.select("_node", *_parts("class_id"))
     # The columns of the join are those of the deduplication, so texts are shuffled once.
     by = ["_node", "_id", "_no_id"]
-    rows = docs.select("*", near_dup.text_key().alias("_node"), *_parts("doc_id"))
-    return rows.join(keep, by, "left_semi").dropDuplicates(by).select(*docs.columns)
+    rows = _renamed(docs).select("*", near_dup.text_key().alias("_node"), *_parts("doc_id"))
+    return _restored(rows.join(keep, by, "left_semi").dropDuplicates(by), docs)
 
 
 def _parts(doc_id: str) -> list[Column]:
@@ -52,7 +63,7 @@ def _parts(doc_id: str) -> list[Column]:
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words is shared with benchmark items."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.clean_documents(docs, benchmark).select(*docs.columns)
+    return _restored(decontamination.clean_documents(_renamed(docs), benchmark), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,5 +156,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns; rows that repeat are judged alike."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("row_key").alias("_row_key"))
-    return docs.join(bad, row_key() == F.col("_row_key"), "left_anti")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("row_key").alias("__corpus_key"))
+    return docs.join(bad, row_key() == F.col("__corpus_key"), "left_anti")
