@@ -128,13 +128,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         lambda j: F.coalesce(F.get("part", j + F.col("shift") - F.col("low")) == F.get("words", j), F.lit(False)),
     )
     need = F.least(F.col("size"), F.lit(window))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.col("size") - need), lambda j: F.forall(F.slice("equal", j + 1, need), lambda e: e)
-    )
+    # The one-element array binds the comparison, which is then made once and not for every start.
+    starts = F.transform(
+        F.array(equal),
+        lambda e: F.filter(
+            F.sequence(F.lit(0), F.col("size") - need), lambda j: F.forall(F.slice(e, j + 1, need), lambda x: x)
+        ),
+    )[0]
     places = F.flatten(
         F.transform(starts, lambda j: F.sequence(j + F.col("shift"), j + F.col("shift") + need - 1))
     )
-    spans = spans.withColumn("equal", equal).select("row_key", "item_id", F.array_distinct(places).alias("places"))
+    spans = spans.select("row_key", "item_id", F.array_distinct(places).alias("places"))
     spans = spans.where(F.size("places") > 0)
     words = spans.select("row_key", F.explode("places").alias("place")).distinct()
     words = words.groupBy("row_key").agg(F.count("*").alias("n_hit"))
