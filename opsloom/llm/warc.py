@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.llm.shared import stored
+
 #: Bytes of a chunk, a little less where it would end inside a character.
 CHUNK = 1 << 16
 PER_FILE = 2000
@@ -116,11 +118,14 @@ def _uri(column: str):
 def write_archives(chunks: DataFrame, marks: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """Writes a record for each record of ``chunks``; ``marks`` is that of :func:`originals`.
 
-    Rows are dealt over files by a hash of the record and are sorted by record and chunk.
+    Records are dealt over files of about ``per_file`` by a hash and are sorted by record and chunk; chunks that
+    repeat are written once.
     """
-    n = marks.count()
+    files = max(1, -(-marks.count() // per_file))
     chosen = marks.select("record_id", F.col("digest").alias("payload_digest"), "n_bytes", "refers_to")
-    rows = chunks.select("record_id", "url", "chunk_no", "chunk", "last").join(chosen, "record_id")
+    # One shuffle of payloads: it serves the join, drops rows that repeat, and makes the files.
+    rows = chunks.select("record_id", "url", "chunk_no", "chunk", "last").repartition(files, "record_id")
+    rows = rows.join(chosen, "record_id").dropDuplicates(["record_id", "chunk_no"])
     rows = rows.where(F.col("refers_to").isNull() | (F.col("chunk_no") == 0))
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("chunk").cast("string"))
@@ -154,9 +159,7 @@ def write_archives(chunks: DataFrame, marks: DataFrame, path: str, per_file: int
     )
     # The writer ends each row with a newline; the text of a record ends with one.
     lines = F.split(F.concat(head, body, F.lit("\r\n\r")), "\n")
-    files = max(1, -(-n // per_file))
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("record_id"), F.lit(files)))
-    rows = rows.repartition("file").sortWithinPartitions("file", "record_id", "chunk_no")
+    rows = rows.sortWithinPartitions("record_id", "chunk_no")
     rows.select(F.explode(lines).alias("value")).write.option("compression", "gzip").text(path)
 
 
@@ -255,42 +258,89 @@ def read_archives(spark: SparkSession, path: str, size: int = CHUNK) -> DataFram
     )
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by record, segment and chunk; one row per record with the digest of what was read."""
-    record, sha, total, first = None, None, 0, None
-    for batch in batches:
-        rows = []
-        chunks = batch.column("chunk")
-        names = ("record_id", "url", "type", "refers_to", "digest")
-        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
-            if row[0] != record:
-                if record is not None:
-                    rows.append((*first, total, base32(sha.digest())))
-                record, sha, total, first = row[0], hashlib.sha1(), 0, row
-            chunk = memoryview(chunks[i].as_buffer())
-            sha.update(chunk)
-            total += len(chunk)
-        yield _records(rows)
-    yield _records([(*first, total, base32(sha.digest()))] if record is not None else [])
+class _Digest:
+    """Digests of the records whose chunks come in order; the others are named as open."""
+
+    def __init__(self):
+        self.first, self.sha, self.total, self.segment = None, None, 0, 0
+
+    def feed(self, row: tuple) -> Iterator[tuple]:
+        """``row`` is that of a reader: record, url, type, refers_to, digest, (segment, chunk), chunk, ends."""
+        record, (segment, number), chunk, ends = row[0], row[5], row[6], row[7]
+        if segment == 1 and number == 0:
+            yield from self.close()
+            self.first, self.sha, self.total, self.segment = row[:5], hashlib.sha1(), 0, 1
+        elif self.first is None or self.first[0] != record or segment - self.segment not in (0, 1):
+            yield from self.close()
+            yield (record, None, None, None, None, None, None, True)
+            return
+        self.segment = segment
+        self.sha.update(chunk)
+        self.total += len(chunk)
+        if ends:
+            yield (*self.first, self.total, base32(self.sha.digest()), False)
+            self.first = None
+
+    def close(self) -> Iterator[tuple]:
+        if self.first is not None:
+            yield (self.first[0], None, None, None, None, None, None, True)
+            self.first = None
+
+
+_RECORD = (
+    "record_id string, url string, type string, refers_to string, digest string, n_bytes bigint, "
+    "read_digest string, open boolean"
+)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.string()]
-    names = ["record_id", "url", "type", "refers_to", "digest", "n_bytes", "read_digest"]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.bool_()]
+    names = [part.split()[0] for part in _RECORD.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def records_of(chunks: DataFrame) -> DataFrame:
-    """One row per record: record_id, url, type, refers_to, digest (as stated), n_bytes and read_digest (as read).
+def _digests_of_lines(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, digest = _Reader(size), _Digest()
+        for batch in batches:
+            lines, rows = batch.column("line"), []
+            for i in range(len(lines)):
+                for row in reader.feed(lines[i].as_py()):
+                    rows += digest.feed(row)
+            yield _records(rows)
+        yield _records(list(digest.close()))
+
+    return run
+
+
+def _digests_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by record, segment and chunk."""
+    digest = _Digest()
+    names = ("record_id", "url", "type", "refers_to", "digest", "segment", "chunk_no", "chunk", "last")
+    for batch in batches:
+        rows = []
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            rows += digest.feed((*row[:5], (row[5], row[6]), row[7], row[8]))
+        yield _records(rows)
+    yield _records(list(digest.close()))
+
 
-    Chunks of a record meet in one task, in order, and pass one at a time.
+def read_records(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """One row per record below ``path``: record_id, url, type, refers_to, digest (as stated), n_bytes, read_digest.
+
+    A record whose segments follow each other in a file is digested as they pass. The chunks of the others, if
+    there are any, meet by record in a shuffle, in order. A record that is not whole is left out.
     """
-    rows = chunks.repartition("record_id").sortWithinPartitions("record_id", "segment", "chunk_no")
-    return rows.select("record_id", "url", "type", "refers_to", "digest", "chunk").mapInArrow(
-        _digests,
-        "record_id string, url string, type string, refers_to string, digest string, n_bytes bigint, read_digest string",
-    )
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("line"))
+    found = stored(lines.mapInArrow(_digests_of_lines(size), _RECORD), "records")
+    whole = found.where("not open").drop("open")
+    open_ = found.where("open").select("record_id").distinct()
+    if open_.isEmpty():
+        return whole
+    chunks = read_archives(spark, path, size).join(open_, "record_id")
+    chunks = chunks.repartition("record_id").sortWithinPartitions("record_id", "segment", "chunk_no")
+    return whole.union(chunks.mapInArrow(_digests_of_chunks, _RECORD).where("not open").drop("open"))
 
 
 def archived(pages: DataFrame, path: str, size: int = CHUNK, least_bytes: int = 0, per_file: int = PER_FILE) -> DataFrame:
@@ -311,9 +361,8 @@ def archived(pages: DataFrame, path: str, size: int = CHUNK, least_bytes: int =
     page = F.when(~F.col("record_id").startswith("null:"), F.substring_index("record_id", ":", 1).cast("bigint"))
     payloads = chunks.where("last").select("record_id", "digest", F.col("bytes_so_far").alias("n_bytes")).distinct()
     marks = originals(payloads.withColumn("page_id", page), "page_id", least_bytes).drop("page_id")
-    written = chunks.dropDuplicates(["record_id", "chunk_no"])
-    write_archives(written, marks, path, per_file)
-    back = records_of(read_archives(spark, path, size))
+    write_archives(chunks, stored(marks, "marks"), path, per_file)
+    back = read_records(spark, path, size)
     full = back.where(F.col("refers_to").isNull()).select(F.col("record_id").alias("original"), F.col("n_bytes").alias("full"))
     back = back.join(full, F.col("refers_to") == F.col("original"), "left")
     revisit = F.col("type") == "revisit"

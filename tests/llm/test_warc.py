@@ -66,6 +66,20 @@ def test_files_are_warc(spark):
     assert any(b"WARC-Type: revisit" in r and b"WARC-Refers-To: <urn:record:2:" in r for r in records)
 
 
+def test_segments_in_other_files_are_found(spark):
+    path = shared_folder(spark, "warc-test")
+    whole = ["ab" * 50 + "\n", "second", "third\r\n"]
+    files = []
+    for i, part in enumerate(whole):
+        head = f"WARC/1.1\r\nWARC-Type: {'continuation' if i else 'response'}\r\nWARC-Record-ID: <urn:record:{'r' if not i else i}>\r\n"
+        head += f"WARC-Segment-Number: {i + 1}\r\n" + ("WARC-Segment-Origin-ID: <urn:record:r>\r\n" if i else "")
+        head += f"WARC-Segment-Total-Length: {len(''.join(whole))}\r\n" if i == 2 else ""
+        files.append((i, f"{head}Content-Length: {len(part)}\r\n\r\n{part}\r\n\r"))
+    spark.createDataFrame(files, "i int, value string").repartition(3, "i").sortWithinPartitions("i").select("value").write.option("compression", "gzip").text(path)
+    row = warc.read_records(spark, path, 16).collect()
+    assert [(r["record_id"], r["n_bytes"], r["read_digest"]) for r in row] == [("r", len("".join(whole)), digest("".join(whole)))]
+
+
 def test_least_size_and_odd_rows(spark):
     rows = [(1, "a", "x"), (2, "a", "x"), (2, "a", "x"), (2, "b", "x"), (None, None, None), (None, None, "x"), (3, "a", "yyyy"), (4, "a", "yyyy")]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'own' AS record_id", "1 AS chunk_no")
