@@ -16,13 +16,14 @@ def is_version(version: Column) -> Column:
 def version_key(version: Column) -> Column:
     """Text whose order is version precedence; null for text that is no version.
 
-    Numbers are padded to equal width. A release sorts after its pre-releases; in a
+    A number is preceded by how many digits it has. A release sorts after its pre-releases; in a
     pre-release numeric identifiers sort by value and before alphanumeric ones, and a
     shorter list of identifiers sorts first. Build metadata has no weight.
     """
 
     def pad(text: Column) -> Column:
-        return F.lpad(F.regexp_replace(text, r"^0+(?=\d)", ""), 32, "0")
+        digits = F.regexp_replace(text, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
 
     core = F.concat(*[pad(F.regexp_extract(version, SEMVER, i)) for i in (1, 2, 3)])
     pre = F.regexp_extract(version, SEMVER, 4)

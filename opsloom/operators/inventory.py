@@ -207,7 +207,8 @@ def last_attempt(results: DataFrame) -> DataFrame:
 def failure_summary(results: DataFrame, has_region: bool = True) -> DataFrame:
     """Failed resources with their reason (the last attempt's), and how many of their type failed."""
     name = F.col("name")
-    key = F.concat(name, F.lit(" ["), F.col("region"), F.lit("]")) if has_region else name
+    located = F.concat(name, F.lit(" ["), F.col("region"), F.lit("]"))
+    key = F.coalesce(located, name) if has_region else name  # global resources have no region
     failed = (
         results.where(F.col("status") == "fail")
         .groupBy("type", key.alias("key"))

@@ -15,32 +15,36 @@ def topics_named(topics: DataFrame, name: str) -> DataFrame:
     return topics.where(F.col("topic_arn").endswith(f":{name}"))
 
 
-def _first(df: DataFrame, column: str, what: str) -> str:
-    rows = df.select(column).limit(1).collect()
+def _only(df: DataFrame, column: str, what: str) -> str:
+    rows = df.select(column).distinct().limit(2).collect()
     if not rows:
         raise LookupError(f"cannot find {what}")
+    if len(rows) > 1:
+        raise LookupError(f"there is more than one of {what}, such as {rows[0][0]} and {rows[1][0]}")
     return rows[0][0]
 
 
 def resolve_queue(queues: DataFrame, name: str) -> str:
-    return _first(exact_queues(queues, name), "queue_url", f"the queue [{name}]")
+    return _only(exact_queues(queues, name), "queue_url", f"the queue [{name}]")
 
 
 def resolve_topic(topics: DataFrame, name: str) -> str:
-    return _first(topics_named(topics, name), "topic_arn", f"the topic [{name}]")
+    return _only(topics_named(topics, name), "topic_arn", f"the topic [{name}]")
 
 
 def resolve_group(groups: DataFrame, prefix: str, shown: int = 50) -> str:
-    """The log group with a prefix; an error names the candidates when there are several."""
+    """The log group of a name, else the one with that prefix; an error names candidates if there are several."""
+    if not groups.where(F.col("log_group") == prefix).isEmpty():
+        return prefix
     matching = groups.where(F.col("log_group").startswith(prefix)).select("log_group").distinct()
     names = [r[0] for r in matching.orderBy("log_group").limit(shown + 1).collect()]
     if not names:
         raise LookupError(f"no log group starts with [{prefix}]")
     if len(names) > shown:
         raise LookupError(f"more than {shown} log groups start with [{prefix}]")
-    if len(names) > 1 and prefix not in names:
+    if len(names) > 1:
         raise LookupError(f"several log groups start with [{prefix}]: {', '.join(names)}")
-    return prefix if prefix in names else names[0]
+    return names[0]
 
 
 def disabled_rules(rules: DataFrame) -> DataFrame:

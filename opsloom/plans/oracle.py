@@ -554,6 +554,12 @@ ORACLE: dict[str, str] = {
         """SELECT type, name || ' [' || region || ']' AS key, reason, count(*) OVER (PARTITION BY type) AS failed_count
            FROM attempts WHERE status = 'fail'""",
     ),
+    "failure_summary_global": using(
+        "attempts",
+        """SELECT type, CASE WHEN type = '1-URGENT' THEN name ELSE name || ' [' || region || ']' END AS key, reason,
+                  count(*) OVER (PARTITION BY type) AS failed_count
+           FROM attempts WHERE status = 'fail'""",
+    ),
     "other_buckets": using(
         "od",
         """SELECT o.region, o.o_custkey AS stack, 'res-' || first AS deployment_bucket, 'res-' || o_orderkey AS bucket

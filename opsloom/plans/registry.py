@@ -49,6 +49,11 @@ def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     return df.select(*[shown(name, kind) for name, kind in df.dtypes])
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with leading zeros; one that is longer stays whole."""
+    return F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
+
+
 def pairs(column: str) -> Column:
     """A map of plain values as text ordered by key."""
     entries = F.array_sort(F.map_entries(column))
@@ -512,7 +517,7 @@ def inventory_functions(spark, folder):
     configs = tables.scan_pc_configs(orders).select("region", "function_name", "qualifier", "allocated")
     mappings = views.subscriptions(spark, folder).select(
         "region",
-        F.concat(F.lit("Customer#"), F.lpad(F.element_at(F.split("topic_arn", "-"), -1), 9, "0")).alias(
+        F.concat(F.lit("Customer#"), padded(F.element_at(F.split("topic_arn", "-"), -1), 9)).alias(
             "function_name"
         ),
         F.col("subscription_id").alias("uuid"),
@@ -629,6 +634,14 @@ def failure_summary(spark, folder):
     return inventory.failure_summary(inventory.last_attempt(views.results(spark, folder)))
 
 
+@query
+def failure_summary_global(spark, folder):
+    """Resources of one type have no region."""
+    results = views.results(spark, folder)
+    results = results.withColumn("region", F.when(F.col("type") != "1-URGENT", F.col("region")))
+    return inventory.failure_summary(inventory.last_attempt(results))
+
+
 @query
 def other_buckets(spark, folder):
     stacks, resources = views.stacks(spark, folder)

@@ -187,16 +187,20 @@ def replay(
 
 
 def replay_router(
-    target_type: str, path: str, sender: Sender | None = None
+    target_type: str, path: str, sender: Sender | None = None, replay: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function of a streaming replay.
 
-    Every batch has its own folder that a retry overwrites, so a batch that runs twice is
-    stored once. With a sender the folders hold the results.
+    Every batch of every replay has its own folder that a retry overwrites, so a batch that runs twice is
+    stored once. A replay is known by the id in its checkpoint: a restart goes on in its folder, and replays of
+    other queues, or from a new checkpoint, never overwrite it; ``replay`` names it otherwise. With a sender the folders hold the results.
     """
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{path}/batch={batch_id}"
+        replay_id = replay or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not replay_id:
+            raise RuntimeError("name the replay of a batch that is not part of a stream")
+        folder = f"{path}/replay={replay_id}/batch={batch_id}"
         if sender is None:
             write_target(replay_rows(batch, target_type), target_type, folder, mode="overwrite")
             return

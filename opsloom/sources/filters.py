@@ -5,7 +5,7 @@ Bounds are literals of the column's own type, so that they reach the file scan.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,9 @@ Moment = datetime | str
 
 
 def moment(value: Moment) -> datetime:
-    return value if isinstance(value, datetime) else datetime.fromisoformat(value)
+    """A moment in UTC without an offset; one with an offset is converted."""
+    value = value if isinstance(value, datetime) else datetime.fromisoformat(value)
+    return value.astimezone(timezone.utc).replace(tzinfo=None) if value.tzinfo else value
 
 
 def time_literal(df: DataFrame, column: str, value: Moment) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +22,16 @@ def read_regions(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of every readable region and a table ``(region, error)`` of the others.
 
-    Paths are checked when the plan is built; the list of regions is short and fixed.
+    Paths and the footers of their files are checked when the plan is built; a region with a file that cannot
+    be read is an error as a whole, so no rows go missing in silence. The list of regions is short and fixed.
     Tables already partitioned by ``region`` need none of this: filter that column.
     """
     tables, errors = [], []
     for region, path in paths.items():
         try:
-            table = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
-        except AnalysisException as error:
+            table = spark.read.schema(schema).parquet(path)
+            table.count()  # reads the footers only
+        except (PySparkException, Py4JJavaError) as error:
             if on_error != "skip":
                 raise
             errors.append((region, str(error).splitlines()[0]))

@@ -23,13 +23,16 @@ def read_stream(
     pattern: str | None = None,
     arrival: str | None = None,
 ) -> DataFrame:
-    """Files landing in a folder. ``arrival`` names a column for their modification time.
+    """Files landing in a folder. ``arrival`` names a column for the time at which they are read.
+
+    That is the clock of the micro-batch, which only grows: a file that lands late with an old modification time
+    is as new as any other. Files are never left out for their age.
 
     ``start="latest"`` begins with files that are modified from now on. A stream that is to
     be restarted gets the instant itself, so that files which landed meanwhile are read.
     ``max_files`` bounds a micro-batch.
     """
-    reader = spark.readStream.schema(schema).format(fmt)
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFileAge", "36500d")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if pattern:
@@ -42,7 +45,7 @@ def read_stream(
     if isinstance(start, datetime):
         rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(start))
     if arrival:
-        rows = rows.select("*", F.col("_metadata.file_modification_time").alias(arrival))
+        rows = rows.select("*", F.current_timestamp().alias(arrival))
     return rows
 
 

@@ -72,9 +72,9 @@ def tail_queue(
 ) -> DataFrame:
     """First sighting of every message; redeliveries within the horizon are dropped.
 
-    ``arrival`` must be the time of arrival, which only grows (such as the modification
-    time of the landed file). With an event time, messages that are older than the
-    horizon but were never seen would be lost.
+    ``arrival`` must be the time at which a message is read, which only grows (see ``read_stream``). With an
+    event time or the modification time of a file, messages that are older than the horizon but were never
+    seen would be lost.
     """
     if messages.isStreaming:
         first = messages.withWatermark(arrival, horizon).dropDuplicatesWithinWatermark(["message_id"])

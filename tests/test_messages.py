@@ -147,7 +147,7 @@ def test_replay_through_a_sender(spark, tmp_path, target, most):
 
     left = delivery.replay(dlq, target, f"{tmp_path}/{target}", sender=sender)
     assert [r.message_id for r in left.collect()] == ["m9"]
-    route = delivery.replay_router(target, f"{tmp_path}/{target}-r", sender)
+    route = delivery.replay_router(target, f"{tmp_path}/{target}-r", sender, replay="one")
     route(dlq, 0)
     route(dlq, 0)
     assert spark.read.json(f"{tmp_path}/{target}-r").where("status = 'success'").count() == 24

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from opsloom.plans.registry import QUERIES
 from opsloom.plans.views import SCHEMAS
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,7 +28,7 @@ def comparable(columns, rows):
     return sorted(tuple(str(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = contract.queries()[name](spark, FOLDER)
     expected = duck.execute(contract.oracle_sql()[name])

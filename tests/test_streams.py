@@ -2,6 +2,7 @@ import base64
 import gzip
 import json
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -73,13 +74,32 @@ def test_drain_stops_and_continues_from_its_checkpoint(spark, landed, tmp_path):
 
 
 def test_router_overwrites_a_repeated_batch(spark, tmp_path):
-    route = replay_router("topic", f"{tmp_path}/t")
+    route = replay_router("topic", f"{tmp_path}/t", replay="one")
     batch = spark.createDataFrame([("m", "r", "b", {"a": ("String", "x", None)}, START)], schemas.MESSAGES)
     route(batch, 0)
     route(batch, 0)
     assert spark.read.json(f"{tmp_path}/t").count() == 1
 
 
+def test_an_older_file_that_lands_later_is_replayed(spark, tmp_path):
+    attributes = F.map_from_entries(F.array().cast("array<struct<key: string, value: struct<data_type: string, string_value: string>>>"))
+
+    def go(queue, checkpoint):
+        stream = runner.read_stream(spark, f"{queue}/in", MESSAGES, "json", arrival="received_at")
+        runner.drain(tails.tail_queue(stream.withColumn("attributes", attributes)), checkpoint, replay_router("queue", f"{tmp_path}/target"))
+
+    for name in ("a", "b"):
+        land(spark, [(f"{name}1", "r", "x", None, START)], MESSAGES, tmp_path / name, 0)
+        go(f"{tmp_path}/{name}", f"{tmp_path}/{name}-checkpoint")
+    land(spark, [("a2", "r", "x", None, START), ("a1", "r", "x", None, START)], MESSAGES, tmp_path / "a", 1)
+    old = time.time() - 30 * 24 * 3600
+    for f in (tmp_path / "a" / "in").rglob("*"):
+        if f.is_file():
+            os.utime(f, (old, old))
+    go(f"{tmp_path}/a", f"{tmp_path}/a-checkpoint")
+    assert sorted(r[0] for r in spark.read.json(f"{tmp_path}/target").select("message_id").collect()) == ["a1", "a2", "b1"]
+
+
 def test_latest_start_skips_what_has_landed(spark, landed):
     stream = runner.read_stream(spark, landed, MESSAGES, "json", start="latest")
     assert runner.run_available(stream.select("message_id"), "latest").count() == 0
