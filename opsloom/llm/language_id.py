@@ -37,7 +37,7 @@ from opsloom.llm.words import mix
 ORDER = 5
 #: Labelled documents per language in the sample, about; at most LANGUAGES languages, the most frequent ones.
 PER_LANGUAGE, LANGUAGES = 600, 64
-REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.0
+REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.5
 UNKNOWN = "und"
 _BITS = 12  # of a letter's number in an n-gram
 _SPACE, _OTHER = 1, 2
