@@ -278,9 +278,10 @@ def repeated_passages(
     spans = matches.mapInArrow(_chain_rows(k), "rid bigint, base bigint, places array<int>, base_places array<int>")
     spans = stored(spans.groupBy("rid", "base").agg(F.collect_set(F.struct("places", "base_places")).alias("chains")), "chains")
 
-    sizes = spans.groupBy("base").agg(F.count("*").alias("n"))
+    # Stored, so that the join alone makes a stage and Spark can split a base that very many documents repeat.
+    sizes = stored(spans.groupBy("base").agg(F.count("*").alias("n")), "sizes")
     salt = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / GROUP)).alias("salt")
-    dealt = spans.join(sizes, "base").select("rid", "base", salt, "chains")
+    dealt = stored(spans.join(sizes, "base").select("rid", "base", salt, "chains"), "dealt")
     needed = dealt.select("rid").union(dealt.select(F.col("base").alias("rid"))).distinct()
     found = stored(texts.join(needed, "rid").dropDuplicates(["rid"]), "texts")
     member = dealt.join(found, "rid").select("base", "salt", F.lit(False).alias("first"), "doc_id", "text", "chains")
