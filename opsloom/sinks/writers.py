@@ -20,7 +20,11 @@ def output_format(file_type: str) -> str:
 
 
 def show_table(df: DataFrame, n: int = 20, truncate: int | bool = False) -> None:
-    df.show(n, truncate=truncate)
+    """Prints up to ``n`` rows and says so where there are more."""
+    rows = df.take(n + 1)
+    df.sparkSession.createDataFrame(rows[:n], df.schema).show(n, truncate=truncate)
+    if len(rows) > n:
+        print(f"these are the first {n} rows; there are more")
 
 
 def write_result(
