@@ -43,11 +43,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the least doc_id; null ids come last.
 
-    Of rows that repeat id and text one stays.
+    A class is known by its root, as ids may be null or repeat. Of rows that repeat id and text one stays.
     """
-    classes = near_dup.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keep = classes.groupBy("class_id").agg(F.min("node").alias("_node"))
-    keep = keep.select("_node", *_parts("class_id"))
+    row = F.struct(*_parts("doc_id"), F.col("node").alias("_node"))
+    keep = near_dup.near_duplicates(docs).groupBy("root").agg(F.min(row).alias("row")).select("row.*")
     # The columns of the join are those of the deduplication, so texts are shuffled once.
     by = ["_node", "_id", "_no_id"]
     rows = _renamed(docs).select("*", near_dup.text_key().alias("_node"), *_parts("doc_id"))
@@ -55,9 +54,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def _parts(doc_id: str) -> list[Column]:
-    """An id as two columns without nulls."""
+    """An id as two columns without nulls, in the order of ids with nulls last."""
     column = F.col(doc_id).cast("bigint")
-    return [F.coalesce(column, F.lit(0)).alias("_id"), column.isNull().alias("_no_id")]
+    return [column.isNull().alias("_no_id"), F.coalesce(column, F.lit(0)).alias("_id")]
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

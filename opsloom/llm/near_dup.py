@@ -316,13 +316,14 @@ def _blocks(open_: DataFrame, bags: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, copies, n_shingles, node (a key of the text).
+    """One row per row of ``docs``: doc_id, class_id, root, copies, n_shingles, node (a key of the text).
 
     class_id is the least doc_id of the documents that are linked, directly or through others, by a weighted
     Jaccard similarity of at least ``threshold``; copies is how many documents have the same text. Texts of
     fewer than five words have one shingle of all words; texts without words, null among them, are linked to
-    equal texts only. Null ids are of no class of their own: class_id is null where all ids of a class are.
-    Rows that repeat get equal results. Columns beyond doc_id and text are not read.
+    equal texts only. class_id is null where all ids of a class are, and classes that carry the same least id
+    share it; root, the key of one text of the class, is what tells classes apart. Rows that repeat get equal
+    results. Columns beyond doc_id and text are not read.
     """
     node = text_key().alias("node")
     table = docs.select(F.col("doc_id").cast("bigint"), node, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
@@ -357,5 +358,5 @@ def near_duplicates(
     ids = ids.join(above, "root", "left").withColumn("root", F.coalesce("top", "root"))
     class_id = ids.groupBy("root").agg(F.min("least_id").alias("class_id"))
     # Stored, so that the last join stands alone and Spark can split the rows of a text with very many copies.
-    ids = stored(ids.join(class_id, "root").select("node", "class_id", "copies"), "classes")
+    ids = stored(ids.join(class_id, "root").select("node", "class_id", "root", "copies"), "classes")
     return table.select("doc_id", "node", F.col("size").alias("n_shingles")).join(ids, "node")

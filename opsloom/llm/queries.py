@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, substring_dedup, toxicity, warc
 from opsloom.llm.shared import held_out, shared_folder
@@ -89,6 +90,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of near duplicates per document."""
+    """Class of near duplicates per document; class_key tells classes apart whose least ids are null or equal."""
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "copies", "n_shingles")
+    return found.select("doc_id", "class_id", F.hex("root").alias("class_key"), "copies", "n_shingles")

@@ -58,6 +58,15 @@ def test_a_group_of_near_copies_is_one_class_and_repeats_count(spark):
     assert got[2000] == 2000 and got[1002] == 1000
 
 
+def test_roots_tell_classes_of_null_and_equal_ids_apart(spark):
+    rng = random.Random(6)
+    texts = [sentence(rng, 60) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3] + " tail")]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in found) == [(0, 0), (0, 0), (7, 7), (7, 7), (8, 7)]
+    assert len({bytes(r["root"]) for r in found}) == 4
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = random.Random(2)
     a = [f"w{rng.randrange(40)}" for _ in range(400)]

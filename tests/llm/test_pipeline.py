@@ -1,9 +1,10 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as cp
 import duckdb
 import pytest
-from conftest import SMALL, WORD
+from conftest import SMALL, WORD, sentence
 from pyspark.sql import functions as F
 from test_decontamination import by_force as contaminated_by_force
 from test_line_dedup import by_force as lines_by_force
@@ -59,6 +60,17 @@ def test_odd_rows(spark, odd_docs, no_docs, small_docs, tmp_path):
     assert Counter(r["doc_id"] for r in kept) == dict.fromkeys((1, 2, 3, 4, 5, 7, 8, 9), 1)
 
 
+def test_unrelated_texts_of_null_or_equal_ids_stay(spark):
+    """Two rows without an id that are unrelated, two of one id, and near copies of one of each."""
+    rng = random.Random(9)
+    texts = [sentence(rng, 80) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " tail"), (7, texts[2]), (7, texts[3]), (8, texts[3] + " tail"), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in cp.remove_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 4 and {(None, texts[0]), (7, texts[2]), (7, texts[3])} < set(kept)
+    assert {t for _, t in kept} & {texts[1], texts[1] + " tail"}
+
+
 def test_rejected_documents_go(spark, small_docs):
     foreign = small_docs.limit(1).select(F.lit(10**9).alias("doc_id"), F.lit("Совсем другой язык " * 30).alias("text"), F.lit(None).cast("string").alias("lang"), "source", "n_chars")
     found = cp.identify_language(spark, small_docs.unionByName(foreign), SMALL)
