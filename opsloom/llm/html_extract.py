@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element; what a page says is no article (navigation, forms, scripts,
-adverts and the like, by element, role, class or id) leaves an empty line. The length of a line is that of its text
+adverts and the like, by element, role, class or id) leaves an empty line; what is cut by class or id only and
+holds most of the text or the declared article is a wrapper, and stays. The length of a line is that of its text
 outside links, and that of a block is the sum over ``WINDOW`` lines. Where the block length surges above a
 threshold a region begins, and it ends where the blocks dive to nothing; the lines between are the text.
 Where a page declares its article, lines outside it have length nothing and any text inside is a surge, so
@@ -58,6 +59,13 @@ _OUT_WORDS = {
 }
 #: These count outside a declared article only; there they may hold its heading.
 _OUTER_WORDS = {"header", "banner", "topbar", "side", "left", "right"}
+#: A class or id with one of these says how something is laid out, not what it is: has-sidebar, menu-open.
+_STATE_WORDS = {"has", "no", "with", "without", "not", "open", "closed", "enabled", "disabled", "layout"}
+#: Marks of what is no article however much of the page it is.
+_NEVER_WORDS = {
+    "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended",
+    "recommendations", "cookie", "cookies", "consent", "gdpr",
+}
 _SCOPE = {"table", "td", "th", "caption", "button", "object", "html"}
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -66,8 +74,12 @@ _CLOSES = {
 }
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is no article, and whether it declares one."""
+#: Cut for good, and cut by a class or id that a wrapper of the article may have too; see :func:`_wrappers`.
+_SURE, _NAMED = 1, 2
+
+
+def _marks(name: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """Whether an element is no article (see ``_NAMED``), and whether it declares one."""
     values = {}
     if attributes.strip(" /"):
         for m in _ATTRIBUTE.finditer(attributes):
@@ -75,28 +87,60 @@ def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     role = values.get("role", "").lower()
     declares = name in ("article", "main") or role in ("main", "article") or "articlebody" in values.get("itemprop", "").lower()
     if name in _OUT or role in _OUT_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true":
-        return True, False
+        return _SURE, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
-        return True, False
+        return _SURE, False
     if name == "header" and not inside:
-        return True, False
+        return _SURE, False
     words = set()
     for value in (values.get("class", ""), values.get("id", "")):
-        words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+        for token in value.split():
+            parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+            if len(parts) == 1 or not _STATE_WORDS.intersection(parts):
+                words.update(parts)
     out = bool(words & _OUT_WORDS) or (not inside and bool(words & _OUTER_WORDS))
     if name in ("html", "body", "main") or (declares and name == "article" and not words & {"comment", "comments", "ad", "advert", "related", "reply", "sponsored", "promo"}):
         out = False
-    return out, declares and not out
+    if not out:
+        return 0, declares
+    return (_SURE if words & _NEVER_WORDS else _NAMED), False
+
+
+def _wrappers(named: list[list[int]], rest: int, declared_rest: int) -> set[int]:
+    """Elements cut by name that hold most of the page's text outside links, or its declared article.
+
+    ``named`` has, in the order of the page, an element's number, the index of the one around it (or -1), and its
+    lengths of text outside links, all and in declared articles; ``rest`` and ``declared_rest`` are those of the text
+    outside all of them. An article counts if none is declared outside and it is longer than what is there.
+    """
+    for _, around, own, declared in reversed(named):
+        if around >= 0:
+            named[around][2] += own
+            named[around][3] += declared
+    total = rest + sum(own for _, around, own, _ in named if around < 0)
+    kept: set[int] = set()
+    for number, around, own, declared in named:
+        if (around < 0 or named[around][0] in kept) and (2 * own > total or (not declared_rest and declared > rest)):
+            kept.add(number)
+    return kept
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """Lines (text, length outside links, inside a declared article) and whether the page declares one."""
+    lines, declared, wrappers = _lines(html, set())
+    return _lines(html, wrappers)[:2] if wrappers else (lines, declared)
+
+
+def _lines(html: str, wrappers: set[int]) -> tuple[list[tuple[str, int, bool]], bool, set[int]]:
+    """Lines and declaration, with elements of the numbers ``wrappers`` not cut, and the wrappers that were cut."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []
-    out = inside = links = 0
+    stack: list[tuple[str, int, bool, bool]] = []
+    out = sure = inside = claimed = links = number = rest = declared_rest = 0
     declared = False
+    named: list[list[int]] = []
+    around: list[int] = []
 
     def flush() -> None:
         nonlocal parts, linked
@@ -105,15 +149,27 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         parts, linked = [], 0
 
     def pop(to: int) -> None:
-        nonlocal out, inside, links
+        nonlocal out, sure, inside, claimed, links
         while len(stack) > to:
-            name, was_out, was_inside = stack.pop()
-            out -= was_out
+            name, was_out, was_inside, was_claimed = stack.pop()
+            out -= was_out > 0
+            sure -= was_out == _SURE
             inside -= was_inside
+            claimed -= was_claimed
             links -= name == "a"
+            if was_out == _NAMED:
+                around.pop()
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, rest, declared_rest
+        if text and not sure and not links:
+            length = len(text.strip())
+            if around:
+                named[around[-1]][2] += length
+                named[around[-1]][3] += length if claimed else 0
+            else:
+                rest += length
+                declared_rest += length if claimed else 0
         if text and not out:
             parts.append(text)
             if links:
@@ -165,15 +221,24 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if m[3].endswith("/") and name in ("svg", "path", "use"):
             continue
-        is_out, declares = _marks(name, m[3], inside > 0)
-        declares = declares and not out
+        is_out, claims = _marks(name, m[3], claimed > 0)
+        number += 1
+        if is_out == _NAMED and number in wrappers:
+            is_out = 0
+        if is_out == _NAMED:
+            named.append([number, around[-1] if around else -1, 0, 0])
+            around.append(len(named) - 1)
+        claims = claims and not sure
+        declares = claims and not out
         declared |= declares
-        stack.append((name, is_out, declares))
-        out += is_out
+        stack.append((name, is_out, declares, claims))
+        out += is_out > 0
+        sure += is_out == _SURE
         inside += declares
+        claimed += claims
         links += name == "a"
     flush()
-    return lines, declared
+    return lines, declared, _wrappers(named, rest, declared_rest) if named else set()
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -194,14 +259,17 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     n = len(sizes)
     blocks = [sum(sizes[i : i + window]) for i in range(n)]
     surge = min(surge, max(blocks, default=1) - 1)
-    kept, inside_region = [], False
+    kept, linked, inside_region = [], [], False
     for i in range(n):
         if not inside_region and sizes[i] and blocks[i] > surge:
             inside_region = True
         if inside_region and sum(sizes[max(0, i - window + 1) : i + 1]) == 0 and blocks[i] == 0:
-            inside_region = False
+            inside_region, linked = False, []
         if inside_region and sizes[i]:
-            kept.append(texts[i])
+            kept += [*linked, texts[i]]
+            linked = []
+        elif inside_region and not declared:
+            linked.append(texts[i])  # of the text if the region goes on after it
     return "\n".join(kept)
 
 

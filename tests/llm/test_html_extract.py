@@ -27,6 +27,26 @@ def test_undeclared_article_by_density():
     assert "link" not in main_text(PAGE % (links + "<div></div>" * 5 + body))
 
 
+def test_wrappers_named_like_what_is_cut_stay():
+    article = "<article><header><h1>Head</h1></header><p>Text of the article.</p></article>"
+    for wrapper in ("class='layout with-sidebar'", "id='page' class='no-sidebar'", "class='left'", "class='right-sidebar'", "id='page' class='comments-open'"):
+        aside = "<div class='sidebar'><p>Other things on the side</p></div><div class='related'><article>Teaser</article></div>"
+        assert main_text(PAGE % f"<div {wrapper}>{article}{aside}</div>") == "Head\nText of the article.", wrapper
+    body = "".join(f"<p>{'words of the text ' * 9}{i}</p>" for i in range(4))
+    assert main_text(PAGE % f"<div class='main left'>{body}<div class='left'>menu</div></div>").count("words of") == 36
+    teasers = "<div class='sidebar'><article>Teaser</article></div>"
+    assert "Teaser" not in main_text(PAGE % (body + teasers))
+    comments = f"<div id='comments'>{body}{body}</div>"
+    assert main_text(PAGE % (article + comments)) == "Head\nText of the article."
+
+
+def test_lines_of_links_between_lines_of_text_stay():
+    body = [f"<p>{'words of the text ' * 9}{i}</p>" for i in range(4)]
+    link = "<p><a href='x'>a source of what is said</a></p>"
+    got = main_text(PAGE % ("<div>" + link + body[0] + body[1] + link + body[2] + body[3] + link + "</div>")).split("\n")
+    assert len(got) == 5 and got[2] == "a source of what is said"
+
+
 def test_broken_and_empty_pages():
     assert [main_text(h) for h in (None, "", "<", "<p", "</", "<!--", "<script>x", "<nav>a")] == [""] * 8
     assert main_text("<article><p>cut &am") == "cut &am"
