@@ -7,6 +7,14 @@ ORACLE: dict[str, str] = {}
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# The table of the CRC-32 of one byte, and the checksum of texts given in hexadecimal as x.
+_CRC_TABLE = """code AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(0, 8),
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) AS c
+         FROM (SELECT unnest(range(0, 256)) AS b)))"""
+_CRC = """xor(4294967295, list_reduce(list_transform(range(0, len(x) // 2), lambda i:
+             16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295))"""
+
 ORACLE["op4_decontamination"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, w, least(13, len(w)) AS n
@@ -57,3 +65,28 @@ r AS (SELECT h.page_id, payload_bytes, payload_digest,
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> original THEN original END AS refers_to, true AS intact FROM r
 """
+
+ORACLE["op11_resampling"] = f"""
+WITH {_CRC_TABLE},
+words AS (SELECT 's' AS side, doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w, row_number() OVER () AS k FROM documents
+          UNION ALL SELECT 't', NULL, regexp_extract_all({_FOLD}, '{_WORD}'), NULL FROM benchmark),
+features AS (SELECT side, k, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+counted AS (SELECT side, k, f, count(*) AS n FROM features GROUP BY ALL),
+hex AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counted)),
+bucket AS (SELECT f, {_CRC} % 10000 AS b FROM hex, code),
+sums AS (SELECT b, coalesce(sum(n) FILTER (side = 's'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t
+         FROM counted JOIN bucket USING (f) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE)
+                                      / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS g FROM sums),
+total AS (SELECT k, sum(n * g) AS g, sum(n) AS n FROM counted JOIN bucket USING (f) JOIN gain USING (b)
+          WHERE side = 's' GROUP BY k),
+scored AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+                  CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+                  CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h
+           FROM words LEFT JOIN total USING (k) WHERE side = 's'),
+final AS (SELECT doc_id, n_words, n_features, weight,
+                 weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r,
+                  count(*) FILTER (n_words >= 20) OVER () * 25 // 100 AS wanted FROM final)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= wanted THEN r END AS rank FROM ranked
+"""

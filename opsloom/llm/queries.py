@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, substring_dedup, toxicity, warc
+from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, resampling, substring_dedup, toxicity, warc
 from opsloom.llm.shared import held_out, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates per document; class_key tells classes apart whose least ids are null or equal."""
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", F.hex("root").alias("class_key"), "copies", "n_shingles")
+
+
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark texts."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
