@@ -90,3 +90,74 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY scor
                   count(*) FILTER (n_words >= 20) OVER () * 25 // 100 AS wanted FROM final)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= wanted THEN r END AS rank FROM ranked
 """
+
+
+def _repair_sql() -> str:
+    """Forwards: the cheapest edits up to each turn by state, with audit and repaired text, the least of them kept."""
+    none = "{'c': 1000000000, 'a': '', 'r': ''}"
+
+    def edit(state: int, cost: str, letter: str, line: str = "''", of: str = "f") -> str:
+        return f"{{'c': {of}[{state + 1}].c + {cost}, 'a': {of}[{state + 1}].a || '{letter}', 'r': {of}[{state + 1}].r || {line}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    due = ("user", "user", "assistant", "user")
+
+    def inserts(of: str) -> str:
+        user, both = "chr(10) || 'user:'", "chr(10) || 'user:' || chr(10) || 'assistant:'"
+        return f"""[{of}[1], {of}[2],
+          {least(f"{of}[3]", *[edit(q, "3", "I", user, of) for q in (0, 1, 3)])},
+          {least(f"{of}[4]", edit(2, "3", "I", "chr(10) || 'assistant:'", of), *[edit(q, "6", "II", both, of) for q in (0, 1)])}]"""
+
+    def arrive(state: int, before: dict[int, str], rerole: tuple[int, ...]) -> str:
+        options = [edit(state, "4", "D")]
+        for q, initial in before.items():
+            kept = edit(q, "extra", "K", "chr(10) || role || ':' || text")
+            options.append(f"CASE WHEN initial = '{initial}' AND NOT fixed THEN {kept} ELSE {none} END")
+        for q in rerole:
+            changed = edit(q, "3 + extra", "R", f"chr(10) || '{due[q]}:' || text")
+            options.append(f"CASE WHEN NOT fixed THEN {changed} ELSE {none} END")
+        return least(*options)
+
+    step = (arrive(0, {}, ()), arrive(1, {0: "s"}, ()), arrive(2, {0: "u", 1: "u", 3: "u"}, (0, 1, 3)), arrive(3, {2: "a"}, (2,)))
+    blank = r"[ \t\n\x0b\x0c\r]"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS x
+          FROM conversations),
+kinds AS (SELECT *, {_CRC} % 20 AS kind FROM named, code),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                  md5(coalesce('c' || CAST(conv_id AS VARCHAR), 'n') || chr(0) || role || chr(0) || text)) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy_no,
+                regexp_replace(text, '{blank}+$', '') AS bare,
+                lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM placed),
+turns AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN copy_no > 1 THEN 'duplicate'
+                         WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM seen),
+marked AS (SELECT conv_id, i, role, text, initial, coalesce(fault IN ('blank', 'duplicate'), false) AS fixed,
+                  CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM turns),
+path AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {inserts(f"[{{'c': 0, 'a': '', 'r': ''}}, {none}, {none}, {none}]")} AS f FROM marked
+         UNION ALL
+         SELECT conv_id, i, {inserts("w")} FROM (
+           SELECT m.conv_id, m.i, [{", ".join(step)}] AS w
+           FROM path p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1)),
+best AS (SELECT conv_id, {least("f[1]", "f[4]")} AS b FROM
+         (SELECT conv_id, arg_max(f, i) AS f FROM path GROUP BY conv_id)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (i > 1 AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+           FROM turns GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+ORACLE["op12_conversation_repair"] = _repair_sql()

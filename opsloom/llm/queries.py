@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, resampling, substring_dedup, toxicity, warc
+from opsloom.llm import conversation_repair, decontamination, fingerprints, html_extract, language_id, line_dedup, near_dup, packing, resampling, substring_dedup, toxicity, warc
 from opsloom.llm.shared import held_out, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document, drawn towards the benchmark texts."""
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its audit of every conversation after damage."""
+    convs = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(convs, conversation_repair.damaged(convs))
