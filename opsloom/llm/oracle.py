@@ -161,3 +161,21 @@ LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON
 
 
 ORACLE["op12_conversation_repair"] = _repair_sql()
+
+# The marks of the template; a mark within a text costs one backslash.
+_MARK = r"\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<s>|</s>|\[ROLE\]|\[/ROLE\]|\[END\]"
+
+ORACLE["op13_chat_formatting"] = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]'
+               FROM (SELECT unnest([0, 1]) AS i)),
+sized AS (SELECT *, md5(role || chr(0) || text) AS tie, length(text) + len(regexp_extract_all(text, '{_MARK}'))
+            + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 17 WHEN 'assistant' THEN 9
+                        ELSE 23 + length(role) + len(regexp_extract_all(role, '{_MARK}')) END AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, tie) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
