@@ -20,7 +20,7 @@ from opsloom.operators import cold_starts, inventory, metrics, objects, reports,
 from opsloom.operators.packing import pack_batches
 from opsloom.session import shared_dir
 from opsloom.sinks import delivery, writers
-from opsloom.sources import filters, tables
+from opsloom.sources import filters, shards, tables
 from opsloom.sources.lines import scan_lines
 from opsloom.sources.logs import group_names
 from opsloom.sources.objects import object_totals, read_objects, scan_objects
@@ -52,6 +52,8 @@ OPTIONS: dict[str, dict] = {
     "output_config": {"flags": ["--output-config"], "type": json.loads, "default": {}},
     "compression": {"flags": ["--compression-type"], "choices": ["NONE", "GZIP", "BZIP2"], "default": "NONE"},
     "stream": {"flags": ["--stream"], "required": True, "help": "folder of landed JSON files"},
+    "stream_folder": {"flags": ["--stream"], "help": "folder of landed JSON files"},
+    "shards": {"flags": ["--shards"], "action": "store_true", "help": "the folder has descriptions and records of shards"},
     "from_start": {"flags": ["--from-start"], "action": "store_true"},
     "checkpoint": {"flags": ["--checkpoint"]},
     "interval": {"flags": ["--interval"], "type": int, "default": 1000},
@@ -68,6 +70,9 @@ OPTIONS: dict[str, dict] = {
     "power_values": {"flags": ["-v", "--power-values"], "default": "ALL"},
 }
 
+# Options that are another form of one argument.
+DEST = {"stream_folder": "stream"}
+
 
 def command(name: str, *options: str):
     def register(fn: Command) -> Command:
@@ -162,6 +167,14 @@ def _tail(spark: SparkSession, args: argparse.Namespace, schema: str, decode: Ca
     query.awaitTermination()
 
 
+def _tail_shards(spark: SparkSession, args: argparse.Namespace, path: str, decode: Callable[[DataFrame], DataFrame]):
+    start = "earliest" if args.from_start else "latest"
+    folder = args.checkpoint or shared_dir(spark, "tail")
+    stream = shards.read_shards(spark, path, folder, start)
+    query = runner.tail_to_console(tails.stamp(decode(stream)), folder, f"{args.interval} milliseconds")
+    query.awaitTermination()
+
+
 TAIL = ("stream", "from_start", "checkpoint", "interval")
 BODY = "body STRING"
 
@@ -173,13 +186,24 @@ def tail_logs(spark, args):
     _tail(spark, args, schemas.LOGS, lambda s: tails.tail_logs(s, group, args.filter))
 
 
-@command("tail-dynamodb", *TAIL)
+@command("tail-dynamodb", "name", "region", "stream_folder", "from_start", "checkpoint", "interval")
 def tail_dynamodb(spark, args):
-    _tail(spark, args, BODY, tails.tail_changes)
+    """Changes of a table by its name, shard by shard, or of a folder of JSON files."""
+    if args.name:
+        known = filters.scope(spark.read.parquet(f"{args.tables}/tables"), args.region)
+        path = shards.table_stream(known, args.name)
+        _tail_shards(spark, args, path, lambda s: tails.tail_changes(s, "data"))
+    elif args.stream:
+        _tail(spark, args, BODY, tails.tail_changes)
+    else:
+        raise ValueError("give the name of a table or a folder")
 
 
-@command("tail-kinesis", *TAIL)
+@command("tail-kinesis", "shards", *TAIL)
 def tail_kinesis(spark, args):
+    if args.shards:
+        _tail_shards(spark, args, args.stream, tails.tail_records)
+        return
     _tail(spark, args, schemas.STREAM_RECORDS, tails.tail_records)
 
 
@@ -306,7 +330,7 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--rows", type=int, default=100, help="rows printed")
         for option in options:
             settings = dict(OPTIONS[option])
-            sub.add_argument(*settings.pop("flags"), dest=option, **settings)
+            sub.add_argument(*settings.pop("flags"), dest=DEST.get(option, option), **settings)
     return top
 
 

@@ -477,6 +477,21 @@ ORACLE: dict[str, str] = {
     "tail_topic": using("topic", "SELECT * FROM topic"),
     "tail_changes": using("change", "SELECT * FROM change"),
     "tail_records": using("record", "SELECT * FROM record"),
+    "tail_shards": using(
+        "record",
+        """SELECT r.*, p.position, CAST(p.position // a.per_read + CASE WHEN r.shard_id = 'shardId-000000000004'
+                  THEN (a.first_shard + a.per_read - 1) // a.per_read ELSE 0 END AS BIGINT) AS read_no
+           FROM record r JOIN (SELECT shard_id, sequence_number,
+                                      row_number() OVER (PARTITION BY shard_id ORDER BY sequence_number) - 1 AS position
+                               FROM record) p USING (shard_id, sequence_number),
+                (SELECT count(*) // 10 + 1 AS per_read,
+                        count(*) FILTER (WHERE shard_id = 'shardId-000000000000') AS first_shard FROM record) a""",
+    ),
+    "tail_queue_bounded": using(
+        "msgs",
+        """SELECT message_id, body, 'event_type=String,raw=Binary,user_id=Number' AS attributes,
+                  true AS within_bound FROM msgs""",
+    ),
     "metric_stat_stream": using(
         "ev",
         f"""SELECT region, 'Duration' AS metric, function_name, {time_text("date_trunc('hour', ts)")} AS bucket_start,

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from opsloom.functions import envelopes, text
 from opsloom.operators import cold_starts, inventory, messages, metrics, objects, packing, resolve, tuning
 from opsloom.operators import versions as version_ops
-from opsloom.plans import views
+from opsloom.plans import landing, views
 from opsloom.plans.views import AS_OF
+from opsloom.session import shared_dir
 from opsloom.sinks import delivery
-from opsloom.sources import filters, tables
+from opsloom.sources import filters, shards, tables
 from opsloom.sources.logs import group_names, missing_groups, scan_logs
 from opsloom.sources.metrics import scan_metrics
 from opsloom.sources.objects import object_totals as totals_of
-from opsloom.streaming import runner, tails
+from opsloom.streaming import remembered, runner, tails
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -491,6 +492,53 @@ def tail_records(spark, folder):
     return runner.run_available(stream, "tail-records")
 
 
+@query
+def tail_shards(spark, folder):
+    """Records shard by shard over several reads, with a restart after the first; the last shard's parent is the first.
+
+    ``read_no`` tells in which read a record came: a tenth of all records per shard and read, parents before children.
+    """
+    records = views.stream_records(views.events(spark, folder))
+    base = shared_dir(spark, "shards")
+    names = [f"shardId-00000000000{i}" for i in range(5)]
+    described = [{"shard_id": name, "closed": name == names[0]} for name in names]
+    described[-1]["parent_shard_id"] = names[0]
+    landing.land_shards(records, f"{base}/stream", described)
+    per_read = records.count() // 10 + 1
+    for batches in (1, None):
+        stream = shards.read_shards(spark, f"{base}/stream", f"{base}/checkpoint", records_per_read=per_read)
+        tail = tails.tail_records(stream, keep=("position",))
+        runner.run_batches(tail, f"{base}/checkpoint", f"{base}/table", batches)
+    found = runner.batch_table(spark, f"{base}/table", tail.schema)
+    return found.withColumnRenamed("batch", "read_no")
+
+
+@query
+def tail_queue_bounded(spark, folder):
+    """First sightings over 20 files in 5 reads; the memory holds 7 in 10 of the ids, so the oldest are forgotten.
+
+    The second copy of a message lands a read after the first, which the memory covers.
+    """
+    ev = views.events(spark, folder)
+    base = shared_dir(spark, "bounded")
+    copy = F.explode(F.when(F.col("event_type") == "error", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    ev = ev.withColumn("copy", copy)
+    turn = (F.pmod(F.xxhash64("event_id"), F.lit(4)) + F.col("copy")).cast("int")
+    rows = views.messages(ev.withColumn("landed_at", F.timestamp_seconds(turn.cast("bigint"))))
+    schema = rows.drop("queue").schema
+    for n in range(5):
+        landed = rows.where(F.col("received_at") == F.timestamp_seconds(F.lit(n))).drop("queue")
+        landed.repartition(4).write.mode("append").parquet(f"{base}/queue")
+    n_ids = views.table(spark, folder, "events").count()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/queue")
+    memory = max(4, n_ids * 7 // 10)
+    found = runner.run_available(
+        remembered.tail_queue_bounded(stream, "received_at", remembered=memory, buckets=4), "tail-bounded"
+    )
+    within = F.col("held") <= memory // 4
+    return found.select("message_id", "body", attribute_kinds("attributes").alias("attributes"), within.alias("within_bound"))
+
+
 @query
 def metric_stat_stream(spark, folder):
     points = views.lambda_metrics(views.events(spark, folder, stream=True), "Duration")

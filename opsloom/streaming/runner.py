@@ -133,3 +133,32 @@ def tail_to_console(stream: DataFrame, checkpoint: str, interval: str = "1 secon
         .trigger(processingTime=interval)
         .start()
     )
+
+
+def run_batches(
+    stream: DataFrame, checkpoint: str, table: str, batches: int | None = None
+) -> None:
+    """Reads until the source has nothing new, or for one batch with ``batches=1``, and stops; see :func:`batch_table`.
+
+    Every micro-batch has a folder of its own below ``table``, which a retry of that batch overwrites.
+    """
+    if batches not in (None, 1):
+        raise ValueError("one batch or all")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    if batches == 1:  # for a source with a limit per read, all that is available now is one read
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def batch_table(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """What :func:`run_batches` wrote, with the number of the batch."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(table)
