@@ -64,7 +64,7 @@ OPTIONS: dict[str, dict] = {
     "target": {"flags": ["--target"], "required": True, "help": "folder of the target"},
     "keep": {"flags": ["-k", "--keep"], "action": "store_true"},
     "file_path": {"flags": ["-f", "--file-path"], "required": True},
-    "concurrency": {"flags": ["-c", "--concurrency"], "type": int, "default": 10},
+    "concurrency": {"flags": ["-c", "--concurrency"], "type": int, "help": "tasks that send at a time"},
     "strategy": {"flags": ["-s", "--strategy"], "choices": ["cost", "speed", "balanced"], "required": True},
     "weight": {"flags": ["-w", "--balanced-weight"], "type": float, "default": 0.5},
     "power_values": {"flags": ["-v", "--power-values"], "default": "ALL"},

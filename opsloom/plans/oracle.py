@@ -456,6 +456,18 @@ ORACLE: dict[str, str] = {
         """SELECT sha256(file || ':' || doc_id || ':' || line_no) AS entry_id, 'message is too long' AS error,
                   line AS body FROM lines WHERE n_bytes >= 4096""",
     ),
+    "send_results": using(
+        "lines",
+        """SELECT sha256(file || ':' || block || ':' || doc_id || ':' || line_no) AS entry_id, n_bytes,
+                  CASE WHEN n_bytes >= 4096 THEN 'fail' ELSE 'success' END AS status,
+                  CASE WHEN n_bytes >= 4096 THEN 'message is too long' END AS error
+           FROM (SELECT *, CAST(floor(doc_id / 1000) AS BIGINT) AS block FROM lines)""",
+    ),
+    "drain_queue": """SELECT 'msg-' || event_id AS entry_id,
+               CASE event_type WHEN 'error' THEN 'fail' ELSE 'success' END AS status,
+               CASE event_type WHEN 'error' THEN 'refused' END AS error,
+               count(*) FILTER (event_type <> 'error') OVER () AS accepted,
+               count(*) FILTER (event_type = 'error') OVER () AS refused FROM events""",
     "replay_queue": using("msgs", "SELECT message_id, body, attributes FROM msgs"),
     "replay_topic": using("msgs", "SELECT body, attributes FROM msgs"),
     "replay_stream": using("msgs", "SELECT body AS data, message_id AS partition_key FROM msgs"),

@@ -16,7 +16,7 @@ from opsloom.operators import versions as version_ops
 from opsloom.plans import landing, views
 from opsloom.plans.views import AS_OF
 from opsloom.session import shared_dir
-from opsloom.sinks import delivery
+from opsloom.sinks import delivery, outbox
 from opsloom.sources import filters, shards, tables
 from opsloom.sources.logs import group_names, missing_groups, scan_logs
 from opsloom.sources.metrics import scan_metrics
@@ -377,6 +377,41 @@ def send_failures(spark, folder):
     return messages.failed_entries(delivery.landing_results(entries, 4096), entries)
 
 
+@query
+def send_results(spark, folder):
+    """Outcome of every line, sent in its batches and read back from what the sink committed."""
+    base = shared_dir(spark, "outbox")
+    packed = _packed(spark, folder, 16 * 1024)
+    request = F.concat_ws(":", "file", "batch_id")
+    entries = packed.select("entry_id", F.col("line").alias("body"), request.alias("request"))
+    outbox.send(entries.repartition("request").sortWithinPartitions("request"), base, max_bytes=4096)
+    return outbox.results(spark, base).select("entry_id", "status", "error", F.octet_length("body").alias("n_bytes"))
+
+
+@query
+def drain_queue(spark, folder):
+    """A queue drained in reads of 2 files, with a restart in between: every delivery once, those of errors refused.
+
+    ``accepted`` and ``refused`` are what the manifests count.
+    """
+    ev = views.events(spark, folder)
+    base = shared_dir(spark, "drain")
+    rows = views.messages(ev).drop("queue")
+    turn = F.pmod(F.xxhash64("message_id"), F.lit(6))
+    for n in (0, 1):
+        rows.where(turn % 2 == n).repartition(3).write.mode("append").parquet(f"{base}/queue")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/queue")
+        entries = stream.select(F.col("message_id").alias("entry_id"), "body")
+        outbox.send_stream(entries, f"{base}/out", f"{base}/checkpoint", sender=_refuse_errors)
+    counted = outbox.manifests(spark, f"{base}/out")
+    found = outbox.results(spark, f"{base}/out").select("entry_id", "status", "error")
+    return found.withColumns({c: counted.agg(F.sum(c)).scalar() for c in ("accepted", "refused")})
+
+
+def _refuse_errors(batch: list[dict]) -> dict[str, str]:
+    return {e["entry_id"]: "refused" for e in batch if '"event_type":"error"' in e["body"]}
+
+
 def _replayed(spark: SparkSession, folder: str, target: str) -> DataFrame:
     delivered = messages.first_deliveries(views.deliveries(views.events(spark, folder)))
     return messages.replay_rows(delivered, target)

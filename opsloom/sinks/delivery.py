@@ -139,12 +139,18 @@ def to_queue(
 
 
 def to_topic(
-    lines: DataFrame, path: str, sender: Sender | None = None, concurrency: int = 10
+    lines: DataFrame, path: str, sender: Sender | None = None, concurrency: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Publishes every line on its own, by at most ``concurrency`` tasks at a time."""
+    """Publishes every line on its own; ``concurrency`` limits the tasks that do so.
+
+    Entries are written below ``path`` with their ids and read from there, so ids and texts are those of one
+    reading of the lines.
+    """
     keys = [c for c in lines.columns if c != "line"]
     entry_id = F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), 256)
     entries = lines.select("line", F.octet_length("line").alias("n_bytes"), entry_id.alias("entry_id"))
+    entries.write.parquet(f"{path}/entries")
+    entries = lines.sparkSession.read.parquet(f"{path}/entries")
     if sender is None:
         entries.select(F.col("line").alias("message"), "entry_id").write.json(f"{path}/messages")
         results = landing_results(entries)
@@ -152,7 +158,7 @@ def to_topic(
         single = entries.select(
             F.array(F.struct("entry_id", F.col("line").alias("body"), "n_bytes")).alias("entries")
         )
-        results = deliver(single.repartition(concurrency), sender)
+        results = deliver(single.repartition(concurrency) if concurrency else single, sender)
     sent = Observation("published")
     counted = results.observe(sent, F.count("*").alias("processed"))
     with arrow_rows(lines.sparkSession):
