@@ -21,9 +21,10 @@ from opsloom.operators.packing import pack_batches
 from opsloom.session import shared_dir
 from opsloom.sinks import delivery, writers
 from opsloom.sources import filters, shards, tables
+from opsloom.sources.files import list_files, read_records
 from opsloom.sources.lines import scan_lines
 from opsloom.sources.logs import group_names
-from opsloom.sources.objects import object_totals, read_objects, scan_objects
+from opsloom.sources.objects import COMPRESSION_SUFFIX, object_totals
 from opsloom.streaming import runner, tails
 
 Command = Callable[[SparkSession, argparse.Namespace], "DataFrame | None"]
@@ -133,25 +134,42 @@ def list_shards(spark, args):
     return reports.shard_table(metrics.shard_report(shards, metrics.shard_usage(_metrics(spark, args), args.as_of)))
 
 
+def _print_errors(errors: DataFrame, most: int = 20) -> None:
+    """What could not be read, said before the answer; the answer is of the rest."""
+    rows = errors.take(most + 1)
+    for row in rows[:most]:
+        print(f"not read: {row['object']}: {row['error']}")
+    if len(rows) > most:
+        print(f"not read: these are the first {most}; there are more")
+
+
 @command(
     "s3-select-batch", "prefix", "expression", "dataset", "columns", "where", "aggs", "limit", "file_type", "csv_config",
     "json_config", "output_file", "output_config", "compression",
 )
 def select_batch(spark, args):
-    found = object_totals(scan_objects(spark, args.prefix)).withColumn("size", human_size(F.col("total_size"))).first()
+    listing, unlisted = list_files(spark, args.prefix)
+    suffix = COMPRESSION_SUFFIX[args.compression]
+    listing = listing.where(F.col("path").endswith(suffix))
+    found = object_totals(listing).withColumn("size", human_size(F.col("total_size"))).first()
+    _print_errors(unlisted.withColumnRenamed("path", "object"))
     if not found["objects"]:
-        print("no objects found, skipped...")
+        print("nothing lies below that prefix")
         return None
-    print(f"found {found['objects']} objects, with a total size of {found['size']}")
+    print(f"{found['objects']} objects of together {found['size']}")
     config = {"CSV": args.csv_config, "JSON": args.json_config}.get(args.file_type)
-    records = read_objects(spark, args.prefix, args.file_type, config, args.compression, numbered=not args.expression)
+    records, errors = read_records(spark, listing, args.file_type, config, args.compression)
+    _print_errors(errors)
+    name = "_object" if "_object" in records.columns else "object"
+    answering = listing.select(F.col("path").alias(name))
     one_table = "dataset" if args.dataset else "object"
     if args.expression:
-        result = objects.query_objects(spark, records, args.expression, one_table)
+        records = records.drop("object_row")
+        result = objects.query_objects(spark, records, args.expression, one_table, answering, name)
     else:
         aggs = [a.strip() for a in args.aggs.split(";")] if args.aggs else None
         result = objects.select_objects(
-            records, [args.columns], args.where, aggs, args.limit, order=["object_row"], scope=one_table
+            records, [args.columns], args.where, aggs, args.limit, ["object_row"], one_table, name, answering
         ).drop("object_row")
     if args.output_file:
         writers.write_result(result, args.output_file, writers.output_format(args.file_type), args.output_config)

@@ -107,6 +107,20 @@ VIEWS: dict[str, str] = {
         FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
                      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
         WHERE line <> ''""",
+    "part_lines": """
+        SELECT * FROM (
+            SELECT *, sum(n_bytes + 1) OVER (PARTITION BY file ORDER BY doc_id, line_no) - n_bytes - 1 AS pos FROM (
+                SELECT 'source=' || source || '/' || doc_id % 4 AS file, doc_id, CAST(i - 1 AS INTEGER) AS line_no,
+                       CAST(strlen(line) AS INTEGER) AS n_bytes
+                FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
+                             generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)))
+        WHERE n_bytes > 0""",
+    "files": """
+        SELECT CASE source WHEN 'src0' THEN '_src0 [a-b]{c}*' ELSE 'source=' || source END AS folder,
+               doc_id % 4 AS part, doc_id, lang, n_chars, doc_id % 97 = 5 AS broken,
+               CASE WHEN doc_id % 97 = 5 THEN '{"doc_id": ' || doc_id
+                    ELSE '{"doc_id":' || doc_id || ',"lang":"' || coalesce(lang, '') || '","n_chars":' || n_chars || '}'
+               END AS line FROM documents""",
     "msgs": """
         SELECT 'msg-' || event_id AS message_id, event_type || '-dlq' AS queue,
                '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type
@@ -249,7 +263,7 @@ def cost_sql(where: str = "") -> str:
     )
 
 
-def packing_sql(max_bytes: int, body: str) -> str:
+def packing_sql(max_bytes: int, body: str, lines: str = "lines") -> str:
     """Batch starts by walking from each batch to the next, in every file at once."""
     sums = ", ".join(
         f"n_bytes + {' + '.join(f'lead(n_bytes, {j}) OVER w' for j in range(1, k))} AS s{k}"
@@ -258,7 +272,7 @@ def packing_sql(max_bytes: int, body: str) -> str:
     fits = " + ".join(f"CAST(coalesce(s{k} < {max_bytes}, FALSE) AS INTEGER)" for k in range(2, 11))
     recursive = f"""
         numbered AS (
-            SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id, line_no) - 1 AS p FROM lines),
+            SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id, line_no) - 1 AS p FROM {lines}),
         summed AS (
             SELECT file, p, {sums} FROM numbered WINDOW w AS (PARTITION BY file ORDER BY p)),
         following AS (SELECT file, p, p + 1 + {fits} AS next_p FROM summed),
@@ -267,7 +281,7 @@ def packing_sql(max_bytes: int, body: str) -> str:
             UNION ALL
             SELECT f.file, f.p, f.next_p, w.batch_id + 1 FROM walk w
             JOIN following f ON f.file = w.file AND f.p = w.next_p)"""
-    return using("lines", body, recursive)
+    return using(lines, body, recursive)
 
 
 def activity_sql(where: str = "") -> str:
@@ -437,6 +451,34 @@ ORACLE: dict[str, str] = {
     "select_objects_agg_per_object": """SELECT source AS object,
         count(*) FILTER (WHERE lang = 'en' AND n_chars > 30000) AS n,
         CAST(max(n_chars) FILTER (WHERE lang = 'en' AND n_chars > 30000) AS DOUBLE) AS longest FROM documents GROUP BY source""",
+    "object_listing": using(
+        "files",
+        """SELECT folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(min(size) AS BIGINT) AS least
+           FROM (SELECT folder, part, sum(strlen(line) + 1) AS size FROM files GROUP BY ALL) GROUP BY folder
+           UNION ALL VALUES ('empty.json', 1, 0, 0), ('.cut.json.gz', 1, 4, 4)""",
+    ),
+    "object_records": using(
+        "files",
+        """SELECT doc_id, coalesce(lang, '') AS lang, n_chars, folder || '/' || part AS object
+           FROM files WHERE NOT broken""",
+    ),
+    "object_errors": using(
+        "files",
+        """SELECT folder || '/' || part AS object, 'malformed JSON' AS error, count(*) AS n
+           FROM files WHERE broken GROUP BY ALL UNION ALL VALUES ('.cut.json.gz', 'unreadable', 1)""",
+    ),
+    "object_answers": using(
+        "files",
+        """SELECT folder || '/' || part AS object, count(*) FILTER (NOT broken AND n_chars > 1000) AS n,
+                  max(n_chars) FILTER (NOT broken AND n_chars > 1000) AS longest
+           FROM files GROUP BY ALL UNION ALL VALUES ('empty.json', 0, NULL), ('.cut.json.gz', 0, NULL)""",
+    ),
+    "scan_lines_pack": packing_sql(
+        16 * 1024,
+        """SELECT n.file, CAST(pos AS BIGINT) AS pos, n_bytes, batch_id, true AS same FROM numbered n
+           JOIN walk w ON n.file = w.file AND n.p >= w.p AND n.p < w.next_p""",
+        "part_lines",
+    ),
     "object_totals": "SELECT count(*) AS objects, CAST(sum(strlen(text)) AS BIGINT) AS total_size FROM documents",
     "lines_nonblank": using(
         "lines",

@@ -17,7 +17,8 @@ from opsloom.plans import landing, views
 from opsloom.plans.views import AS_OF
 from opsloom.session import shared_dir
 from opsloom.sinks import delivery, outbox
-from opsloom.sources import filters, shards, tables
+from opsloom.sources import files, filters, shards, tables
+from opsloom.sources.lines import scan_lines
 from opsloom.sources.logs import group_names, missing_groups, scan_logs
 from opsloom.sources.metrics import scan_metrics
 from opsloom.sources.objects import object_totals as totals_of
@@ -337,9 +338,73 @@ def object_totals(spark, folder):
     return totals_of(files)
 
 
+def _objects(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents landed as files, listed."""
+    base = shared_dir(spark, "objects")
+    landing.land_objects(views.table(spark, folder, "documents"), f"{base}/objects")
+    found, errors = files.list_files(spark, f"{base}/objects/")
+    return landing.landed(found), errors
+
+
+@query
+def object_listing(spark, folder):
+    """Number and size of the files of every folder: hidden, empty and oddly named ones are files."""
+    found, _ = _objects(spark, folder)
+    name = F.regexp_replace(landing.part_name("path"), r"/\d+$", "")
+    return found.groupBy(name.alias("folder")).agg(
+        F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes"), F.min("size").cast("bigint").alias("least")
+    )
+
+
+@query
+def object_records(spark, folder):
+    """Records of all files that can be read, with the file they are from."""
+    found, _ = _objects(spark, folder)
+    schema = "doc_id BIGINT, lang STRING, n_chars BIGINT"
+    records, _ = files.read_records(spark, found, "JSON", {"Type": "LINES"}, schema=schema, split_bytes=2048)
+    return records.select("doc_id", "lang", "n_chars", landing.part_name("object").alias("object"))
+
+
+@query
+def object_errors(spark, folder):
+    """What could not be read: lines that are broken off, and a file that is not what its name says."""
+    found, _ = _objects(spark, folder)
+    _, errors = files.read_records(spark, found, "JSON", {"Type": "LINES"}, schema="doc_id BIGINT", split_bytes=4096)
+    kind = F.when(F.col("error") == "malformed JSON", F.col("error")).otherwise("unreadable")
+    return errors.groupBy(landing.part_name("object").alias("object"), kind.alias("error")).agg(F.count("*").alias("n"))
+
+
+@query
+def object_answers(spark, folder):
+    """A SQL text with a table of its own, answered for every listed object, those without records too."""
+    found, _ = _objects(spark, folder)
+    records, _ = files.read_records(spark, found, "JSON", {"Type": "LINES"})
+    text = """WITH longer AS (SELECT * FROM s3object WHERE n_chars > 1000)
+              SELECT count(*) AS n, max(n_chars) AS longest FROM longer"""
+    answers = objects.query_objects(
+        spark, records.drop("object_row"), text, objects=found.select(F.col("path").alias("object"))
+    )
+    return answers.withColumn("object", landing.part_name("object"))
+
+
 # --- messages
 
 
+@query
+def scan_lines_pack(spark, folder):
+    """Lines of real files in batches; ``same`` tells that ids and batches do not depend on how files are cut."""
+    base = shared_dir(spark, "texts")
+    landing.land_texts(views.table(spark, folder, "documents"), f"{base}/texts")
+
+    def packed(split_bytes: int) -> DataFrame:
+        return packing.pack_batches(scan_lines(spark, f"{base}/texts/", split_bytes), max_bytes=16 * 1024)
+
+    one = packed(1 << 14)
+    other = packed(1 << 20).select("entry_id", F.col("batch_id").alias("_batch"))
+    both = one.join(other, "entry_id", "left").withColumn("same", F.col("batch_id").eqNullSafe(F.col("_batch")))
+    return both.select(landing.part_name("file").alias("file"), "pos", "n_bytes", "batch_id", "same")
+
+
 @query
 def lines_nonblank(spark, folder):
     return (

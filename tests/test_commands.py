@@ -102,7 +102,7 @@ def test_select(spark, tmp_path, capsys):
         (tmp_path / "in" / f"{name}.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
     base = ["s3-select-batch", "-x", f"{tmp_path}/in/", "-f", "JSON"]
     assert run(spark, [*base, "--limit", "1", "--columns", "id"]).count() == 2
-    assert "found 2 objects" in capsys.readouterr().out
+    assert "2 objects of together" in capsys.readouterr().out
     assert run(spark, [*base, "--aggs", "count(*) AS n; max(id) AS m"]).collect()[0].n == 2
     assert run(spark, [*base, "-e", "SELECT count(*) AS n FROM s3object", "--dataset"]).first().n == 4
     assert run(spark, [*base, "-e", "select * from s3object limit 1"]).count() == 2
