@@ -399,7 +399,7 @@ def scan_lines_pack(spark, folder):
     def packed(split_bytes: int) -> DataFrame:
         return packing.pack_batches(scan_lines(spark, f"{base}/texts/", split_bytes), max_bytes=16 * 1024)
 
-    one = packed(1 << 14)
+    one = packed(1 << 15)
     other = packed(1 << 20).select("entry_id", F.col("batch_id").alias("_batch"))
     both = one.join(other, "entry_id", "left").withColumn("same", F.col("batch_id").eqNullSafe(F.col("_batch")))
     return both.select(landing.part_name("file").alias("file"), "pos", "n_bytes", "batch_id", "same")

@@ -78,8 +78,7 @@ def list_files(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
         n = folders.count()
         if not n:
             break
-        # One folder a task as far as there are tasks: adaptive execution does not join partitions of a given number.
-        level = folders.select("path", F.lit("").alias("start")).repartition(min(n, 10_000))
+        level = _spread(folders.select("path", F.lit("").alias("start")), n // 64, "path")
     everything = reduce(DataFrame.unionByName, levels)
     files = everything.where(~F.col("is_folder") & F.col("error").isNull()).select("path", "size", "modified")
     return files, everything.where(F.col("error").isNotNull()).select("path", "error")
@@ -154,6 +153,12 @@ def _batched(path: str, found: Iterator[tuple[int, str]]) -> Iterator[pa.RecordB
         yield batch([error])
 
 
+def _spread(rows: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """Small rows that stand for work, over ``tasks`` tasks or all cores; partitions of a given number are not joined."""
+    tasks = max(tasks, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, min(rows.count(), tasks)), *by)
+
+
 def _ranges(files: DataFrame, split_bytes: int, whole: bool = False) -> DataFrame:
     """``(path, start, end)``: stretches of bytes; compressed files, and all with ``whole``, are one stretch."""
     cut = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
@@ -161,7 +166,8 @@ def _ranges(files: DataFrame, split_bytes: int, whole: bool = False) -> DataFram
     starts = F.when(one, F.array(F.lit(0).cast("bigint"))).otherwise(cut)
     ranges = files.where(F.col("size") > 0).select("path", F.explode(starts).alias("start"), one.alias("one"))
     ranges = ranges.select("path", "start", F.when(~F.col("one"), F.col("start") + split_bytes).alias("end"))
-    return ranges.repartition(max(1, min(ranges.count(), 10_000)), "path", "start")
+    total = files.agg(F.sum("size")).first()[0] or 0
+    return _spread(ranges, -(-total // split_bytes), "path", "start")
 
 
 def _read_ranges(
@@ -281,8 +287,8 @@ def _json_schema(rows: DataFrame) -> str:
 
 
 def _parquet_ranges(files: DataFrame) -> DataFrame:
-    rows = files.select("path")
-    return rows.repartition(max(1, min(rows.count(), 10_000)), "path")
+    total = files.agg(F.sum("size")).first()[0] or 0
+    return _spread(files.select("path"), -(-total // SPLIT_BYTES), "path")
 
 
 def _object_name(columns: list[str]) -> str:
