@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom import schemas
-from opsloom.operators import cold_starts
+from opsloom.operators import cold_starts, distribution
 from opsloom.operators.distribution import distribution_stats
 from opsloom.sources import filters
 from opsloom.sources.logs import group_names, missing_groups, scan_logs
@@ -52,12 +52,12 @@ def test_group_without_any_value_keeps_its_count(spark):
     assert rows["b"].n == 1 and rows["b"].p95_v == 1.0
 
 
-@pytest.mark.parametrize("width", [0.5, 1.0, 50.0])
-def test_percentiles_equal_brute_force_with_a_hot_group(spark, width):
+@pytest.mark.parametrize("most_rows", [3, 1000, 1_000_000])
+def test_percentiles_equal_brute_force_with_a_hot_group(spark, most_rows):
     rng = random.Random(7)
     rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(40)}", round(rng.expovariate(0.02), 2)) for _ in range(6000)]
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
-    got = {r.k: r for r in distribution_stats(df, ["k"], "v", "v", bucket_width=width).collect()}
+    got = {r.k: r for r in distribution_stats(df, ["k"], "v", "v", most_rows=most_rows).collect()}
     assert len(got) == len({k for k, _ in rows})
     for key, r in got.items():
         values = np.array([v for k, v in rows if k == key])
@@ -81,11 +81,50 @@ def test_text_that_is_no_number_is_no_duration(spark):
     assert (row.cold_starts, row.median_init_ms, row.max_init_ms) == (4, 5.5, 5.5)
 
 
-def test_counts_are_read_once(spark, logs):
-    df = cold_starts.cold_start_stats(logs)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "ReusedExchange" in plan
+def test_percentiles_of_close_values(spark):
+    """One group, all values inside one unit, and windows of a thousand rows."""
+    df = spark.range(300_000).select(F.lit("k").alias("k"), F.rand(3).alias("v"))
+    values = np.array([r.v for r in df.collect()])
+    got = distribution_stats(df, ["k"], "v", "v", most_rows=1000).first()
+    assert [got.median_v, got.p75_v, got.p95_v] == pytest.approx(list(np.percentile(values, [50, 75, 95])), rel=1e-15)
+    assert (got.n, got.max_v) == (300_000, values.max())
+    assert got.stddev_v == pytest.approx(values.std(ddof=1))
+
+
+ODD = {
+    "far": [-1e300, 1e300, 5e-324, 0.0, -0.0, 1e-200, -1e-200, 3.0, 1e17, 1e17 + 16],
+    "ends": [float("inf"), float("-inf"), 1.0, 2.0, 1.7e308, -1.7e308],
+    "same": [4.25] * 40 + [4.250000000000001, 4.25, 4.24],
+    "nan": [float("nan"), 1.0, 2.0, 3.0],
+    "null": [None, None, 7.5],
+    "two": [1.0, 1.0000000000000002],
+    None: [1.0, 2.0],
+}
+
+
+@pytest.mark.parametrize("most_rows", [1, 5, 1000])
+def test_percentiles_of_odd_values(spark, most_rows):
+    rows = [(k, v) for k, values in ODD.items() for v in values]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE").repartition(3)
+    got = {r.k: r for r in distribution_stats(df, ["k"], "v", "v", most_rows=most_rows).collect()}
+    assert set(got) == set(ODD)
+    for key, values in ODD.items():
+        known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+        assert got[key].n == len(values)
+        for p, name in ((0.5, "median_v"), (0.75, "p75_v"), (0.95, "p95_v")):
+            place = p * (len(known) - 1)
+            lo, hi = known[int(np.floor(place))], known[int(np.ceil(place))]
+            expected = lo if lo == hi else lo + (hi - lo) * (place - np.floor(place))
+            assert got[key][name] == pytest.approx(expected, nan_ok=True, rel=1e-15)
+
+
+def test_first_ranges_grow_with_the_value_and_are_few(spark):
+    rng = random.Random(1)
+    values = sorted(rng.choice([-1, 1]) * rng.random() * 10 ** rng.uniform(-320, 308) for _ in range(20_000))
+    df = spark.createDataFrame([(v,) for v in [float("-inf"), *values, float("inf"), float("nan")]], "v DOUBLE").coalesce(1)
+    codes = [r[0] for r in df.select(distribution._first_range("v")).collect()]
+    assert codes == sorted(codes)
+    assert codes[-1] - codes[0] < distribution.FIRST_RANGES
 
 
 def test_approximate_statistics(spark, logs):
