@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.constants import (
@@ -150,21 +150,50 @@ def stream_utilisation(
 ) -> DataFrame:
     """Share of the shards' 5-minute capacity in use, in percent with two decimals."""
     joined = streams.join(usage, ["region", "stream_name"], "left")
+    shares = utilisation_columns(write_records, write_bytes, read_records, read_bytes)
+    return joined.select("region", "stream_name", "shards", "status", *shares)
+
+
+def utilisation_columns(
+    write_records: int = SHARD_WRITE_RECORDS,
+    write_bytes: int = SHARD_WRITE_BYTES,
+    read_records: int = SHARD_READ_RECORDS,
+    read_bytes: int = SHARD_READ_BYTES,
+    digits: int = 2,
+) -> list[Column]:
+    """Shares of the capacity of ``shards`` that 5-minute sums per metric (``<metric>Sum``) use."""
 
     def percent(metric: str, per_second: int) -> Column:
         used = F.coalesce(F.col(f"`{metric}Sum`"), F.lit(0.0))
-        return F.round(used / (F.col("shards") * float(per_second * 300)) * 100, 2)
+        return F.round(used / (F.col("shards") * float(per_second * 300)) * 100, digits)
 
-    return joined.select(
-        "region",
-        "stream_name",
-        "shards",
-        "status",
+    return [
         percent("GetRecords.Bytes", read_bytes).alias("read_mb_pct"),
         percent("GetRecords.Records", read_records).alias("read_records_pct"),
         percent("IncomingBytes", write_bytes).alias("write_mb_pct"),
         percent("IncomingRecords", write_records).alias("write_records_pct"),
+    ]
+
+
+def valid_at(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """Versions of an inventory (``valid_from``) with ``valid_to``, where the next one of the same keys begins."""
+    following = Window.partitionBy(*keys).orderBy("valid_from")
+    return versions.withColumn("valid_to", F.lead("valid_from").over(following))
+
+
+def utilisation_by_period(usage: DataFrame, versions: DataFrame, digits: int = 2) -> DataFrame:
+    """Utilisation of every 5-minute period by the shards that a stream had then.
+
+    ``usage`` has a row per period (``bucket_start``) with ``<metric>Sum`` columns; ``versions`` of the streams have
+    ``valid_from`` and do not overlap. A period before the first version of its stream has no shards and is left out.
+    """
+    keys = ["region", "stream_name"]
+    at = valid_at(versions.select(*keys, "shards", "valid_from"), keys)
+    then = (F.col("bucket_start") >= F.col("valid_from")) & (
+        F.col("valid_to").isNull() | (F.col("bucket_start") < F.col("valid_to"))
     )
+    joined = usage.join(at, keys).where(then)
+    return joined.select(*keys, "bucket_start", "shards", *utilisation_columns(digits=digits))
 
 
 def shard_usage(metrics: DataFrame, as_of: Moment, minutes: int = 60) -> DataFrame:

@@ -334,7 +334,7 @@ def shard_sql() -> str:
     )
 
 
-def utilisation_sql() -> str:
+def utilisation_sql(live: bool = False) -> str:
     # Capacity per shard and second.
     capacity = {
         "read_mb_pct": ("out_bytes", 2048 * 1024),
@@ -346,6 +346,18 @@ def utilisation_sql() -> str:
         f"round(coalesce({value}, 0) / (CAST(shards AS BIGINT) * {limit} * 300) * 100, 2) AS {name}"
         for name, (value, limit) in capacity.items()
     )
+    if live:
+        exact = shown.replace("* 100, 2)", "* 100, 8)")
+        return using(
+            "streams",
+            f"""SELECT region, stream_name, {time_text("b")} AS bucket_start, shards, {exact} FROM (
+                    SELECT region, event_type AS stream_name, time_bucket(INTERVAL '5 minutes', ts) AS b,
+                           sum(length(props) * 10000000.0::DOUBLE) AS in_bytes, sum(value * 1000) AS in_records,
+                           sum(length(props) * 20000000.0::DOUBLE) AS out_bytes, sum(value * 2000) AS out_records
+                    FROM ev GROUP BY 1, 2, 3)
+                JOIN (SELECT region, stream_name, unnest([1, 2]) AS k, CAST(shards * k AS INTEGER) AS shards FROM streams)
+                USING (region, stream_name) WHERE (b >= TIMESTAMP '2024-01-16') = (k = 2) AND b >= {START}""",
+        )
     return using(
         "streams",
         f"""SELECT region, stream_name, shards, 'ACTIVE' AS status, {shown} FROM streams LEFT JOIN (
@@ -431,6 +443,16 @@ ORACLE: dict[str, str] = {
             round(provisioned_write, 8) AS provisioned_write FROM capacity""",
     ),
     "stream_utilisation": utilisation_sql(),
+    "stream_utilisation_live": utilisation_sql(live=True),
+    "metric_rollup_late": using(
+        "ev",
+        f"""SELECT region, 'Duration' AS metric, function_name, {time_text("date_trunc('day', ts)")} AS bucket_start,
+            count(*) AS n, round(sum(value), 9) AS total, round(sum(value) / count(*), 9) AS average,
+            round(min(value), 9) AS least, round(max(value), 9) AS greatest FROM ev GROUP BY ALL""",
+    ),
+    "drain_progress": """SELECT CAST(event_id % 4 AS BIGINT) AS batch, count(*) AS messages,
+        CAST(sum(count(*)) OVER (ORDER BY event_id % 4) AS BIGINT) AS so_far,
+        CAST(sum(count(*)) OVER () AS BIGINT) AS delivered FROM events GROUP BY event_id % 4""",
     "shard_report": shard_sql(),
     "latest_value": using(
         "hourly",

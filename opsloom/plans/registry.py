@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.constants import STREAM_METRICS
 from opsloom.functions import envelopes, text
 from opsloom.operators import cold_starts, inventory, messages, metrics, objects, packing, resolve, tuning
 from opsloom.operators import versions as version_ops
@@ -22,7 +23,7 @@ from opsloom.sources.lines import scan_lines
 from opsloom.sources.logs import group_names, missing_groups, scan_logs
 from opsloom.sources.metrics import scan_metrics
 from opsloom.sources.objects import object_totals as totals_of
-from opsloom.streaming import remembered, runner, tails
+from opsloom.streaming import remembered, rollups, runner, tails
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -655,6 +656,67 @@ def metric_stat_closed(spark, folder):
     return rounded(runner.run_available(stream, "metric-stat-closed"))
 
 
+def _rolled_up(spark: SparkSession, folder: str, points: DataFrame, period: str, dims: dict[str, str]) -> DataFrame:
+    """Points landed in four turns that each hold points of all days, two files each, rolled up in two runs.
+
+    The days before the last turn's points are long closed when it comes; a compaction falls between.
+    """
+    base = shared_dir(spark, "rollup")
+    points = points.withColumn("ts", F.col("ts").cast("timestamp"))
+    turn = F.pmod(F.xxhash64("ts", "value", "metric"), F.lit(4))
+    for n in range(4):
+        points.where(turn == n).repartition(2).write.mode("append").parquet(f"{base}/points")
+        if n % 2:
+            stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/points")
+            rollups.rollup_stream(stream, f"{base}/rollup", f"{base}/checkpoint", period, dims, compact_every=3)
+    return rollups.rollup(spark, f"{base}/rollup", list(dims))
+
+
+@query
+def metric_rollup_late(spark, folder):
+    """Daily durations per function from points that come in any order."""
+    points = views.lambda_metrics(views.events(spark, folder), "Duration")
+    states = _rolled_up(spark, folder, points, "1 day", {"function_name": "FunctionName"})
+    total, average = F.col("total"), F.col("total") / F.col("n")
+    return rounded(
+        states.select(
+            "region", "metric", "function_name", "bucket_start", "n",
+            total.alias("total"), average.alias("average"), "least", "greatest",
+        ), 9
+    )
+
+
+@query
+def stream_utilisation_live(spark, folder):
+    """Utilisation of every 5-minute period, by the shards that the stream had then: twice as many from the 16th on."""
+    ev = views.events(spark, folder)
+    states = _rolled_up(spark, folder, views.stream_metrics(ev), "5 minutes", {"stream_name": "StreamName"})
+    usage = metrics.pivot_metrics(
+        rollups.stat(states, "Sum"), ["region", "stream_name", "bucket_start"], {m: f"{m}Sum" for m in STREAM_METRICS}
+    )
+    streams = tables.scan_streams(views.streams(ev))
+    first = streams.withColumn("valid_from", F.lit(START).cast("timestamp"))
+    grown = streams.withColumn("shards", F.col("shards") * 2).withColumn("valid_from", F.lit("2024-01-16").cast("timestamp"))
+    return rounded(metrics.utilisation_by_period(usage, first.unionByName(grown), digits=8), 8)
+
+
+@query
+def drain_progress(spark, folder):
+    """Messages per read of a drain and so far, over a restart: four reads of two files, as they landed."""
+    ev = views.events(spark, folder)
+    base = shared_dir(spark, "progress")
+    rows = views.messages(ev).drop("queue")
+    for n in range(4):
+        rows.where(F.regexp_extract("message_id", r"(\d+)$", 1).cast("bigint") % 4 == n).repartition(2).write.mode("append").parquet(
+            f"{base}/queue"
+        )
+        if n % 2:
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/queue")
+            runner.drain(stream, f"{base}/checkpoint", delivery.replay_router("stream", f"{base}/target"))
+    delivered = spark.read.schema("data STRING, partition_key STRING").json(f"{base}/target").agg(F.count("*")).scalar()
+    return runner.progress(spark, f"{base}/checkpoint").withColumn("delivered", delivered)
+
+
 # --- inventory
 
 

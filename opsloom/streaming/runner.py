@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -114,9 +115,20 @@ def run_latest(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
 def drain(
     messages: DataFrame, checkpoint: str, route: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
-    """Feeds everything that has landed to ``route`` and stops; the checkpoint remembers it."""
+    """Feeds everything that has landed to ``route`` and stops; the checkpoint remembers it.
+
+    What a batch held is counted while it is routed and noted beside the checkpoint, see :func:`progress`.
+    """
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"drained {batch_id}")
+        route(batch.observe(seen, F.count("*").alias("n")), batch_id)
+        n = seen.get["n"]  # route has read the batch
+        note = batch.sparkSession.createDataFrame([(batch_id, n)], PROGRESS)
+        note.coalesce(1).write.mode("overwrite").json(f"{checkpoint.rstrip('/')}/progress/note={batch_id}")
+
     query = (
-        messages.writeStream.foreachBatch(route)
+        messages.writeStream.foreachBatch(counted)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -125,6 +137,43 @@ def drain(
     return query
 
 
+PROGRESS = "batch BIGINT, messages BIGINT"
+
+
+def progress(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``batch, messages, so_far`` of a drain, over all its runs. A batch that ran twice counts once."""
+    notes = spark.read.schema(PROGRESS).json(f"{checkpoint.rstrip('/')}/progress").select("batch", "messages")
+    # One row per batch.
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return notes.withColumn("so_far", F.sum("messages").over(before))
+
+
+#: Fixed value: reads in a row that find nothing, after which a queue counts as empty.
+EMPTY_READS = 10
+
+
+def drain_until_empty(
+    read: Callable[[], DataFrame],
+    checkpoint: str,
+    route: Callable[[DataFrame, int], None],
+    empty_reads: int = EMPTY_READS,
+    interval: float = 1.0,
+) -> int:
+    """Drains again and again until ``empty_reads`` reads in a row have found nothing; returns the messages routed.
+
+    ``read`` gives the stream anew for each read; ``interval`` is the time in seconds between reads that find nothing.
+    """
+    empty = total = 0
+    while empty < empty_reads:
+        query = drain(read(), checkpoint, route)
+        found = sum(p["numInputRows"] for p in query.recentProgress)
+        total += found
+        empty = 0 if found else empty + 1
+        if not found and empty < empty_reads:
+            time.sleep(interval)
+    return total
+
+
 def tail_to_console(stream: DataFrame, checkpoint: str, interval: str = "1 second") -> StreamingQuery:
     return (
         stream.writeStream.format("console")
