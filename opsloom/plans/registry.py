@@ -547,49 +547,49 @@ def decode_record(spark, folder):
 
 @query
 def tail_queue_dedup(spark, folder):
-    stream = tails.tail_queue(views.deliveries(views.events(spark, folder, stream=True)))
+    stream = tails.tail_queue(views.deliveries(views.event_stream(spark, folder)))
     found = runner.run_available(stream, "tail-queue")
     return found.withColumn("attributes", attribute_kinds("attributes"))
 
 
 @query
 def tail_logs(spark, folder):
-    logs = views.logs(views.events(spark, folder, stream=True))
+    logs = views.logs(views.event_stream(spark, folder))
     stream = tails.tail_logs(logs, condition="message LIKE '%Init Duration%'")
     return rounded(runner.run_available(stream, "tail-logs"))
 
 
 @query
 def tail_events_bus(spark, folder):
-    bodies = views.event_messages(views.events(spark, folder, stream=True))
+    bodies = views.event_messages(views.event_stream(spark, folder))
     stream = tails.tail_events(bodies, not_source="view", keep=("event_id",))
     return runner.run_available(stream, "tail-bus").withColumn("resources", F.array_join("resources", ","))
 
 
 @query
 def tail_events_rule(spark, folder):
-    bodies = views.event_messages(views.events(spark, folder, stream=True))
+    bodies = views.event_messages(views.event_stream(spark, folder))
     stream = tails.tail_events(bodies, source="purchase", detail_type="large", keep=("event_id",))
     return runner.run_available(stream, "tail-rule").withColumn("resources", F.array_join("resources", ","))
 
 
 @query
 def tail_topic(spark, folder):
-    stream = tails.tail_topic(views.topic_messages(views.events(spark, folder, stream=True)), keep=("event_id",))
+    stream = tails.tail_topic(views.topic_messages(views.event_stream(spark, folder)), keep=("event_id",))
     found = runner.run_available(stream, "tail-topic")
     return found.withColumn("message_attributes", F.col("message_attributes")["user"]["Value"])
 
 
 @query
 def tail_changes(spark, folder):
-    bodies = views.change_messages(views.events(spark, folder, stream=True))
+    bodies = views.change_messages(views.event_stream(spark, folder))
     renamed = bodies.withColumnRenamed("event_id", "source_id")
     return _change_text(runner.run_available(tails.tail_changes(renamed, keep=("source_id",)), "tail-changes"))
 
 
 @query
 def tail_records(spark, folder):
-    stream = tails.tail_records(views.stream_records(views.events(spark, folder, stream=True)))
+    stream = tails.tail_records(views.stream_records(views.event_stream(spark, folder)))
     return runner.run_available(stream, "tail-records")
 
 
@@ -642,7 +642,7 @@ def tail_queue_bounded(spark, folder):
 
 @query
 def metric_stat_stream(spark, folder):
-    points = views.lambda_metrics(views.events(spark, folder, stream=True), "Duration")
+    points = views.lambda_metrics(views.event_stream(spark, folder, in_time=True), "Duration")
     stream = tails.metric_stat_stream(points, "1 hour", "Sum", {"function_name": "FunctionName"})
     keys = ["region", "metric", "function_name", "bucket_start"]
     return rounded(runner.run_latest(stream, "metric-stat", keys))
@@ -651,7 +651,7 @@ def metric_stat_stream(spark, folder):
 @query
 def metric_stat_closed(spark, folder):
     """The same rollup in append mode: only periods that can no longer change."""
-    points = views.lambda_metrics(views.events(spark, folder, stream=True), "Duration")
+    points = views.lambda_metrics(views.event_stream(spark, folder, in_time=True), "Duration")
     stream = tails.metric_stat_stream(points, "1 hour", "Sum", {"function_name": "FunctionName"})
     return rounded(runner.run_available(stream, "metric-stat-closed"))
 

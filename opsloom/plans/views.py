@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.functions.payload import gzip_bytes
-from opsloom.session import use_utc
+from opsloom.session import shared_dir, use_utc
 from opsloom.sources.tables import union_resources
 
 AS_OF = "2024-01-31 00:00:00"
@@ -72,17 +72,29 @@ def functions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
-    """Events with region and function name; as a stream the time is an instant."""
-    if stream:
-        # As a pattern, the path can be a folder of files or one file.
-        rows = use_utc(spark).readStream.schema(SCHEMAS["events"]).parquet(f"{folder}/events.parque[t]")
-        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
-            "landed_at", F.col("_metadata.file_modification_time")
-        )
-    else:
-        rows = table(spark, folder, "events")
-    return in_region(rows, spark, folder, "user_id").withColumn("function_name", function_name("user_id"))
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with region and function name."""
+    rows = in_region(table(spark, folder, "events"), spark, folder, "user_id")
+    return rows.withColumn("function_name", function_name("user_id"))
+
+
+#: Turns in which the events of a stream land, and files of each.
+TURNS, FILES = 4, 2
+
+
+def event_stream(spark: SparkSession, folder: str, in_time: bool = False) -> DataFrame:
+    """The events as a stream, with times as instants, that lands in turns; a turn is a micro-batch.
+
+    The turns hold events of all times, or with ``in_time`` those of one stretch of days after the other.
+    """
+    rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    landed = shared_dir(spark, "events")
+    turn = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(TURNS - 1)) if in_time else F.pmod(F.xxhash64("event_id"), F.lit(TURNS))
+    for n in range(TURNS):
+        rows.where(turn == n).repartition(FILES).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(landed)
+    stream = stream.withColumn("landed_at", F.col("_metadata.file_modification_time"))
+    return in_region(stream, spark, folder, "user_id").withColumn("function_name", function_name("user_id"))
 
 
 def logs(ev: DataFrame) -> DataFrame:
