@@ -9,55 +9,58 @@ from pyspark.sql import functions as F
 
 from opsloom.constants import DELETABLE_STACK_STATUS, SERVICE_ROLE_PATH
 
-PART_SIZE = 1000
+#: What a row is: a resource, or one of its children, named by their kind.
+RESOURCE = "resource"
 
 
-def _collected(name: str, child: DataFrame) -> Column:
-    """Children in a repeatable order; structs with maps have none of their own, so their JSON is used."""
-    collected = F.collect_list(name)
-    if not any(kind.startswith("map") or "map<" in kind for _, kind in child.dtypes):
-        return F.sort_array(collected).alias(name)
-    first = lambda a, b: F.to_json(a) < F.to_json(b)
-    ordered = F.array_sort(
-        collected, lambda a, b: F.when(first(a, b), -1).when(first(b, a), 1).otherwise(0)
-    )
-    return ordered.alias(name)
+def _fields(df: DataFrame, keys: list[str]) -> Column:
+    return F.struct(*[c for c in df.columns if c not in keys])
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
+    return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def nest(
-    parents: DataFrame, keys: list[str], children: dict[str, DataFrame], part_size: int = PART_SIZE
+    parents: DataFrame,
+    keys: list[str],
+    many: dict[str, DataFrame],
+    single: dict[str, DataFrame] | None = None,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
-    """Parents with their children as sorted arrays of structs.
+    """Resources with their children, at one grain whatever their number: a row per resource and a row per child.
+
+    ``kind`` is ``resource`` for a row with the parent's own columns, its ``tags`` as a map and of each ``single`` table the
+    first entry as a struct; a resource has few of both. For the others it is the name of a ``many`` table, and the
+    column of that name has the child as a struct. Children without parent are dropped.
 
-    A parent with more than ``part_size`` children comes in several parts: part 0 has the
-    parent's columns, the following parts have its keys and further children, spread by
-    hash. So no task holds all children of a hot parent, and none is left out. Parents and
-    children of all kinds meet in one shuffle; children without parent are dropped.
+    Parents meet what is single-valued in one shuffle, and the children of all kinds meet the keys of the parents in
+    another, where those of a hot parent can be split over tasks.
     """
     own = [c for c in parents.columns if c not in keys]
-    rows = [parents.select(*keys, F.struct(*own).alias("_parent"))]
-    for name, child in children.items():
-        columns = [c for c in child.columns if c not in keys]
-        rows.append(child.select(*keys, F.struct(*columns).alias(name)))
+    rows = [parents.select(*keys, F.struct(F.lit(True).alias("_is"), *own).alias("_parent"))]
+    for name, df in (single or {}).items():
+        rows.append(df.select(*keys, _fields(df, keys).alias(name)))
+    if tags is not None:
+        rows.append(last_tags(tags, keys).select(*keys, F.struct("key", "value").alias("tags")))
     tall = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-
-    is_parent = F.col("_parent").isNotNull()
-    big = (
-        tall.groupBy(*keys)
-        .agg(F.count(F.when(~is_parent, 1)).alias("_n"), F.max(is_parent).alias("_known"))
-        .where(F.col("_n") > part_size)
-        .select(*keys, F.ceil(F.col("_n") / part_size).alias("_parts"), "_known")
-    )
-    spread = F.pmod(F.xxhash64(*[F.to_json(name) for name in children]), F.col("_parts"))
-    part = F.when(is_parent | F.col("_parts").isNull(), 0).otherwise(spread)
-    placed = tall.join(big, keys, "left").where(F.coalesce("_known", F.lit(True)))
-    documents = placed.groupBy(*keys, part.cast("int").alias("part")).agg(
-        F.first("_parent", ignorenulls=True).alias("_parent"),
-        *[_collected(name, child) for name, child in children.items()],
-    )
-    return documents.where(F.col("_parent").isNotNull() | (F.col("part") > 0)).select(
-        *keys, *[F.col("_parent")[c].alias(c) for c in own], "part", *children
+    # Structs with maps have no order of their own, so the text of an entry decides which is first.
+    firsts = [F.min_by(name, F.to_json(name)).alias(name) for name in single or {}]
+    maps = [F.map_from_entries(F.collect_list("tags")).alias("tags")] if tags is not None else []
+    resources = tall.groupBy(*keys).agg(F.first("_parent", ignorenulls=True).alias("_parent"), *maps, *firsts)
+    resources = resources.where(F.col("_parent").isNotNull()).select(
+        *keys,
+        F.lit(RESOURCE).alias("kind"),
+        *[F.col("_parent")[c].alias(c) for c in own],
+        *[c for c in resources.columns if c not in (*keys, "_parent")],
     )
+    if not many:
+        return resources
+    kinds = [df.select(*keys, F.lit(name).alias("kind"), _fields(df, keys).alias(name)) for name, df in many.items()]
+    children = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    known = parents.select(*keys).distinct()
+    children = children.alias("l").join(known.alias("r"), _same(keys, "l", "r"), "left_semi")
+    return resources.unionByName(children, allowMissingColumns=True)
 
 
 def last_tags(tags: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,10 +68,6 @@ def last_tags(tags: DataFrame, keys: list[str]) -> DataFrame:
     return tags.groupBy(*keys, "key").agg(F.max_by("value", "pos").alias("value"))
 
 
-def with_tag_map(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("tags", F.map_from_entries("tags"))
-
-
 def inventory_functions(
     functions: DataFrame,
     tags: DataFrame,
@@ -76,41 +75,27 @@ def inventory_functions(
     pc_configs: DataFrame,
     invoke_configs: DataFrame | None = None,
     policies: DataFrame | None = None,
-    part_size: int = PART_SIZE,
-) -> DataFrame:
-    """Functions with tags, event source mappings, provisioned concurrency and, when their
-    tables are given, the first invoke configuration and the policy."""
-    keys = ["region", "function_name"]
-    children = {
-        "tags": last_tags(tags, keys),
-        "event_source_mappings": mappings,
-        "provisioned_concurrency_configs": pc_configs,
-    }
-    single = {"event_invoke_config": invoke_configs, "policy": policies}
-    given = {name: df for name, df in single.items() if df is not None}
-    documents = with_tag_map(nest(functions, keys, {**children, **given}, part_size))
-    return documents.withColumns({name: F.get(name, F.lit(0)) for name in given})
-
-
-def inventory_tables(
-    tables: DataFrame, tags: DataFrame, capacity: DataFrame, part_size: int = PART_SIZE
 ) -> DataFrame:
-    """Tables with tags and their daily capacity values as an array ordered by day."""
+    """Functions with tags and, when their tables are given, the first invoke configuration and the policy; event source
+    mappings and provisioned concurrency as rows of their own."""
+    given = {"event_invoke_config": invoke_configs, "policy": policies}
+    single = {name: df for name, df in given.items() if df is not None}
+    many = {"event_source_mappings": mappings, "provisioned_concurrency_configs": pc_configs}
+    return nest(functions, ["region", "function_name"], many, single, tags)
+
+
+def inventory_tables(tables: DataFrame, tags: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Tables with tags; the capacity values of each day as rows of their own."""
     keys = ["region", "table_name"]
     daily = capacity.select(
         *keys, "day", "consumed_read", "consumed_write", "provisioned_read", "provisioned_write"
     )
-    children = {"tags": last_tags(tags, keys), "metrics": daily}
-    return with_tag_map(nest(tables, keys, children, part_size))
+    return nest(tables, keys, {"metrics": daily}, tags=tags)
 
 
-def inventory_topics(
-    topics: DataFrame, tags: DataFrame, subscriptions: DataFrame, part_size: int = PART_SIZE
-) -> DataFrame:
-    """Topics with tags and subscriptions."""
-    keys = ["region", "topic_arn"]
-    children = {"tags": last_tags(tags, keys), "subscriptions": subscriptions}
-    return with_tag_map(nest(topics, keys, children, part_size))
+def inventory_topics(topics: DataFrame, tags: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Topics with tags; subscriptions as rows of their own."""
+    return nest(topics, ["region", "topic_arn"], {"subscriptions": subscriptions}, tags=tags)
 
 
 def queue_sources(queues: DataFrame) -> DataFrame:
@@ -121,11 +106,9 @@ def queue_sources(queues: DataFrame) -> DataFrame:
     )
 
 
-def inventory_queues(queues: DataFrame, tags: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Queues with tags and the queues that use them as dead-letter target."""
-    keys = ["region", "queue_arn"]
-    children = {"tags": last_tags(tags, keys), "source_queues": queue_sources(queues)}
-    return with_tag_map(nest(queues, keys, children, part_size))
+def inventory_queues(queues: DataFrame, tags: DataFrame) -> DataFrame:
+    """Queues with tags; the queues that use them as dead-letter target as rows of their own."""
+    return nest(queues, ["region", "queue_arn"], {"source_queues": queue_sources(queues)}, tags=tags)
 
 
 def inventory_report(documents: dict[str, DataFrame]) -> DataFrame:
@@ -232,10 +215,16 @@ def with_children(parents: DataFrame, children: DataFrame, keys: list[str]) -> D
 
 
 def bus_targets(buses: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
-    """Bus, its rules and their targets; a bus without rules and a rule without targets stay."""
-    keys = ["region", "bus", "rule"]
+    """Bus, its rules and their targets; a bus without rules and a rule without targets stay.
+
+    Every rule is in the tree of rules and targets, so a bus without rules is found by the rules alone: each
+    table is read for its own level and for the keys of the one above.
+    """
+    keys, above = ["region", "bus", "rule"], ["region", "bus"]
     ruled = with_children(rules.select(*keys), targets.select(*keys, "target"), keys)
-    return with_children(buses.select("region", "bus"), ruled, ["region", "bus"])
+    matched = buses.select(*above).join(ruled, above)
+    childless = buses.select(*above).join(rules.select(*above).distinct(), above, "left_anti")
+    return matched.unionByName(childless, allowMissingColumns=True)
 
 
 def role_policies(roles: DataFrame, attached: DataFrame, inline: DataFrame) -> DataFrame:

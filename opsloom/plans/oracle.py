@@ -582,33 +582,41 @@ ORACLE: dict[str, str] = {
     ),
     "inventory_functions": using(
         "fn od",
-        """SELECT region, function_name, runtime, 'segment=' || runtime AS tags, count(o_orderkey) AS mappings,
-                  CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS mapping_ids, count(o_orderkey) AS configs,
-                  CAST(coalesce(sum(1 + o_orderkey % 50), 0) AS BIGINT) AS allocated
-           FROM fn LEFT JOIN od USING (region, function_name) GROUP BY ALL""",
+        """SELECT region, function_name, 'resource' AS kind, runtime, 'segment=' || runtime AS tags,
+                  CASE WHEN memory_size > 512 THEN memory_size // 128 END AS retries,
+                  CASE WHEN runtime = 'BUILDING' THEN 'allow ' || function_name END AS policy, NULL AS child FROM fn
+           UNION ALL
+           SELECT region, function_name, kind, NULL, NULL, NULL, NULL, child FROM (
+               SELECT region, function_name, unnest(['event_source_mappings', 'provisioned_concurrency_configs']) AS kind,
+                      unnest([CAST(o_orderkey AS VARCHAR), 'alias-' || (o_orderkey % 6) || ':' || (1 + o_orderkey % 50)]) AS child
+               FROM od JOIN fn USING (region, function_name))""",
     ),
     "inventory_tables": using(
         "capacity",
-        """SELECT region, table_name, 'ACTIVE' AS table_status, 'name=' || table_name AS tags, count(*) AS days,
-                  round(sum(consumed_read), 6) AS consumed_read, round(sum(provisioned_write), 6) AS provisioned_write
-           FROM capacity GROUP BY region, table_name""",
+        f"""SELECT DISTINCT region, table_name, 'resource' AS kind, 'ACTIVE' AS table_status, 'name=' || table_name AS tags,
+                   NULL AS day, NULL AS consumed_read, NULL AS provisioned_write FROM capacity
+            UNION ALL
+            SELECT region, table_name, 'metrics', NULL, NULL, {time_text("day")}, round(consumed_read, 8),
+                   round(provisioned_write, 8) FROM capacity""",
     ),
     "inventory_topics": using(
         "fn od",
-        """SELECT fn.region, 'arn:aws:sns:topic-' || c_custkey AS topic_arn, runtime AS owner,
-                  'segment=' || runtime AS tags, count(o_orderkey) AS subscriptions,
-                  CAST(coalesce(sum(o_orderkey * length(o_orderpriority)), 0) AS BIGINT) AS digest
-           FROM fn LEFT JOIN od ON o_custkey = c_custkey GROUP BY ALL""",
+        """SELECT region, 'arn:aws:sns:topic-' || c_custkey AS topic_arn, 'resource' AS kind, runtime AS owner,
+                  'segment=' || runtime AS tags, NULL AS subscription_id, NULL AS protocol FROM fn
+           UNION ALL
+           SELECT od.region, 'arn:aws:sns:topic-' || o_custkey, 'subscriptions', NULL, NULL, o_orderkey, o_orderpriority
+           FROM od JOIN fn ON o_custkey = c_custkey""",
     ),
-    "inventory_queues": """SELECT 'arn:aws:sqs:us-east-1:1234567890:queue-' || p_partkey AS queue_arn,
+    "inventory_queues": """SELECT 'arn:aws:sqs:us-east-1:1234567890:queue-' || p_partkey AS queue_arn, 'resource' AS kind,
                   'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey AS queue_url,
-                  'stage=dev,team=' || p_brand AS tags, CAST(0 AS BIGINT) AS sources, CAST(0 AS BIGINT) AS url_chars
+                  'stage=dev,team=' || p_brand AS tags, NULL AS source_queue_url
            FROM part
            UNION ALL
-           SELECT 'arn:aws:sqs:us-east-1:1234567890:dlq-' || p_brand,
-                  'https://sqs.us-east-1.amazonaws.com/1234567890/dlq-' || p_brand, '', count(*),
-                  CAST(sum(length('https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey)) AS BIGINT)
-           FROM part GROUP BY p_brand""",
+           SELECT DISTINCT 'arn:aws:sqs:us-east-1:1234567890:dlq-' || p_brand, 'resource',
+                  'https://sqs.us-east-1.amazonaws.com/1234567890/dlq-' || p_brand, '', NULL FROM part
+           UNION ALL
+           SELECT 'arn:aws:sqs:us-east-1:1234567890:dlq-' || p_brand, 'source_queues', NULL, NULL,
+                  'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey FROM part""",
     "inventory_report": using(
         "fn",
         """SELECT 'lambda' AS type, region, '{"region":"' || region || '","function_name":"' || function_name

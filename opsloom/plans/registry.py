@@ -63,11 +63,6 @@ def pairs(column: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
 
-def total_of(column: str, value: Callable[[Column], Column]) -> Column:
-    """Sum of a whole number over the structs of an array."""
-    return F.aggregate(column, F.lit(0).cast("bigint"), lambda total, e: total + value(e).cast("bigint"))
-
-
 def attribute_text(column: str) -> Column:
     entries = F.array_sort(F.map_entries(column))
     shown = lambda e: F.concat(
@@ -722,7 +717,9 @@ def drain_progress(spark, folder):
 
 @query
 def inventory_functions(spark, folder):
-    functions = tables.scan_functions(views.functions(spark, folder)).select("region", "function_name", "runtime")
+    """A row per function with what is single-valued, and a row per mapping and configuration."""
+    known = tables.scan_functions(views.functions(spark, folder))
+    functions = known.select("region", "function_name", "runtime")
     orders = views.pc_configs(spark, folder)
     configs = tables.scan_pc_configs(orders).select("region", "function_name", "qualifier", "allocated")
     mappings = views.subscriptions(spark, folder).select(
@@ -735,61 +732,82 @@ def inventory_functions(spark, folder):
     tags = functions.select(
         "region", "function_name", F.lit("segment").alias("key"), F.col("runtime").alias("value"), F.lit(0).alias("pos")
     )
-    documents = inventory.inventory_functions(functions, tags, mappings, configs)
-    # A function's document can have several parts; together they hold every child once.
-    return documents.groupBy("region", "function_name").agg(
-        F.max("runtime").alias("runtime"),
-        F.max(pairs("tags")).alias("tags"),
-        F.sum(F.size("event_source_mappings")).alias("mappings"),
-        F.sum(total_of("event_source_mappings", lambda m: m["uuid"])).alias("mapping_ids"),
-        F.sum(F.size("provisioned_concurrency_configs")).alias("configs"),
-        F.sum(total_of("provisioned_concurrency_configs", lambda c: c["allocated"])).alias("allocated"),
+    # Two configurations, of which the first counts, for large functions; a policy for those of one runtime.
+    invoke = known.where("memory_size > 512").select(
+        "region", "function_name", F.explode(F.array((F.col("memory_size") / 128).cast("int"), F.lit(9))).alias("retries")
+    )
+    policies = functions.where("runtime = 'BUILDING'").select(
+        "region", "function_name", F.concat(F.lit("allow "), F.col("function_name")).alias("document")
+    )
+    rows = inventory.inventory_functions(functions, tags, mappings, configs, invoke, policies)
+    config = F.col("provisioned_concurrency_configs")
+    return rows.select(
+        "region",
+        "function_name",
+        "kind",
+        "runtime",
+        pairs("tags").alias("tags"),
+        F.col("event_invoke_config.retries").alias("retries"),
+        F.col("policy.document").alias("policy"),
+        F.coalesce(
+            F.col("event_source_mappings.uuid").cast("string"),
+            F.concat(config["qualifier"], F.lit(":"), config["allocated"].cast("string")),
+        ).alias("child"),
     )
 
 
 @query
 def inventory_tables(spark, folder):
+    """A row per table and a row per day of its capacity."""
     capacity = metrics.table_capacity(views.table_metrics(views.events(spark, folder)), AS_OF)
     named = capacity.select("region", "table_name").distinct().withColumn("table_status", F.lit("ACTIVE"))
     tags = named.select(
         "region", "table_name", F.lit("name").alias("key"), F.col("table_name").alias("value"), F.lit(0).alias("pos")
     )
-    documents = inventory.inventory_tables(named, tags, capacity)
-    total = lambda field: F.round(F.aggregate("metrics", F.lit(0.0), lambda a, m: a + m[field]), 6)
-    return documents.select(
-        "region",
-        "table_name",
-        "table_status",
-        pairs("tags").alias("tags"),
-        F.size("metrics").cast("bigint").alias("days"),
-        total("consumed_read").alias("consumed_read"),
-        total("provisioned_write").alias("provisioned_write"),
+    rows = inventory.inventory_tables(named, tags, capacity)
+    day = F.col("metrics")
+    return rounded(
+        rows.select(
+            "region",
+            "table_name",
+            "kind",
+            "table_status",
+            pairs("tags").alias("tags"),
+            day["day"].alias("day"),
+            day["consumed_read"].alias("consumed_read"),
+            day["provisioned_write"].alias("provisioned_write"),
+        ),
+        8,
     )
 
 
 @query
 def inventory_topics(spark, folder):
-    documents = inventory.inventory_topics(
+    """A row per topic and a row per subscription."""
+    rows = inventory.inventory_topics(
         views.topics(spark, folder), views.topic_tags(spark, folder), views.subscriptions(spark, folder)
     )
-    return documents.groupBy("region", "topic_arn").agg(
-        F.max("owner").alias("owner"),
-        F.max(pairs("tags")).alias("tags"),
-        F.sum(F.size("subscriptions")).alias("subscriptions"),
-        F.sum(
-            total_of("subscriptions", lambda s: s["subscription_id"] * F.length(s["protocol"]))
-        ).alias("digest"),
+    return rows.select(
+        "region",
+        "topic_arn",
+        "kind",
+        "owner",
+        pairs("tags").alias("tags"),
+        F.col("subscriptions.subscription_id").alias("subscription_id"),
+        F.col("subscriptions.protocol").alias("protocol"),
     )
 
 
 @query
 def inventory_queues(spark, folder):
-    documents = inventory.inventory_queues(views.queues(spark, folder), views.queue_tags(spark, folder))
-    return documents.groupBy("queue_arn").agg(
-        F.max("queue_url").alias("queue_url"),
-        F.max(pairs("tags")).alias("tags"),
-        F.sum(F.size("source_queues")).alias("sources"),
-        F.sum(total_of("source_queues", lambda s: F.length(s["source_queue_url"]))).alias("url_chars"),
+    """A row per queue and a row per queue that has it as dead-letter target."""
+    rows = inventory.inventory_queues(views.queues(spark, folder), views.queue_tags(spark, folder))
+    return rows.select(
+        "queue_arn",
+        "kind",
+        "queue_url",
+        pairs("tags").alias("tags"),
+        F.col("source_queues.source_queue_url").alias("source_queue_url"),
     )
 
 

@@ -10,22 +10,21 @@ from opsloom.sources import tables
 from opsloom.sources.regions import read_regions, region_paths
 
 
-def test_hot_parent_comes_in_parts(spark):
-    parents = spark.createDataFrame([("r", "hot", 1), ("r", "small", 2), ("r", "none", 3)], "region STRING, name STRING, v INT")
-    rows = [("r", "hot", i) for i in range(1000)] + [("r", "small", i) for i in range(3)] + [("r", "orphan", 1)]
-    rows += [("r", "big orphan", i) for i in range(500)]
-    children = spark.createDataFrame(rows, "region STRING, name STRING, child INT")
-    other = spark.createDataFrame([("r", "hot", "t")], "region STRING, name STRING, tag STRING")
-    got = inventory.nest(parents, ["region", "name"], {"children": children, "tags": other}, part_size=100).collect()
-    assert {r.name for r in got} == {"hot", "small", "none"}
-    hot = [r for r in got if r.name == "hot"]
-    assert len(hot) > 5 and max(len(r.children) for r in hot) < 200
-    assert sorted(c.child for r in hot for c in r.children) == list(range(1000))
-    assert [t.tag for r in hot for t in r.tags] == ["t"]
-    assert [r.v for r in hot if r.part == 0] == [1] and all(r.v is None for r in hot if r.part > 0)
-    small = next(r for r in got if r.name == "small")
-    assert [c.child for c in small.children] == [0, 1, 2]
-    assert next(r for r in got if r.name == "none").children == []
+def test_one_grain_at_any_number_of_children(spark):
+    parents = spark.createDataFrame([("r", "hot", 1), ("r", "small", 2), (None, "none", 3)], "region STRING, name STRING, v INT")
+    rows = [("r", "hot", i) for i in range(3000)] + [("r", "small", i) for i in range(3)] + [("r", "orphan", 1)]
+    children = spark.createDataFrame([*rows, (None, "none", 5)], "region STRING, name STRING, child INT")
+    other = spark.createDataFrame([("r", "hot", "t"), ("r", "hot", "t"), ("x", "hot", "u")], "region STRING, name STRING, b STRING")
+    first = spark.createDataFrame([("r", "hot", 8), ("r", "hot", 7), ("r", "gone", 1)], "region STRING, name STRING, n INT")
+    got = inventory.nest(parents, ["region", "name"], {"children": children, "others": other}, {"first": first}).collect()
+    assert sorted(str((r.region, r.name, r.v, r.first and r.first.n)) for r in got if r.kind == "resource") == sorted(
+        str(x) for x in [("r", "hot", 1, 7), ("r", "small", 2, None), (None, "none", 3, None)]
+    )
+    found = sorted((str(r.region), r.name, r.children.child) for r in got if r.kind == "children")
+    assert found == sorted((str(a), b, c) for a, b, c in [*rows, (None, "none", 5)] if b != "orphan")
+    assert [(r.name, r.others.b) for r in got if r.kind == "others"] == [("hot", "t")] * 2
+    assert all(r.v is None and r.first is None for r in got if r.kind != "resource")
+    assert {r.kind for r in inventory.nest(parents, ["region", "name"], {}).collect()} == {"resource"}
 
 
 def test_queues_and_tags(spark):
@@ -38,11 +37,13 @@ def test_queues_and_tags(spark):
         [("r", "arn:a", 0, "team", "x"), ("r", "arn:a", 1, "team", "y")],
         "region STRING, queue_arn STRING, pos INT, key STRING, value STRING",
     )
-    got = {r.queue_arn: r for r in inventory.inventory_queues(queues, tags).collect()}
-    assert got["arn:a"].tags == {"team": "y"}
-    assert [s.source_queue_url for s in got["arn:dlq"].source_queues] == ["url/a", "url/b"]
-    report = inventory.inventory_report({"sqs": inventory.inventory_queues(queues, tags)})
-    assert report.count() == 3 and report.first().type == "sqs"
+    rows = inventory.inventory_queues(queues, tags)
+    got = {r.queue_arn: r.tags for r in rows.where("kind = 'resource'").collect()}
+    assert got == {"arn:a": {"team": "y"}, "arn:b": {}, "arn:dlq": {}}
+    sources = rows.where("kind = 'source_queues'").collect()
+    assert sorted((r.queue_arn, r.source_queues.source_queue_url) for r in sources) == [("arn:dlq", "url/a"), ("arn:dlq", "url/b")]
+    report = inventory.inventory_report({"sqs": rows})
+    assert report.count() == 5 and report.first().type == "sqs"
 
 
 def test_functions_and_topics(spark):
@@ -55,9 +56,11 @@ def test_functions_and_topics(spark):
         spark.createDataFrame([("r", "f", "live", 3)], f"{fn}, qualifier STRING, allocated INT"),
         invoke_configs=spark.createDataFrame([("r", "f", 2)], f"{fn}, retries INT"),
         policies=spark.createDataFrame([("r", "g", "{}")], f"{fn}, document STRING"),
-    )
-    rows = {r.function_name: r for r in got.collect()}
-    assert rows["f"].tags == {"k": "v"} and [m.uuid for m in rows["f"].event_source_mappings] == ["u1", "u2"]
+    ).collect()
+    rows = {r.function_name: r for r in got if r.kind == "resource"}
+    assert rows["f"].tags == {"k": "v"} and rows["g"].tags == {}
+    assert sorted(r.event_source_mappings.uuid for r in got if r.kind == "event_source_mappings") == ["u1", "u2"]
+    assert [tuple(r.provisioned_concurrency_configs) for r in got if r.kind == "provisioned_concurrency_configs"] == [("live", 3)]
     assert rows["f"].event_invoke_config.retries == 2 and rows["f"].policy is None
     assert rows["g"].event_invoke_config is None and rows["g"].policy.document == "{}"
     topic = "region STRING, topic_arn STRING"
@@ -67,8 +70,10 @@ def test_functions_and_topics(spark):
         spark.createDataFrame([("r", "t", "s2", {"Raw": "1"}), ("r", "t", "s1", {"Raw": "0"})],
                               f"{topic}, subscription STRING, attributes MAP<STRING,STRING>"),
     ).collect()
-    assert [(s.subscription, s.attributes) for s in topics[0].subscriptions] == [("s1", {"Raw": "0"}), ("s2", {"Raw": "1"})]
-    assert topics[0].attributes == {"DisplayName": "x"} and topics[0].tags == {}
+    children = sorted((r.subscriptions.subscription, r.subscriptions.attributes["Raw"]) for r in topics if r.kind != "resource")
+    assert children == [("s1", "0"), ("s2", "1")]
+    (one,) = [r for r in topics if r.kind == "resource"]
+    assert one.attributes == {"DisplayName": "x"} and one.tags == {}
 
 
 @pytest.fixture(scope="module")
