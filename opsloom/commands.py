@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,9 @@ from opsloom.sinks import delivery, writers
 from opsloom.sources import filters, shards, tables
 from opsloom.sources.files import list_files, read_records
 from opsloom.sources.lines import scan_lines
-from opsloom.sources.logs import group_names
+from opsloom.sources.logs import listed_groups
 from opsloom.sources.objects import COMPRESSION_SUFFIX, object_totals
+from opsloom.sources.remote import listed
 from opsloom.streaming import runner, tails
 
 Command = Callable[[SparkSession, argparse.Namespace], "DataFrame | None"]
@@ -62,7 +64,10 @@ OPTIONS: dict[str, dict] = {
     "detail_type": {"flags": ["--detail-type"]},
     "not_source": {"flags": ["--not-source"]},
     "target_type": {"flags": ["-t", "--target-type"], "choices": ["queue", "topic", "stream"], "default": "queue"},
-    "target": {"flags": ["--target"], "required": True, "help": "folder of the target"},
+    "target_folder": {"flags": ["--target"], "help": "folder of the target"},
+    "target_name": {"flags": ["--target-name"], "help": "name of the target in the inventory"},
+    "until_empty": {"flags": ["--until-empty"], "action": "store_true", "help": "go on until ten reads find nothing"},
+    "results": {"flags": ["--results"], "help": "table of attempts"},
     "keep": {"flags": ["-k", "--keep"], "action": "store_true"},
     "file_path": {"flags": ["-f", "--file-path"], "required": True},
     "concurrency": {"flags": ["-c", "--concurrency"], "type": int, "help": "tasks that send at a time"},
@@ -72,7 +77,7 @@ OPTIONS: dict[str, dict] = {
 }
 
 # Options that are another form of one argument.
-DEST = {"stream_folder": "stream"}
+DEST = {"stream_folder": "stream", "target_folder": "target"}
 
 
 def command(name: str, *options: str):
@@ -199,9 +204,11 @@ BODY = "body STRING"
 
 @command("tail-cloudwatch-logs", "name", "region", "filter", *TAIL)
 def tail_logs(spark, args):
-    groups = group_names(filters.scope(_table(spark, args, "logs", schemas.LOGS), args.region))
-    group = resolve.resolve_group(groups, args.name) if args.name else None
-    _tail(spark, args, schemas.LOGS, lambda s: tails.tail_logs(s, group, args.filter))
+    group = None
+    if args.name:
+        known = filters.scope(_table(spark, args, "resources", schemas.RESOURCES), args.region)
+        group = resolve.resolve_group(listed_groups(known), args.name)
+    _tail(spark, args, schemas.LOGS, lambda s: tails.tail_logs(s, group, args.filter, args.region))
 
 
 @command("tail-dynamodb", "name", "region", "stream_folder", "from_start", "checkpoint", "interval")
@@ -250,48 +257,113 @@ for _alias in ("tail-eventbridge-bus", "tail-cloudwatch-events-bus"):
     command(_alias, "not_source", *TAIL)(_tail_bus)
 
 
-@command("replay-sqs-dlq", "stream", "checkpoint", "target", "target_type", "keep")
+def _named(spark: SparkSession, args: argparse.Namespace, kind: str, name: str) -> str:
+    """Where the queue, topic or stream of a name lands, from the inventory of its kind."""
+    known = filters.scope(spark.read.parquet(f"{args.tables}/{kind}s"), args.region)
+    return {"queue": resolve.queue_place, "topic": resolve.topic_place, "stream": resolve.stream_place}[kind](known, name)
+
+
+def _target(spark: SparkSession, args: argparse.Namespace, kind: str, name: str | None) -> str:
+    if args.target:
+        return args.target
+    if not name:
+        raise ValueError("give the name or the folder of the target")
+    return _named(spark, args, kind, name)
+
+
+@command(
+    "replay-sqs-dlq", "name", "region", "stream_folder", "checkpoint", "target_folder", "target_name", "target_type", "keep",
+    "until_empty",
+)
 def replay_dlq(spark, args):
-    """Messages stay in the landed folder; without ``--keep`` the checkpoint marks them as taken."""
+    """Messages stay in the landed folder; without ``--keep`` the checkpoint marks them as taken.
+
+    Queue and target are given by name, as the inventory has them, or as folders.
+    """
+    if not (args.stream or args.name):
+        raise ValueError("give the name or the folder of the queue")
+    source = args.stream or _named(spark, args, "queue", args.name)
+    target = _target(spark, args, args.target_type, args.target_name)
     schema = f"message_id STRING, body STRING, attributes {schemas.ATTRIBUTES}"
-    stream = runner.read_stream(spark, args.stream, schema, "json", arrival="received_at")
     if args.keep or not args.checkpoint:
         checkpoint = shared_dir(spark, "replay")
     else:
         checkpoint = args.checkpoint
-    runner.drain(tails.tail_queue(stream), checkpoint, delivery.replay_router(args.target_type, args.target))
 
+    def read() -> DataFrame:
+        return tails.tail_queue(runner.read_stream(spark, source, schema, "json", arrival="received_at"))
 
-@command("send-to-sqs", "file_path", "target")
+    route = delivery.replay_router(args.target_type, target)
+    if args.until_empty:
+        runner.drain_until_empty(read, checkpoint, route)
+    else:
+        runner.drain(read(), checkpoint, route)
+    return runner.progress(spark, checkpoint) if listed(f"{checkpoint}/progress") else None
+
+
+@command("send-to-sqs", "name", "region", "file_path", "target_folder")
 def send_to_queue(spark, args):
-    _, failures = delivery.to_queue(pack_batches(scan_lines(spark, args.file_path)), args.target)
+    target = _target(spark, args, "queue", args.name)
+    _, failures = delivery.to_queue(pack_batches(scan_lines(spark, args.file_path)), target)
     return failures
 
 
-@command("send-to-sns", "file_path", "target", "concurrency")
+@command("send-to-sns", "name", "region", "file_path", "target_folder", "concurrency")
 def send_to_topic(spark, args):
-    _, failures = delivery.to_topic(scan_lines(spark, args.file_path), args.target, concurrency=args.concurrency)
+    target = _target(spark, args, "topic", args.name)
+    _, failures = delivery.to_topic(scan_lines(spark, args.file_path), target, concurrency=args.concurrency)
     return failures
 
 
+# Key columns of the tables of children, for those that are not there.
+CHILDREN = {
+    "function_tags": "region STRING, function_name STRING, key STRING, value STRING, pos INT",
+    "event_source_mappings": "region STRING, function_name STRING",
+    "invoke_configs": "region STRING, function_name STRING",
+    "policies": "region STRING, function_name STRING",
+    "table_tags": "region STRING, table_name STRING, key STRING, value STRING, pos INT",
+    "topic_tags": "region STRING, topic_arn STRING, key STRING, value STRING, pos INT",
+    "subscriptions": "region STRING, topic_arn STRING",
+    "queue_tags": "region STRING, queue_arn STRING, key STRING, value STRING, pos INT",
+    "pc_configs": schemas.PC_CONFIGS,
+    "metrics": schemas.METRICS,
+}
+
+
 @command("scanner", "region", "output_file")
 def scan_account(spark, args):
-    """Documents of functions, tables, topics and queues whose tables are there."""
-
-    def read(name: str) -> DataFrame:
-        table = spark.read.parquet(f"{args.tables}/{name}")
+    """Documents of functions, tables, topics and queues. A table that cannot be read is said, and the others are scanned."""
+
+    def read(name: str) -> DataFrame | None:
+        try:
+            table = spark.read.parquet(f"{args.tables}/{name}")
+        except AnalysisException as error:
+            print(f"not read: {name}: {error.getCondition()}")
+            return spark.createDataFrame([], CHILDREN[name]) if name in CHILDREN else None
         return filters.scope(table, args.region)
 
-    capacity = metrics.table_capacity(_metrics(spark, args), args.as_of)
-    documents = {
-        "lambda": inventory.inventory_functions(
-            _functions(spark, args), read("function_tags"), read("event_source_mappings"),
-            tables.scan_pc_configs(_table(spark, args, "pc_configs", schemas.PC_CONFIGS), args.region),
-        ),
-        "dynamodb": inventory.inventory_tables(read("tables"), read("table_tags"), capacity),
-        "sns": inventory.inventory_topics(read("topics"), read("topic_tags"), read("subscriptions")),
-        "sqs": inventory.inventory_queues(read("queues"), read("queue_tags")),
-    }
+    def functions(parents: DataFrame) -> DataFrame:
+        configs = tables.scan_pc_configs(read("pc_configs"), args.region)
+        return inventory.inventory_functions(
+            parents, read("function_tags"), read("event_source_mappings"), configs, read("invoke_configs"), read("policies")
+        )
+
+    def dynamo(parents: DataFrame) -> DataFrame:
+        return inventory.inventory_tables(parents, read("table_tags"), metrics.table_capacity(read("metrics"), args.as_of))
+
+    scans = {
+        "lambda": ("functions", functions),
+        "dynamodb": ("tables", dynamo),
+        "sns": ("topics", lambda parents: inventory.inventory_topics(parents, read("topic_tags"), read("subscriptions"))),
+        "sqs": ("queues", lambda parents: inventory.inventory_queues(parents, read("queue_tags"))),
+    }
+    documents = {}
+    for kind, (name, scan) in scans.items():
+        parents = read(name)
+        if parents is not None:
+            documents[kind] = scan(parents)
+    if not documents:
+        return None
     report = inventory.inventory_report(documents)
     if args.output_file:
         writers.write_inventory(report, args.output_file)
@@ -299,8 +371,12 @@ def scan_account(spark, args):
     return report
 
 
-@command("clear-account")
+@command("clear-account", "results")
 def clear_account(spark, args):
+    """What would be removed; with the results of attempts, what failed in the last attempt and why."""
+    if args.results:
+        attempts = spark.read.schema(schemas.RESULTS).parquet(args.results)
+        return inventory.failure_summary(inventory.last_attempt(attempts)).orderBy("type", "key")
     resources = _table(spark, args, "resources", schemas.RESOURCES)
     return inventory.cleanup_plan(resources).orderBy("step", "type", "region", "name")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.constants import DELETABLE_STACK_STATUS, SERVICE_ROLE_PATH
+from opsloom.sources.filters import Moment, moment
 
 #: What a row is: a resource, or one of its children, named by their kind.
 RESOURCE = "resource"
@@ -235,12 +236,16 @@ def role_policies(roles: DataFrame, attached: DataFrame, inline: DataFrame) -> D
     return with_children(roles.select("role"), policies, ["role"])
 
 
-def recent_log_streams(logs: DataFrame, k: int = 50) -> DataFrame:
-    """The ``k`` log streams per group with the newest events.
+def recent_log_streams(logs: DataFrame, k: int = 50, since: Moment | None = None) -> DataFrame:
+    """The ``k`` log streams per group with the newest events, of those with events ``since`` a time.
+
+    With a time, older partitions of the logs are not read.
 
     The rank filter is applied before the shuffle as well, so a group with many streams
     sends at most ``k`` rows per task.
     """
+    if since is not None:
+        logs = logs.where(F.col("ts") >= F.lit(moment(since)).cast(logs.schema["ts"].dataType))
     last = logs.groupBy("region", "log", "log_stream").agg(F.max("ts").alias("last_event"))
     newest = Window.partitionBy("region", "log").orderBy(F.desc("last_event"), "log_stream")
     return last.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= k)

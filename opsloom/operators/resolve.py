@@ -32,6 +32,34 @@ def resolve_topic(topics: DataFrame, name: str) -> str:
     return _only(topics_named(topics, name), "topic_arn", f"the topic [{name}]")
 
 
+def _place(found: DataFrame, what: str) -> str:
+    """Where the messages of a resource land (``landed``); one that has no such place is an error."""
+    if "landed" not in found.columns:
+        raise LookupError(f"the table does not say where {what} lands")
+    return _only(found.where(F.col("landed").isNotNull()), "landed", f"a place where {what} lands")
+
+
+def queue_place(queues: DataFrame, name: str) -> str:
+    resolve_queue(queues, name)
+    return _place(exact_queues(queues, name), f"the queue [{name}]")
+
+
+def topic_place(topics: DataFrame, name: str) -> str:
+    resolve_topic(topics, name)
+    return _place(topics_named(topics, name), f"the topic [{name}]")
+
+
+def stream_place(streams: DataFrame, name: str) -> str:
+    named = streams.where(F.col("stream_name") == name)
+    _only(named, "stream_name", f"the stream [{name}]")
+    return _place(named, f"the stream [{name}]")
+
+
+def groups_named(groups: DataFrame, prefix: str) -> DataFrame:
+    """Log groups that begin with a name."""
+    return groups.where(F.col("log_group").startswith(prefix)).select("region", "log_group").distinct()
+
+
 def resolve_group(groups: DataFrame, prefix: str, shown: int = 50) -> str:
     """The log group of a name, else the one with that prefix; an error names candidates if there are several."""
     if not groups.where(F.col("log_group") == prefix).isEmpty():

@@ -65,3 +65,14 @@ def land_objects(docs: DataFrame, path: str) -> None:
 def landed(files: DataFrame) -> DataFrame:
     """Of a listing what was landed, without the checksums and marks that the writer of files leaves."""
     return files.where(~F.col("path").rlike(r"(\.crc|/_SUCCESS)$"))
+
+
+def land_regions(rows: DataFrame, path: str, unreadable: str) -> dict[str, str]:
+    """Rows by region in a folder each; a file of one region is not what its name says. Returns the folders."""
+    rows.write.partitionBy("region").parquet(path)
+    names = sorted(r["region"] for r in rows.select("region").distinct().collect())  # regions are few
+    folders = {name: f"{path}/region={name}" for name in [*names, "nowhere"]}
+    system, inside = opened(folders[unreadable])
+    with system.open_output_stream(f"{inside}/part-bad.parquet") as out:
+        out.write(b"PAR1 but no more")
+    return folders

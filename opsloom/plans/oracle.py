@@ -393,9 +393,18 @@ ORACLE: dict[str, str] = {
         "report", "SELECT * FROM report WHERE region = 'ASIA' AND function_name = 'Customer#000000007'"
     ),
     "missing_log_groups": using(
-        "fn ev",
+        "fn",
+        "SELECT region, '/aws/lambda/' || function_name AS log_group FROM fn WHERE c_custkey % 7 = 3",
+    ),
+    "regions_read": using("fn", "SELECT region, function_name, memory_size FROM fn WHERE region <> 'EUROPE'"),
+    "region_errors": "SELECT unnest(['EUROPE', 'nowhere']) AS region, true AS has_error",
+    "resolve_topic": using(
+        "fn", "SELECT region, 'arn:aws:sns:1234567890:topic-' || c_custkey AS topic_arn FROM fn WHERE c_custkey = 7"
+    ),
+    "resolve_group": using(
+        "fn",
         """SELECT region, '/aws/lambda/' || function_name AS log_group FROM fn
-           WHERE function_name NOT IN (SELECT function_name FROM ev)""",
+           WHERE c_custkey % 7 <> 3 AND function_name LIKE 'Customer#00000001%'""",
     ),
     "log_groups_scanned": using(
         "fn logs",
@@ -680,7 +689,7 @@ ORACLE: dict[str, str] = {
         "logs",
         f"""SELECT region, log, log_stream, {time_text("e")} AS last_event, CAST(position AS INTEGER) AS position
             FROM (SELECT *, row_number() OVER (PARTITION BY region, log ORDER BY e DESC, log_stream) AS position
-                  FROM (SELECT region, log, log_stream, max(ts) AS e FROM logs GROUP BY ALL))
+                  FROM (SELECT region, log, log_stream, max(ts) AS e FROM logs WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY ALL))
             WHERE position <= 50""",
     ),
     "resolve_queue": """SELECT 'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey AS queue_url

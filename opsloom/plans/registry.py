@@ -20,9 +20,10 @@ from opsloom.session import shared_dir
 from opsloom.sinks import delivery, outbox
 from opsloom.sources import files, filters, shards, tables
 from opsloom.sources.lines import scan_lines
-from opsloom.sources.logs import group_names, missing_groups, scan_logs
+from opsloom.sources.logs import listed_groups, missing_groups, scan_logs
 from opsloom.sources.metrics import scan_metrics
 from opsloom.sources.objects import object_totals as totals_of
+from opsloom.sources.regions import read_regions
 from opsloom.streaming import remembered, rollups, runner, tails
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +127,7 @@ def missing_log_groups(spark, folder):
     wanted = views.functions(spark, folder).select(
         "region", text.log_group(F.col("function_name")).alias("log_group")
     )
-    return missing_groups(wanted, group_names(views.logs(views.events(spark, folder))))
+    return missing_groups(wanted, listed_groups(views.log_groups(spark, folder)))
 
 
 @query
@@ -897,7 +898,38 @@ def disabled_rules(spark, folder):
 
 @query
 def recent_log_streams(spark, folder):
-    return rounded(inventory.recent_log_streams(views.logs(views.events(spark, folder)), 50))
+    return rounded(inventory.recent_log_streams(views.logs(views.events(spark, folder)), 50, "2024-01-08"))
+
+
+def _regions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Functions landed by region; one region cannot be read and one is not there."""
+    functions = views.functions(spark, folder).select("region", "function_name", "memory_size")
+    folders = landing.land_regions(functions, f"{shared_dir(spark, 'regions')}/functions", "EUROPE")
+    return read_regions(spark, folders, "function_name STRING, memory_size INT")
+
+
+@query
+def regions_read(spark, folder):
+    """Functions of all regions that can be read."""
+    return _regions(spark, folder)[0]
+
+
+@query
+def region_errors(spark, folder):
+    """Regions that cannot be read, each with an error."""
+    return _regions(spark, folder)[1].select("region", (F.length("error") > 0).alias("has_error"))
+
+
+@query
+def resolve_topic(spark, folder):
+    topics = views.topics(spark, folder).withColumn("topic_arn", F.regexp_replace("topic_arn", ":topic", ":1234567890:topic"))
+    return resolve.topics_named(topics, "topic-7").select("region", "topic_arn")
+
+
+@query
+def resolve_group(spark, folder):
+    """Log groups that begin with a name."""
+    return resolve.groups_named(listed_groups(views.log_groups(spark, folder)), "/aws/lambda/Customer#00000001")
 
 
 @query

@@ -410,6 +410,12 @@ def versions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def log_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """An inventory of log groups: the functions have one but for every seventh."""
+    customer = in_region(table(spark, folder, "customer"), spark, folder, "c_custkey").where(F.col("c_custkey") % 7 != 3)
+    return customer.select("region", F.lit("log_group").alias("type"), text("/aws/lambda/", F.col("c_name")).alias("name"))
+
+
 def app_stacks(spark: SparkSession, folder: str) -> DataFrame:
     """The first version of a brand is deployed, unless its first part is of the economy type."""
     first = versions(spark, folder).groupBy("app").agg(

@@ -14,6 +14,11 @@ def group_names(logs: DataFrame) -> DataFrame:
     return logs.select("region", group).distinct()
 
 
+def listed_groups(resources: DataFrame) -> DataFrame:
+    """Log groups that exist, by region, from an inventory: no log is read, and a group without events is one too."""
+    return resources.where(F.col("type") == "log_group").select("region", F.col("name").alias("log_group")).distinct()
+
+
 def missing_groups(groups: DataFrame, existing: DataFrame) -> DataFrame:
     """Requested ``(region, log_group)`` rows that do not exist."""
     return groups.select("region", "log_group").distinct().join(existing, ["region", "log_group"], "left_anti")

@@ -17,13 +17,15 @@ def stamp(df: DataFrame) -> DataFrame:
     return df.withColumn("seen_at", F.current_timestamp())
 
 
-def tail_logs(logs: DataFrame, group: str | None = None, condition: str | None = None) -> DataFrame:
-    """Log events of a group, optionally only those that meet a SQL condition.
+def tail_logs(
+    logs: DataFrame, group: str | None = None, condition: str | None = None, region: str | None = None
+) -> DataFrame:
+    """Log events of a group, optionally only those of a region and those that meet a SQL condition.
 
     Events are never skipped for being late: the source remembers which files were read,
     not how far the clock had come.
     """
-    events = logs
+    events = logs if region is None else logs.where(F.col("region") == region)
     if group is not None:
         events = events.where(F.col("log").endswith(f":{group}"))
     if condition is not None:

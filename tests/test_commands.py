@@ -96,6 +96,55 @@ def test_plans(spark, landed):
     }
 
 
+def test_failures_of_attempts(spark, tmp_path):
+    rows = [("role", "a", "eu", "fail", "first", 1), ("role", "a", "eu", "fail", "again", 2), ("role", "b", "eu", "fail", "x", 1),
+            ("role", "b", "eu", "success", None, 2), ("policy", "p", None, "fail", "held", 1)]
+    spark.createDataFrame(rows, schemas.RESULTS).write.parquet(f"{tmp_path}/results")
+    found = run(spark, ["clear-account", "--results", f"{tmp_path}/results"]).collect()
+    assert [tuple(r) for r in found] == [("policy", "p", "held", 1), ("role", "a [eu]", "again", 1)]
+
+
+def test_a_scan_goes_on_without_a_table(spark, tmp_path, capsys):
+    folder = f"{tmp_path}/tables"
+    spark.createDataFrame([("eu", "f"), ("us", "g")], "region STRING, function_name STRING").write.parquet(f"{folder}/functions")
+    spark.createDataFrame([("eu", "f", 2)], "region STRING, function_name STRING, retries INT").write.parquet(f"{folder}/invoke_configs")
+    spark.createDataFrame([("eu", "t")], "region STRING, topic_arn STRING").write.parquet(f"{folder}/topics")
+    found = run(spark, ["scanner", "--tables", folder, "-r", "eu", *AS_OF]).collect()
+    documents = {r.type: json.loads(r.document) for r in found}
+    assert len(found) == 2 and documents["lambda"]["event_invoke_config"] == {"retries": 2}
+    assert documents["sns"]["topic_arn"] == "t"
+    said = capsys.readouterr().out
+    assert "not read: queues" in said and "not read: policies" in said
+    assert run(spark, ["scanner", "--tables", f"{tmp_path}/none", *AS_OF]) is None
+
+
+def test_messages_go_to_what_a_name_stands_for(spark, tmp_path):
+    folder = f"{tmp_path}/tables"
+    url = "https://sqs.eu.amazonaws.com/1/"
+    queues = [("eu", f"{url}{n}", f"{tmp_path}/{n}") for n in ("dlq", "jobs")] + [("eu", f"{url}lost", None), ("us", f"{url}jobs-2", "/x")]
+    spark.createDataFrame(queues, "region STRING, queue_url STRING, landed STRING").write.parquet(f"{folder}/queues")
+    spark.createDataFrame([("eu", "arn:1:news", f"{tmp_path}/news")], "region STRING, topic_arn STRING, landed STRING").write.parquet(f"{folder}/topics")
+    spark.createDataFrame([("eu", "clicks")], "region STRING, stream_name STRING").write.parquet(f"{folder}/streams")
+    rows = [(f"m{i}", None, "b", None, datetime(2024, 1, 1)) for i in (1, 2, 1)]
+    spark.createDataFrame(rows, schemas.MESSAGES).write.json(f"{tmp_path}/dlq")
+    base = ["replay-sqs-dlq", "--tables", folder, "-n", "dlq", "-r", "eu", "--checkpoint", f"{tmp_path}/c"]
+    progress = run(spark, [*base, "--target-name", "jobs"])
+    assert [r.messages for r in progress.collect() if r.messages] == [2]
+    assert spark.read.json(f"{tmp_path}/jobs").count() == 2
+    (tmp_path / "in.txt").write_text("one\n\ntwo\n")
+    assert run(spark, ["send-to-sns", "--tables", folder, "-n", "news", "-f", f"{tmp_path}/in.txt"]).count() == 0
+    assert spark.read.json(f"{tmp_path}/news/messages").count() == 2
+    assert run(spark, ["send-to-sqs", "--tables", folder, "-n", "lost", "-f", f"{tmp_path}/in.txt", "--target", f"{tmp_path}/own"]).count() == 0
+    for bad in (["-n", "lost"], ["-n", "none"], ["-n", "job"]):
+        with pytest.raises(LookupError):
+            run(spark, ["send-to-sqs", "--tables", folder, "-f", f"{tmp_path}/in.txt", *bad])
+    with pytest.raises(LookupError):
+        run(spark, [*base, "-t", "stream", "--target-name", "clicks"])
+    for missing in (["replay-sqs-dlq", "--target", "/x"], ["replay-sqs-dlq", "--stream", "/x"], ["send-to-sns", "-f", "x"]):
+        with pytest.raises(ValueError):
+            run(spark, missing)
+
+
 def test_select(spark, tmp_path, capsys):
     for name in ("a", "b"):
         (tmp_path / "in").mkdir(exist_ok=True)

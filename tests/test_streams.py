@@ -176,3 +176,11 @@ def test_logs(spark):
 def test_shared_folder_is_the_clusters(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark, "x").startswith(base)
+
+
+def test_logs_of_a_region(spark):
+    rows = [(r, f"1:/aws/lambda/{n}", "s", START, n, 1) for r, n in (("eu", "f"), ("us", "f"), ("eu", "g"))]
+    logs = spark.createDataFrame(rows, schemas.LOGS)
+    assert tails.tail_logs(logs, region="eu").count() == 2
+    assert tails.tail_logs(logs, "/aws/lambda/f", region="us").count() == 1
+    assert tails.tail_logs(logs, "/aws/lambda/f", "message = 'g'").count() == 0
