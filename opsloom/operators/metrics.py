@@ -18,7 +18,7 @@ from opsloom.constants import (
     STREAM_METRICS,
     TABLE_METRICS,
 )
-from opsloom.functions.text import metric_name
+from opsloom.functions.text import metric_name, split_label
 from opsloom.sources.filters import Moment, moment
 from opsloom.sources.metrics import scan_metrics
 
@@ -240,13 +240,14 @@ def shard_report(shards: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
-def renamed_shard_values(labelled: DataFrame) -> DataFrame:
+def renamed_shard_values(labelled: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Series values labelled ``shard:metric:stat`` under their output names and units."""
-    parts = F.split("label", ":")
-    metric, stat = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    rows = labelled.withColumn("_label", split_label(F.col("label")))
+    metric, stat = F.col("_label.metric"), F.col("_label.stat")
     value = F.coalesce("value", F.lit(0.0))
-    return labelled.select(
-        F.get(parts, F.lit(0)).alias("shard_id"),
+    return rows.select(
+        *keep,
+        F.col("_label.id").alias("shard_id"),
         metric_name(metric, stat).alias("metric"),
         F.when(stat == "Sum", value).otherwise(value / 60.0).alias("value"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.constants import STATE_MACHINE_OUTPUT, VERSION_TAG
@@ -29,6 +29,12 @@ def sorted_versions(versions: DataFrame) -> DataFrame:
     return versions.orderBy("app", F.desc(version_key(F.col("version"))))
 
 
+def version_places(versions: DataFrame) -> DataFrame:
+    """Versions with their ``place`` within the application, the highest being 1 and equal ones sharing theirs."""
+    highest = Window.partitionBy("app").orderBy(F.desc(version_key(F.col("version"))))
+    return versions.select("app", "version").distinct().withColumn("place", F.dense_rank().over(highest))
+
+
 def version_drift(latest: DataFrame, stacks: DataFrame) -> DataFrame:
     """Deployed against latest version. ``stacks`` has ``(app, tags, outputs)``."""
     deployed = stacks.select(

@@ -694,6 +694,37 @@ ORACLE: dict[str, str] = {
     ),
     "resolve_queue": """SELECT 'https://sqs.us-east-1.amazonaws.com/1234567890/queue-' || p_partkey AS queue_url
         FROM part WHERE 'queue-' || p_partkey = 'queue-1'""",
+    "version_places": using(
+        "ver",
+        """SELECT DISTINCT app, version, CAST(dense_rank() OVER (PARTITION BY app ORDER BY v1 DESC, v2 DESC, v3 DESC,
+                  CASE p_type WHEN 'ECONOMY' THEN 0 ELSE 1 END DESC,
+                  CASE p_type WHEN 'ECONOMY' THEN p_size ELSE 0 END DESC) AS INTEGER) AS place FROM ver""",
+    ),
+    "written_results": """SELECT doc_id, lang, regexp_replace(substr(text, 1, 40), '\\s', ' ', 'g') AS head
+        FROM documents WHERE n_chars > 200""",
+    "written_inventory": using(
+        "fn od",
+        """SELECT 'sns' AS type, 'resource' AS kind, 'arn:aws:sns:topic-' || c_custkey AS name, NULL AS subscription_id FROM fn
+           UNION ALL
+           SELECT 'sns', 'subscriptions', 'arn:aws:sns:topic-' || o_custkey, o_orderkey FROM od JOIN fn ON o_custkey = c_custkey
+           UNION ALL
+           SELECT 'sqs', 'resource', 'arn:aws:sqs:us-east-1:1234567890:queue-' || p_partkey, NULL FROM part
+           UNION ALL
+           SELECT DISTINCT 'sqs', 'resource', 'arn:aws:sqs:us-east-1:1234567890:dlq-' || p_brand, NULL FROM part
+           UNION ALL
+           SELECT 'sqs', 'source_queues', 'arn:aws:sqs:us-east-1:1234567890:dlq-' || p_brand, NULL FROM part""",
+    ),
+    "shard_details": using(
+        "ev",
+        """SELECT region, stream_name, '{"shard_id":"shardId-00000000000' || shard || '","metric_id":"shardid00000000000' || shard
+                  || lower(metric) || '","datapoints":' || n || '}' AS details
+           FROM (SELECT region, event_type AS stream_name, event_id % 5 AS shard, count(*) AS n,
+                        unnest(['IncomingBytesCount', 'IncomingRecordsCount', 'OutgoingRecordsPerSecond',
+                                'OutgoingBytesPerSecond', 'ReadProvisionedThroughputExceededCount',
+                                'WriteProvisionedThroughputExceededCount', 'IteratorAgeMillisecondsCount']) AS metric
+                 FROM ev GROUP BY region, event_type, event_id % 5)""",
+    ),
+    "tail_events_stamped": using("busev", "SELECT event_id, time, detail_type, true AS seen FROM busev WHERE source = 'error'"),
     "latest_version": using("latest", "SELECT * FROM latest"),
     "version_drift": using(
         "latest deployed",

@@ -17,7 +17,7 @@ from opsloom.operators import versions as version_ops
 from opsloom.plans import landing, views
 from opsloom.plans.views import AS_OF
 from opsloom.session import shared_dir
-from opsloom.sinks import delivery, outbox
+from opsloom.sinks import delivery, outbox, writers
 from opsloom.sources import files, filters, shards, tables
 from opsloom.sources.lines import scan_lines
 from opsloom.sources.logs import listed_groups, missing_groups, scan_logs
@@ -265,6 +265,19 @@ def shard_report(spark, folder):
     return rounded(report.withColumn("shard_id", text.strip_shard_prefix(F.col("shard_id"))), 8)
 
 
+@query
+def shard_details(spark, folder):
+    """Number of datapoints per shard and metric, as the details of a row; metrics are known by their ids."""
+    points = views.shard_metrics(views.events(spark, folder))
+    shard = F.col("dims")["ShardId"]
+    label = F.concat_ws(":", shard, "metric", F.when(F.col("metric").startswith("Outgoing"), "Average").otherwise("Sum"))
+    labelled = points.select("region", F.col("dims")["StreamName"].alias("stream_name"), label.alias("label"), "value")
+    values = metrics.renamed_shard_values(labelled, keep=("region", "stream_name"))
+    counted = values.groupBy("region", "stream_name", "shard_id", "metric").agg(F.count("*").alias("datapoints"))
+    named = counted.withColumn("metric_id", text.metric_id(F.concat_ws("-", "shard_id", "metric")))
+    return named.select("region", "stream_name", text.details_json("shard_id", "metric_id", "datapoints").alias("details"))
+
+
 @query
 def latest_value(spark, folder):
     """Newest hourly duration sum per function."""
@@ -384,6 +397,40 @@ def object_answers(spark, folder):
     return answers.withColumn("object", landing.part_name("object"))
 
 
+@query
+def written_results(spark, folder):
+    """A selection written as CSV with quotes and bars, and read back from the files."""
+    base = shared_dir(spark, "written")
+    chosen = objects.select_objects(
+        views.records(spark, folder), ["doc_id", "lang", "substring(text, 1, 40) AS head"], "n_chars > 200"
+    )
+    chosen = chosen.withColumn("head", F.regexp_replace("head", r"\s", " "))
+    writers.write_result(chosen, f"{base}/csv", "csv", {"FieldDelimiter": "|", "QuoteFields": "ALWAYS"})
+    found, _ = files.list_files(spark, f"{base}/csv/part-")
+    records, _ = files.read_records(
+        spark, found, "CSV", {"FieldDelimiter": "|", "QuoteEscapeCharacter": "\\"}, schema="doc_id BIGINT, lang STRING, head STRING"
+    )
+    return records.drop("object", "object_row")
+
+
+@query
+def written_inventory(spark, folder):
+    """Inventory documents written by type and read back."""
+    base = shared_dir(spark, "inventory")
+    topics = inventory.inventory_topics(
+        views.topics(spark, folder), views.topic_tags(spark, folder), views.subscriptions(spark, folder)
+    )
+    queues = inventory.inventory_queues(views.queues(spark, folder), views.queue_tags(spark, folder))
+    writers.write_inventory(inventory.inventory_report({"sns": topics, "sqs": queues}), f"{base}/report")
+    found = spark.read.schema("value STRING, type STRING").text(f"{base}/report")
+    return found.select(
+        "type",
+        F.get_json_object("value", "$.kind").alias("kind"),
+        F.coalesce(F.get_json_object("value", "$.topic_arn"), F.get_json_object("value", "$.queue_arn")).alias("name"),
+        F.get_json_object("value", "$.subscriptions.subscription_id").cast("bigint").alias("subscription_id"),
+    )
+
+
 # --- messages
 
 
@@ -569,6 +616,16 @@ def tail_events_rule(spark, folder):
     return runner.run_available(stream, "tail-rule").withColumn("resources", F.array_join("resources", ","))
 
 
+@query
+def tail_events_stamped(spark, folder):
+    """The tail of a rule under its older name, every event stamped when it is seen."""
+    bodies = views.event_messages(views.event_stream(spark, folder))
+    stream = tails.stamp(tails.tail_cloudwatch_events_rule(bodies, source="error", keep=("event_id",)))
+    found = runner.run_available(stream, "tail-stamped")
+    seen = F.col("seen_at").between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp())
+    return found.select("event_id", "time", "detail_type", seen.alias("seen"))
+
+
 @query
 def tail_topic(spark, folder):
     stream = tails.tail_topic(views.topic_messages(views.event_stream(spark, folder)), keep=("event_id",))
@@ -945,6 +1002,12 @@ def latest_version(spark, folder):
     return version_ops.latest_version(tables.scan_versions(views.versions(spark, folder)))
 
 
+@query
+def version_places(spark, folder):
+    """Versions of every application in order, the highest first."""
+    return version_ops.version_places(tables.scan_versions(views.versions(spark, folder)))
+
+
 @query
 def version_drift(spark, folder):
     latest = version_ops.latest_version(tables.scan_versions(views.versions(spark, folder)))

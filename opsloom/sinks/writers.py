@@ -41,6 +41,8 @@ def write_result(
     options = {names[k]: v for k, v in config.items() if k in names}
     if fmt == "csv" and config.get("QuoteFields", "ASNEEDED").upper() == "ALWAYS":
         options["quoteAll"] = "true"
+    if fmt == "csv":  # blanks at the ends of a text are part of it
+        options.update(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     out = df.coalesce(1) if single_file else df
     if fmt not in ("csv", "json", "parquet", "text"):
         raise ValueError(f"unknown format {fmt}")
