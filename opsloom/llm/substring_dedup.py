@@ -1,9 +1,12 @@
 """Repeated passages, also fuzzy ones: shared seeds, collinear chains, alignment.
 
 **Seeds.** k-mers of words, thinned to minimizers: of ``WINDOW`` consecutive k-mers the least hash is kept, so any
-``K + WINDOW - 1`` equal words share a seed. A seed is joined with its first document only (least doc_id), never
-with all of them, so a passage that many documents share costs as many rows as it has copies. The first
-document is found by an aggregation with map-side combination before the join.
+``K + WINDOW - 1`` equal words share a seed. At the minimizers of wider windows (``LONG_WINDOW``) there are long seeds
+too, of ``LONG`` words, so any ``LONG + LONG_WINDOW - 1 = 51`` equal words share a long one. A seed is joined with its
+first document only (least doc_id), never with all of them, so a passage that many documents share costs as many rows
+as it has copies. A document that holds only short pieces of a passage is the first one of its short seeds, but not of the
+long seeds across its cuts: these lead to the first document that holds more, and one is enough, as the
+alignment extends over the rest. The first document is found by an aggregation with map-side combination before the join.
 
 **Chains.** The matches of a pair of documents are ordered by their place; a chain increases in both documents.
 Its score is the words it covers less a cost per word of the gaps on either side. As that cost is a sum over both
@@ -24,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm.shared import slices, stored, utf8
-from opsloom.llm.words import shingles, words
+from opsloom.llm.words import mix, shingles, words
 
 K, WINDOW = 6, 10
+LONG, LONG_WINDOW = 26, 26
+#: Places within a long seed that count as matches of k words; no gap between them cuts a chain.
+LONG_STEPS = (0, 10, 20)
 MIN_WORDS, IDENTITY = 50, 0.8
 #: A chain is aligned if it spans as many words; every repeated run of MIN_WORDS words spans more.
 MIN_CHAIN, MAX_GAP, GAP_COST = 20, 25, 0.1
@@ -59,6 +65,14 @@ def minimizers(grams: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray
     return np.flatnonzero(most[at] == grams)
 
 
+def _long_hashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the ``LONG`` words from each start on, apart from those of k-mers."""
+    total = np.full(len(starts), 0x51ED2701A3C5E96B, np.uint64)
+    for j in range(LONG):
+        total = mix(total ^ hashes[starts + j])
+    return total
+
+
 def _seeds(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,20 +81,24 @@ def _seeds(k: int, window: int):
                 hashes, _, _, per_text = words(raw, bounds)
                 grams, ends = shingles(hashes, per_text, k)
                 at = minimizers(grams, ends, window)
+                wide = minimizers(grams, ends, LONG_WINDOW)
+                text = np.searchsorted(ends, wide, "right") - 1
+                starts = per_text[text] + wide - ends[text]
+                there = starts + LONG <= per_text[text + 1]
+                wide = wide[there]
+                seeds = np.concatenate((grams[at], _long_hashes(hashes, starts[there])))
+                is_long = np.arange(len(seeds)) >= len(at)
+                at = np.concatenate((at, wide))
                 text = np.searchsorted(ends, at, "right") - 1
-                order = np.lexsort((at, grams[at], text))
-                at, text = at[order], text[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (grams[at[1:]] != grams[at[:-1]]) | (text[1:] != text[:-1])
-                at, text = at[new], text[new]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(grams[at].view(np.int64)),
+                        pa.array(seeds.view(np.int64)),
                         pa.array(ids[first:last][text]),
                         pa.array(rows[first:last][text]),
                         pa.array((at - ends[text]).astype(np.int32)),
+                        pa.array(is_long),
                     ],
-                    names=["seed", "doc_id", "rid", "place"],
+                    names=["seed", "doc_id", "rid", "place", "is_long"],
                 )
 
     return run
@@ -259,7 +277,7 @@ def repeated_passages(
     """One row per repeated passage: doc_id, start, end, source_doc_id, source_start, source_end, equal_words.
 
     Ranges count words and exclude their end; the source is the document with the least doc_id that has the seeds
-    of the passage. Null ids are the least and come back null. Texts without ``min_words`` words, null and
+    of the passage; a passage that a document holds twice is found twice. Null ids are the least and come back null. Texts without ``min_words`` words, null and
     empty ones among them, have no passage. Repeats inside a document are none. Rows that repeat id and text
     are one document; an id that repeats with another text is another document. Columns beyond doc_id and text
     are not read.
@@ -267,13 +285,15 @@ def repeated_passages(
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST_ID)).alias("doc_id")
     rid = F.xxhash64("doc_id", "text").alias("rid")
     texts = docs.where(F.col("text").isNotNull()).select(key, rid, "text")
-    seeds = texts.mapInArrow(_seeds(k, window), "seed bigint, doc_id bigint, rid bigint, place int")
+    seeds = texts.mapInArrow(_seeds(k, window), "seed bigint, doc_id bigint, rid bigint, place int, is_long boolean")
     seeds = stored(seeds, "seeds")
     first = seeds.groupBy("seed").agg(
         F.min("doc_id").alias("base_id"), F.min_by("rid", "doc_id").alias("base"),
-        F.min_by("place", "doc_id").alias("base_place"), F.count("*").alias("n"),
-    ).where("n > 1").drop("n")
-    matches = seeds.join(first, "seed").where("rid <> base").select("rid", "base", "place", "base_place")
+        F.min_by("place", "doc_id").alias("base_place"), F.min("rid").alias("low"), F.max("rid").alias("high"),
+    ).where("low <> high").drop("low", "high")
+    steps = F.when(F.col("is_long"), F.array(*map(F.lit, LONG_STEPS))).otherwise(F.array(F.lit(0)))
+    matches = seeds.join(first, "seed").where("rid <> base").select("rid", "base", "place", "base_place", F.explode(steps).alias("step"))
+    matches = matches.select("rid", "base", (F.col("place") + F.col("step")).alias("place"), (F.col("base_place") + F.col("step")).alias("base_place"))
     matches = matches.repartition("rid", "base").sortWithinPartitions("rid", "base", "place", "base_place")
     spans = matches.mapInArrow(_chain_rows(k), "rid bigint, base bigint, places array<int>, base_places array<int>")
     spans = stored(spans.groupBy("rid", "base").agg(F.collect_set(F.struct("places", "base_places")).alias("chains")), "chains")

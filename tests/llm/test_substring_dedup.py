@@ -68,14 +68,7 @@ def planted(rng, split):
     return [(i, " ".join(w)) for i, w in rows.items()], truth
 
 
-@pytest.mark.parametrize(
-    "split",
-    [
-        False,
-        # Known fault: seeds that only a later document has whole are joined with that one, and too few to be aligned.
-        pytest.param(True, marks=pytest.mark.xfail(reason="the first document of the seeds holds the passage in parts")),
-    ],
-)
+@pytest.mark.parametrize("split", [False, True])
 def test_planted_passages_are_found_and_no_others(spark, split):
     rows, truth = planted(random.Random(2), split)
     assert len(truth) > 500
@@ -89,7 +82,9 @@ def test_planted_passages_are_found_and_no_others(spark, split):
         own, other = words_of(texts[r["doc_id"]]), words_of(texts[r["source_doc_id"]])
         shared = set(own[r["start"] : r["end"]]) & set(other[r["source_start"] : r["source_end"]])
         assert len(shared) >= 40 and 50 <= r["equal_words"] <= r["end"] - r["start"]
-    assert all(any(a <= s and e <= b for a, b in spans[i]) for i, s, e in truth)
+    lost = [i for i, s, e in truth if not any(a <= s and e <= b for a, b in spans[i])]
+    # Runs that are cut in the first document of each of their long seeds, in pieces of 26 to 50 words, can be lost.
+    assert len(lost) <= (0.005 * len(truth) if split else 0)
     assert set(spans) == {i for i, _, _ in truth}
 
 
@@ -118,3 +113,58 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert set(rows) == {(4, None), (6, 5)}
     assert rows[6, 5]["equal_words"] == 80_000 and rows[4, None]["equal_words"] == 60
     assert sd.repeated_passages(no_docs).count() == 0
+
+
+def found_pairs(spark, rows):
+    found = sd.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    return sorted((r["doc_id"], r["source_doc_id"], r["start"], r["end"]) for r in found)
+
+
+def test_a_first_document_that_holds_pieces_hides_no_later_one(spark):
+    rng = random.Random(9)
+    passage = sentence(rng, 60, 10**6).split()
+    other = [sentence(rng, 30, 10**6).split() for _ in range(4)]
+    pieces = other[0] + passage[:20] + other[1] + passage[20:40] + other[2] + passage[40:] + other[3]
+    rows = [(1, " ".join(pieces)), (2, " ".join(passage)), (3, " ".join(sentence(rng, 10, 10**6).split() + passage))]
+    assert found_pairs(spark, rows) == [(3, 2, 10, 70)]
+
+
+def test_a_passage_held_twice_is_found_twice(spark):
+    rng = random.Random(3)
+    passage, gap = sentence(rng, 80, 10**6), sentence(rng, 40, 10**6)
+    rows = [(1, passage), (2, f"{passage} {gap} {passage}")]
+    assert found_pairs(spark, rows) == [(2, 1, 0, 80), (2, 1, 120, 200)]
+
+
+def test_long_seeds_cover_every_run_of_51_words():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        grams = rng.integers(0, 1 << 62, 51 - sd.K + 1).astype(np.uint64)
+        at = sd.minimizers(grams, np.array([0, len(grams)]), sd.LONG_WINDOW)
+        assert (at + sd.LONG <= 51).any()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_tables_against_all_pairs(spark, seed):
+    """Documents made of pieces of six runs, cut anywhere: most that a document could lose to the pieces of others."""
+    rng = random.Random(seed)
+    stock = [[f"s{rng.randrange(10**6)}" for _ in range(90)] for _ in range(6)]
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            run = rng.choice(stock)
+            a = rng.choice([0, 0, rng.randrange(60)])
+            parts += run[a : rng.choice([90, rng.randrange(a + 1, 91)])] + [f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(3))]
+        rows.append((i, " ".join(parts)))
+    found = defaultdict(list)
+    for i, _, a, b in found_pairs(spark, rows):
+        found[i].append((a, b))
+    seen, wanted = {}, set()
+    for i, text in rows:
+        words = text.split()
+        for j in range(len(words) - 50):
+            if seen.setdefault(tuple(words[j : j + 51]), i) != i:
+                wanted.add((i, j))
+    lost = [(i, j) for i, j in wanted if not any(a <= j and j + 51 <= b for a, b in found[i])]
+    assert len(wanted) > 300 and len(lost) <= 0.08 * len(wanted)
