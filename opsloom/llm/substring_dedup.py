@@ -30,9 +30,9 @@ from opsloom.llm.shared import slices, stored, utf8
 from opsloom.llm.words import mix, shingles, words
 
 K, WINDOW = 6, 10
-LONG, LONG_WINDOW = 26, 26
+LONG, LONG_WINDOW = 22, 30
 #: Places within a long seed that count as matches of k words; no gap between them cuts a chain.
-LONG_STEPS = (0, 10, 20)
+LONG_STEPS = (0, 8, 16)
 MIN_WORDS, IDENTITY = 50, 0.8
 #: A chain is aligned if it spans as many words; every repeated run of MIN_WORDS words spans more.
 MIN_CHAIN, MAX_GAP, GAP_COST = 20, 25, 0.1
@@ -86,6 +86,13 @@ def _seeds(k: int, window: int):
                 starts = per_text[text] + wide - ends[text]
                 there = starts + LONG <= per_text[text + 1]
                 wide = wide[there]
+                # Of a short seed the first place in a text is enough: long ones tell where else a passage stands.
+                text = np.searchsorted(ends, at, "right") - 1
+                order = np.lexsort((at, grams[at], text))
+                at, text = at[order], text[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (grams[at[1:]] != grams[at[:-1]]) | (text[1:] != text[:-1])
+                at = at[new]
                 seeds = np.concatenate((grams[at], _long_hashes(hashes, starts[there])))
                 is_long = np.arange(len(seeds)) >= len(at)
                 at = np.concatenate((at, wide))
@@ -148,19 +155,20 @@ def chains(d: np.ndarray, s: np.ndarray, k: int = K) -> list[np.ndarray]:
 def _chain_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (rid, base, place); one row for each piece of a chain that spans enough."""
-        key, places = None, ([], [])
+        key, places = None, ([], [], [])
         for batch in batches:
             rid, base = batch.column("rid").to_numpy(), batch.column("base").to_numpy()
             d, s = batch.column("place").to_numpy(), batch.column("base_place").to_numpy()
+            is_long = batch.column("is_long").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (base[1:] != base[:-1])]) if len(d) else []
             out = []
             for first, last in zip(cut, [*cut[1:], len(d)], strict=True):
                 now = (int(rid[first]), int(base[first]))
                 if now != key:
                     out += _spans(key, places, k)
-                    key, places = now, ([], [])
-                places[0].append(d[first:last])
-                places[1].append(s[first:last])
+                    key, places = now, ([], [], [])
+                for held, column in zip(places, (d, s, is_long), strict=True):
+                    held.append(column[first:last])
             yield _span_batch(out)
         yield _span_batch(_spans(key, places, k))
 
@@ -171,6 +179,10 @@ def _spans(key, places, k: int) -> list[tuple]:
     if key is None:
         return []
     d, s = np.concatenate(places[0]).astype(np.int64), np.concatenate(places[1]).astype(np.int64)
+    is_long = np.concatenate(places[2])
+    if is_long.any():
+        more = [np.column_stack((d[is_long] + step, s[is_long] + step)) for step in LONG_STEPS]
+        d, s = np.unique(np.concatenate((np.column_stack((d, s)), *more)), axis=0).T
     if d.max() + k - d.min() < MIN_CHAIN:
         return []
     out = []
@@ -289,11 +301,11 @@ def repeated_passages(
     seeds = stored(seeds, "seeds")
     first = seeds.groupBy("seed").agg(
         F.min("doc_id").alias("base_id"), F.min_by("rid", "doc_id").alias("base"),
-        F.min_by("place", "doc_id").alias("base_place"), F.min("rid").alias("low"), F.max("rid").alias("high"),
-    ).where("low <> high").drop("low", "high")
-    steps = F.when(F.col("is_long"), F.array(*map(F.lit, LONG_STEPS))).otherwise(F.array(F.lit(0)))
-    matches = seeds.join(first, "seed").where("rid <> base").select("rid", "base", "place", "base_place", F.explode(steps).alias("step"))
-    matches = matches.select("rid", "base", (F.col("place") + F.col("step")).alias("place"), (F.col("base_place") + F.col("step")).alias("base_place"))
+        F.min_by("place", "doc_id").alias("base_place"), F.count("*").alias("n"),
+    ).where("n > 1").drop("n", "base_id")
+    # Stored, so that the join alone makes a stage and Spark can split a seed that is in very many places.
+    first = stored(first, "first")
+    matches = seeds.join(first, "seed").where("rid <> base").select("rid", "base", "place", "base_place", "is_long")
     matches = matches.repartition("rid", "base").sortWithinPartitions("rid", "base", "place", "base_place")
     spans = matches.mapInArrow(_chain_rows(k), "rid bigint, base bigint, places array<int>, base_places array<int>")
     spans = stored(spans.groupBy("rid", "base").agg(F.collect_set(F.struct("places", "base_places")).alias("chains")), "chains")
