@@ -78,7 +78,9 @@ def distribution_stats(
             F.stddev_samp(value).alias(f"stddev_{suffix}"),
         )
 
+    # Stored, so that what the values are parsed from is read once; they are read again for each round.
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_range", _first_range("_v"))
+    rows = _stored(rows, "values")
     counts = rows.groupBy(*keys, "_range").agg(
         F.count("*").alias("_rows"),
         F.count("_v").alias("_n"),
