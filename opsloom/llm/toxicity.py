@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-**Vectors.** Words, with tf = 1 + ln(count) and idf from document frequencies that are weighted back to the shares
-of the classes. The vocabulary is the words of the examples whose presence depends on the label (chi-square of at
-least ``CHI``), so that a cosine compares what matters for the label. Vectors have length 1.
+**Vectors.** All words of the examples, with tf = 1 + ln(count), idf = ln((N + 1) / df) from the document
+frequencies of the whole corpus, and a factor for what the labels say of a word: ``FLOOR`` plus the size of the
+smoothed log-odds of its presence in toxic against clean examples. No word is left out; the factor only makes what
+matters for the label weigh more than topic and style. Vectors have length 1.
 
 **Index.** Examples are ordered by their heaviest word and cut into blocks; a posting list per word and block holds
 the examples of that block, and with each list goes its largest weight. For a text the largest weights give a bound
@@ -13,8 +14,9 @@ nearest examples are exact.
 share of toxic documents. A monotone map from votes to probabilities is fitted on calibration documents, which are
 no examples. The evidence is the nearest examples.
 
-**Learning.** A bounded sample: about ``PER_CLASS`` documents of either label as examples and ``CALIBRATION`` to
-calibrate, whole texts, chosen by a hash of the id. Every document is scored whole.
+**Learning.** A bounded sample: about ``PER_CLASS`` documents of either label as examples, with at most ``POSTINGS``
+pairs of a word and an example in all, and ``CALIBRATION`` documents to calibrate, whole texts, chosen by a hash of
+the row. Of them the driver holds the index only: 24 bytes a pair at most. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -28,25 +30,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from opsloom.llm.shared import held_out, slices, small, spread
+from opsloom.llm.shared import held_out, ranges, slices, small, spread, stored
 from opsloom.llm.words import weighted, words
 
-PER_CLASS, CALIBRATION = 2000, 4000
-CHI, LEAST_DOCS = 32.0, 4
+PER_CLASS, CALIBRATION, POSTINGS = 2000, 4000, 3_000_000
+FLOOR, SMOOTH = 0.05, 2.0
 K, BLOCK, PRIOR_MASS = 15, 64, 0.05
 THRESHOLD = 0.3
 
 
 @dataclass
 class Index:
-    """Vocabulary and postings, as arrays."""
+    """Vocabulary and postings, as arrays. A cell is a word and a block that has it."""
 
     terms: np.ndarray  # hashes of the vocabulary, ascending
-    idf: np.ndarray
-    starts: np.ndarray  # first posting of each (term, block), terms by blocks
-    examples: np.ndarray  # of each posting, within its block
+    importance: np.ndarray  # of each term: idf and what the labels say
+    cells: np.ndarray  # first cell of each term
+    blocks: np.ndarray  # of each cell
+    tops: np.ndarray  # largest weight of each cell
+    starts: np.ndarray  # first posting of each cell
+    examples: np.ndarray  # of each posting
     weights: np.ndarray  # of each posting
-    tops: np.ndarray  # largest weight of each (term, block)
     ids: np.ndarray  # doc_id of each example, in index order
     toxic: np.ndarray
     vote: np.ndarray  # weight of each example's class
@@ -55,38 +59,43 @@ class Index:
     probability: np.ndarray
 
 
-def _vectors(items: np.ndarray, counts: np.ndarray, bounds: np.ndarray, terms, idf):
+def _vectors(items: np.ndarray, counts: np.ndarray, bounds: np.ndarray, terms, importance):
     """Positions in the vocabulary, unit weights and bounds."""
     at = np.searchsorted(terms, items)
     at[at == len(terms)] = 0
     known = terms[at] == items if len(terms) else np.zeros(len(items), bool)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[known]
-    at, weight = at[known], (1 + np.log(counts[known])) * idf[at[known]]
+    at, weight = at[known], (1 + np.log(counts[known])) * importance[at[known]]
     length = np.sqrt(np.bincount(text, weight * weight, len(bounds) - 1))
     return at, weight / length[text], np.searchsorted(text, np.arange(len(bounds)))
 
 
-def build(ids, toxic, docs: list[tuple[np.ndarray, np.ndarray]], shares: tuple[float, float]) -> Index:
-    """An index of examples (words and counts per example); ``shares`` are those of clean and toxic documents."""
+def relevance(present: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Factor of each word, from how many clean and toxic examples (2 rows) have it, of ``n`` each."""
+    share = (present + SMOOTH) / (n + 2 * SMOOTH)[:, None]
+    return FLOOR + np.abs(np.log(share[1] / share[0]))
+
+
+def build(
+    ids, toxic, docs: list[tuple[np.ndarray, np.ndarray]], shares: tuple[float, float], frequency: np.ndarray, total: int
+) -> Index:
+    """An index of examples (distinct words and counts per example).
+
+    ``shares`` are those of clean and toxic documents; ``frequency`` says of each word of the examples, in order,
+    how many of the corpus's ``total`` documents have it.
+    """
     ids, toxic = np.asarray(ids, np.int64), np.asarray(toxic, np.int64)
-    n = np.array([max(1, (toxic == c).sum()) for c in (0, 1)])
-    vote = (np.array(shares) / n)[toxic] * len(ids)
+    n = np.array([(toxic == c).sum() for c in (0, 1)])
+    vote = (np.array(shares) / np.maximum(n, 1))[toxic] * len(ids)
     sizes = [len(items) for items, _ in docs]
-    owner = np.repeat(np.arange(len(docs)), sizes)
+    bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
     items = np.concatenate([x for x, _ in docs]) if docs else np.zeros(0, np.uint64)
     counts = np.concatenate([c for _, c in docs]) if docs else np.zeros(0, np.int64)
     terms, at = np.unique(items, return_inverse=True)
-    with_ = np.stack([np.bincount(at, toxic[owner] == c, len(terms)) for c in (0, 1)]) if docs else np.zeros((2, 0))
-    total = with_.sum(axis=0)
-    expected = total[None, :] * (n / n.sum())[:, None]
-    rest = n[:, None] - expected
-    chi = ((with_ - expected) ** 2 * (1 / np.maximum(expected, 1e-9) + 1 / np.maximum(rest, 1e-9))).sum(axis=0)
-    kept = (chi >= CHI) & (total >= LEAST_DOCS)
-    share = (with_ / n[:, None] * np.array(shares)[:, None]).sum(axis=0)
-    idf = -np.log(np.clip(share, 1e-6, 1 - 1e-6))
-    terms, idf = terms[kept], idf[kept]
-    bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    place, weight, ends = _vectors(items, counts, bounds, terms, idf)
+    owner = np.repeat(toxic, sizes)
+    present = np.stack([np.bincount(at[owner == c], minlength=len(terms)) for c in (0, 1)])
+    importance = np.log((total + 1) / np.maximum(frequency, 1)) * relevance(present, n)
+    place, weight, ends = _vectors(items, counts, bounds, terms, importance)
     # Examples that share their heaviest word lie in the same blocks, which keeps bounds tight.
     heaviest = np.full(len(docs), len(terms))
     for i in range(len(docs)):
@@ -95,49 +104,49 @@ def build(ids, toxic, docs: list[tuple[np.ndarray, np.ndarray]], shares: tuple[f
     order = np.argsort(heaviest, kind="stable")
     rank = np.empty(len(docs), np.int64)
     rank[order] = np.arange(len(docs))
-    blocks = max(1, -(-len(docs) // BLOCK))
     example = rank[np.repeat(np.arange(len(docs)), np.diff(ends))]
-    cell = place * blocks + example // BLOCK
-    by = np.argsort(cell, kind="stable")
-    cell, weight, example = cell[by], weight[by], example[by]
-    tops = np.zeros(len(terms) * blocks)
-    np.maximum.at(tops, cell, weight)
+    every = max(1, -(-len(docs) // BLOCK))
+    by = np.lexsort((example, place))
+    weight, example = weight[by].astype(np.float32), example[by].astype(np.int32)
+    cell = place[by] * every + example // BLOCK
+    starts = np.flatnonzero(np.diff(cell, prepend=-1))
+    tops = np.maximum.reduceat(weight, starts) if len(starts) else np.zeros(0, np.float32)
     return Index(
-        terms, idf, np.searchsorted(cell, np.arange(len(terms) * blocks + 1)), (example % BLOCK).astype(np.int32),
-        weight, tops.reshape(len(terms), blocks), ids[order], toxic[order], vote[order], float(shares[1]),
-        np.array([0.0, 1.0]), np.array([0.0, 1.0]),
+        terms, importance, np.searchsorted(cell[starts] // every, np.arange(len(terms) + 1)),
+        (cell[starts] % every).astype(np.int32), tops, np.append(starts, len(cell)).astype(np.int32), example, weight,
+        ids[order], toxic[order], vote[order], float(shares[1]), np.array([0.0, 1.0]), np.array([0.0, 1.0]),
     )
 
 
 def nearest(index: Index, place: np.ndarray, weight: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """The k most similar examples (positions, similarities above 0), ties by position."""
-    blocks = index.tops.shape[1]
-    found, values = np.zeros(0, np.int64), np.zeros(0)
-    if not len(place):
-        return found, values
-    bound = weight @ index.tops[place]
+    n = len(index.ids)
+    sums = np.zeros(n)
+    first = index.cells[place]
+    count = index.cells[place + 1] - first
+    cell, own = ranges(first, count), np.repeat(weight, count)
+    block = index.blocks[cell]
+    bound = np.bincount(block, own * index.tops[cell], max(1, -(-n // BLOCK)))
     order = np.argsort(-bound, kind="stable")
-    least, at = 0.0, 0
-    while at < blocks and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-12:
-        chosen = order[at : at + 4]  # a few blocks per pass
-        chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-12)]
-        at += 4
-        cells = (place[:, None] * blocks + chosen).reshape(-1)
-        first, count = index.starts[cells], index.starts[cells + 1] - index.starts[cells]
-        total = int(count.sum())
-        posting = np.arange(total) + np.repeat(first - (np.cumsum(count) - count), count)
-        slot = np.repeat(np.tile(np.arange(len(chosen)), len(place)), count) * BLOCK + index.examples[posting]
-        sums = np.bincount(slot, index.weights[posting] * np.repeat(np.repeat(weight, len(chosen)), count), len(chosen) * BLOCK)
-        hit = np.flatnonzero(sums > 0)
-        found = np.concatenate((found, chosen[hit // BLOCK] * BLOCK + hit % BLOCK))
-        values = np.concatenate((values, sums[hit]))
-        if len(found) > k:
-            best = np.lexsort((found, -values))[:k]
-            found, values = found[best], values[best]
-        if len(found) == k:
-            least = values.min()
-    best = np.lexsort((found, -values))
-    return found[best], values[best]
+    least, at, step = 0.0, 0, 4
+    while at < len(order):
+        chosen = order[at : at + step]
+        chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-9)]
+        if not len(chosen):
+            break
+        taken = np.zeros(len(bound), bool)
+        taken[chosen] = True
+        mine = np.flatnonzero(taken[block])
+        start = index.starts[cell[mine]]
+        size = index.starts[cell[mine] + 1] - start
+        posting = ranges(start, size)
+        sums += np.bincount(index.examples[posting], index.weights[posting] * np.repeat(own[mine], size), n)
+        at, step = at + step, 2 * step
+        if n > k:
+            least = np.partition(sums, n - k)[n - k]
+    hit = np.flatnonzero(sums > 0)
+    best = hit[np.lexsort((hit, -sums[hit]))[:k]]
+    return best, sums[best]
 
 
 def votes(index: Index, found: np.ndarray, values: np.ndarray) -> float:
@@ -160,60 +169,130 @@ def monotone(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each text with their counts, and how many they are, instead of the text."""
     for batch in batches:
+        others = [name for name in batch.schema.names if name != "text"]
         for first, last, raw, bounds in slices(batch.column("text")):
             hashes, _, _, per_text = words(raw, bounds)
             items, counts, ends = weighted(hashes, per_text)
             offsets = pa.array(ends.astype(np.int32))
             part = batch.slice(first, last - first)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[part.column(c) for c in ("doc_id", "toxic", "calibrates")],
-                    pa.ListArray.from_arrays(offsets, pa.array(items.view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
-                ],
-                names=["doc_id", "toxic", "calibrates", "items", "counts"],
-            )
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION) -> Index:
-    """An index with its calibration from labelled documents that are not held out."""
+            columns = [
+                *[part.column(c) for c in others],
+                pa.ListArray.from_arrays(offsets, pa.array(items.view(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+                pa.array(np.diff(ends).astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "items", "counts", "size"])
+
+
+def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all ``docs`` have each of ``terms`` (ascending hashes), and how many ``docs`` there are.
+
+    Tasks count the given words only, so what is shuffled and collected is bounded by them.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, rows = sent.value, 0
+        totals = np.zeros(len(terms) + 1, np.int64)
+        for batch in batches:
+            rows += len(batch)
+            for _, _, raw, bounds in slices(batch.column("text")):
+                hashes, _, _, per_text = words(raw, bounds)
+                at = np.searchsorted(terms, hashes)
+                at[at == len(terms)] = 0
+                known = terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool)
+                text = np.repeat(np.arange(len(bounds) - 1), np.diff(per_text))[known]
+                pairs = np.unique(text * len(terms) + at[known])
+                totals[:-1] += np.bincount(pairs % max(1, len(terms)), minlength=len(terms))
+        totals[-1] = rows
+        seen = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(totals[seen])], names=["term", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def _drawn(bags: DataFrame, most: int) -> list:
+    """(key, size) of at most ``most`` rows, in the order of their draw."""
+    return bags.select("key", "size", "draw").orderBy("draw", "key").limit(most).collect()
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION, postings: int = POSTINGS
+) -> Index:
+    """An index with its calibration from labelled documents that are not held out.
+
+    Labels without id or value count for nothing; of several labels of an id the largest holds. Rows of one id
+    are documents of their own, rows that repeat id and text are one. An empty text is an example without words.
+    Without any label or document the index is empty and every text gets the same score. Neither nulls nor repeated
+    ids enlarge the sample: its bounds hold per row.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = dict(known.groupBy("toxic").count().collect())
     n = [sizes.get(c, 0) for c in (0, 1)]
     every = max(1, sum(n))
     shares = (n[0] / every, n[1] / every)
-    draw = spread("doc_id", F.lit("calibrate"))
-    calibrates = draw < min(0.25, calibration / every)
+    calibrates = spread("doc_id", F.lit("calibrate")) < min(0.25, calibration / every)
     take = F.when(F.col("toxic") == 1, per_class / max(1, n[1])).otherwise(per_class / max(1, n[0]))
     sample = known.withColumn("calibrates", calibrates).where(F.col("calibrates") | (spread("doc_id") < take))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(small(sample, 8 * (per_class + calibration)), "doc_id")
-    rows = rows.select("doc_id", "toxic", "calibrates", "text").mapInArrow(
-        _bags, "doc_id bigint, toxic int, calibrates boolean, items array<bigint>, counts array<bigint>"
-    ).toArrow()
-    order = np.lexsort((rows.column("toxic").to_numpy(), rows.column("doc_id").to_numpy()))
-    items = [np.asarray(rows.column("items")[int(i)].values, np.int64).view(np.uint64) for i in order]
-    counts = [np.asarray(rows.column("counts")[int(i)].values, np.int64) for i in order]
-    ids, toxic = rows.column("doc_id").to_numpy()[order], rows.column("toxic").to_numpy()[order]
-    calibrates = np.array(rows.column("calibrates").to_pylist(), bool)[order]
-    own = np.flatnonzero(~calibrates)
-    index = build(ids[own], toxic[own], [(items[i], counts[i]) for i in own], shares)
-    test = np.flatnonzero(calibrates)
-    raw = np.zeros(len(test))
-    for x, i in enumerate(test):
-        place, weight, _ = _vectors(items[i], counts[i], np.array([0, len(items[i])]), index.terms, index.idf)
-        raw[x] = votes(index, *nearest(index, place, weight))
+    key, draw = F.xxhash64("doc_id", "text").alias("key"), spread("text").alias("draw")
+    rows = rows.select("doc_id", "toxic", "calibrates", key, draw, "text")
+    bags = rows.mapInArrow(
+        _bags,
+        "doc_id bigint, toxic int, calibrates boolean, key bigint, draw double, "
+        "items array<bigint>, counts array<bigint>, size bigint",
+    )
+    bags = stored(bags.dropDuplicates(["key"]), "examples")
+    chosen, held = [], 0
+    by_class = [_drawn(bags.where(~F.col("calibrates") & (F.col("toxic") == c)), per_class) for c in (0, 1)]
+    for row in sorted((r for part in by_class for r in part), key=lambda r: (r["draw"], r["key"])):
+        if held + row["size"] <= postings:  # a text that does not fit is no example; the others are whole
+            chosen.append(row["key"])
+            held += row["size"]
+    spark = docs.sparkSession
+    keys = spark.createDataFrame([(k,) for k in chosen], "key bigint")
+    own = bags.join(F.broadcast(keys), "key").select("key", "doc_id", "toxic", "items", "counts").toArrow()
+    order = np.lexsort((own.column("key").to_numpy(), own.column("doc_id").to_numpy()))
+    items = [np.asarray(own.column("items")[int(i)].values, np.int64).view(np.uint64) for i in order]
+    counts = [np.asarray(own.column("counts")[int(i)].values, np.int64) for i in order]
+    terms = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
+    ids, toxic = own.column("doc_id").to_numpy()[order], own.column("toxic").to_numpy()[order]
+    index = build(ids, toxic, list(zip(items, counts, strict=True)), shares, *frequencies(docs, terms))
+
+    sent = spark.sparkContext.broadcast(index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            raw = []
+            for bag, count in zip(batch.column("items"), batch.column("counts"), strict=True):
+                bag, count = np.asarray(bag.values, np.int64).view(np.uint64), np.asarray(count.values, np.int64)
+                place, weight, _ = _vectors(bag, count, np.array([0, len(bag)]), index.terms, index.importance)
+                raw.append(votes(index, *nearest(index, place, weight)))
+            columns = [batch.column("key"), batch.column("toxic"), pa.array(raw, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "toxic", "raw"])
+
+    drawn = [(row["key"],) for row in _drawn(bags.where("calibrates"), calibration)]
+    test = bags.join(F.broadcast(spark.createDataFrame(drawn, "key bigint")), "key").select("key", "toxic", "items", "counts")
+    test = test.mapInArrow(vote, "key bigint, toxic int, raw double").toArrow()
     if len(test):
-        index.raw, index.probability = monotone(raw, toxic[test].astype(float), np.ones(len(test)))
+        order = np.argsort(test.column("key").to_numpy())
+        label = test.column("toxic").to_numpy()[order].astype(float)
+        index.raw, index.probability = monotone(test.column("raw").to_numpy()[order], label, np.ones(len(test)))
     return index
 
 
 def scored(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """``docs`` with score, predicted, and evidence (doc_ids of the nearest examples); they replace such columns.
 
-    Only text is used. Texts without a word of the vocabulary, null and empty ones among them, get the score
+    Only text is used. Texts without a word that an example has, null and empty ones among them, get the score
     of no evidence. Very long texts are taken whole.
     """
     new = ["score", "predicted", "evidence"]
@@ -230,7 +309,7 @@ def scored(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
                 known[known == len(index.terms)] = 0
                 mine = index.terms[known] == hashes if len(index.terms) else np.zeros(len(hashes), bool)
                 kept = np.concatenate(([0], np.cumsum(mine)))[per_text]
-                vectors = _vectors(*weighted(hashes[mine], kept), index.terms, index.idf)
+                vectors = _vectors(*weighted(hashes[mine], kept), index.terms, index.importance)
                 for i in range(len(bounds) - 1):
                     part = slice(vectors[2][i], vectors[2][i + 1])
                     found, values = nearest(index, vectors[0][part], vectors[1][part])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opsloom.llm import toxicity
 from opsloom.llm.shared import held_out
+from opsloom.llm.words import words
 
 
 def made_index(seed, n=700):
@@ -15,27 +16,66 @@ def made_index(seed, n=700):
         items = np.unique(rng.integers(0, 40, 12)) + (40 if t else 0) * (rng.random(1) < 0.8)
         items = np.unique(np.concatenate((items, rng.integers(100, 130, 6)))).astype(np.uint64)
         docs.append((items, rng.integers(1, 4, len(items))))
-    return docs, toxic, toxicity.build(np.arange(n), toxic, docs, (0.9, 0.1))
-
-
-def test_nearest_are_those_of_all_cosines():
-    docs, _, index = made_index(1)
-    blocks = index.tops.shape[1]
-    assert blocks > 5 and len(index.terms) > 20
-    dense = np.zeros((len(index.ids), len(index.terms)))
-    for term in range(len(index.terms)):
-        for block in range(blocks):
-            part = slice(index.starts[term * blocks + block], index.starts[term * blocks + block + 1])
-            dense[block * toxicity.BLOCK + index.examples[part], term] = index.weights[part]
-    norms = np.linalg.norm(dense, axis=1)
-    assert norms[norms > 0] == pytest.approx(1.0)
-    for items, counts in docs[:60]:
-        place, weight, _ = toxicity._vectors(items, counts, np.array([0, len(items)]), index.terms, index.idf)
+    seen = np.bincount(np.concatenate([items for items, _ in docs]).astype(int))
+    return docs, toxic, toxicity.build(np.arange(n), toxic, docs, (0.9, 0.1), seen[seen > 0], n)
+
+
+def cosines_by_definition(docs, toxic):
+    """All cosines between the examples, from the words themselves."""
+    terms = sorted({int(w) for items, _ in docs for w in items})
+    has = np.zeros((len(docs), len(terms)))
+    tf = np.zeros_like(has)
+    for i, (items, counts) in enumerate(docs):
+        for word, count in zip(items, counts, strict=True):
+            at = terms.index(int(word))
+            has[i, at], tf[i, at] = 1, 1 + np.log(count)
+    idf = np.log((len(docs) + 1) / has.sum(axis=0))
+    share = [(has[toxic == c].sum(axis=0) + 2) / ((toxic == c).sum() + 4) for c in (0, 1)]
+    vectors = tf * idf * (0.05 + np.abs(np.log(share[1]) - np.log(share[0])))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors @ vectors.T
+
+
+def test_nearest_are_those_of_all_cosines_over_all_words():
+    docs, toxic, index = made_index(1)
+    assert len(index.ids) > 5 * toxicity.BLOCK
+    assert set(index.terms) == {w for items, _ in docs for w in items}
+    every = cosines_by_definition(docs, toxic)
+    for i, (items, counts) in enumerate(docs[:80]):
+        place, weight, _ = toxicity._vectors(items, counts, np.array([0, len(items)]), index.terms, index.importance)
+        assert len(place) == len(items)
         found, values = toxicity.nearest(index, place, weight)
-        cosines = dense[:, place] @ weight
-        best = np.sort(cosines)[::-1][: toxicity.K]
-        assert values == pytest.approx(best[best > 0])
-        assert cosines[found] == pytest.approx(values)
+        assert values == pytest.approx(np.sort(every[i])[::-1][: toxicity.K], abs=1e-5)
+        assert every[i][index.ids[found]] == pytest.approx(values, abs=1e-5)
+
+
+def test_frequencies_count_all_documents(spark):
+    texts = [("red green",), ("Green green blue",), (None,), ("",), ("blue " * 5000 + "red",)]
+    docs = spark.createDataFrame(texts, "text string").repartition(3)
+    raw = np.frombuffer(b"blue green lilac red", np.uint8)
+    hashes = words(raw, np.array([0, len(raw)]))[0]
+    order = np.argsort(hashes)
+    found, total = toxicity.frequencies(docs, hashes[order])
+    assert total == 5
+    assert found.tolist() == np.array([2, 2, 0, 2])[order].tolist()
+
+
+def test_every_text_with_a_known_word_has_neighbours(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    rows = toxicity.scored(docs, index).select("text", "evidence", "score").collect()
+    filled = [r for r in rows if r["text"] and any(ch.isalnum() for ch in r["text"])]
+    assert sum(bool(r["evidence"]) for r in filled) >= 0.95 * len(filled)
+    assert len({r["score"] for r in filled}) > 3
+
+
+def test_bounds_hold_for_repeated_ids(spark):
+    rows = [(i % 3 if i % 2 else i, f"one two w{i}") for i in range(600)] + [(5, "same text")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id bigint, toxic int")
+    assert len(toxicity.fit(docs, labels, per_class=10, calibration=20).ids) <= 20
+    index = toxicity.fit(docs, labels, postings=50)
+    assert 0 < len(index.weights) <= 50
 
 
 def test_monotone_map():
@@ -51,11 +91,11 @@ def test_held_out_documents(spark):
     bad = ["vile", "rotten", "nasty", "foul"]
     rows, labels = [], []
     for i in range(1500):
-        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 200))]
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 200))]
         toxic = int(rng.random() < 0.12)
         for _ in range(3 * toxic):
-            words.insert(rng.randrange(len(words)), rng.choice(bad))
-        rows.append((i, " ".join(words)))
+            text.insert(rng.randrange(len(text)), rng.choice(bad))
+        rows.append((i, " ".join(text)))
         labels.append((i, toxic))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
