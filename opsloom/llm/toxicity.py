@@ -6,9 +6,10 @@ smoothed log-odds of its presence in toxic against clean examples. No word is le
 matters for the label weigh more than topic and style. Vectors have length 1.
 
 **Index.** Examples are ordered by their heaviest word and cut into blocks; a posting list per word and block holds
-the examples of that block, and with each list goes its largest weight. For a text the largest weights give a bound
-per block. Blocks are read from the largest bound down, until no bound exceeds the K-th similarity found: the K
-nearest examples are exact.
+the examples of that block, and with each list goes its largest weight. The ``DENSE`` most common words, which all
+blocks have, are rows of a matrix instead, multiplied for many texts at once. For a text the matrix and the largest
+weights give a bound per block. Blocks are read from the largest bound down, until no bound exceeds the K-th
+similarity found: the K nearest examples are exact.
 
 **Score.** Neighbours vote with their similarity and the weight of their class; a constant mass votes as the
 share of toxic documents. A monotone map from votes to probabilities is fitted on calibration documents, which are
@@ -16,7 +17,8 @@ no examples. The evidence is the nearest examples.
 
 **Learning.** A bounded sample: about ``PER_CLASS`` documents of either label as examples, with at most ``POSTINGS``
 pairs of a word and an example in all, and ``CALIBRATION`` documents to calibrate, whole texts, chosen by a hash of
-the row. Of them the driver holds the index only: 24 bytes a pair at most. Every document is scored whole.
+the row. Of them the driver holds the index only: 20 bytes a pair at most and the
+matrix of 4 * ``DENSE`` bytes an example. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from opsloom.llm.shared import held_out, ranges, slices, small, spread, stored
 from opsloom.llm.words import weighted, words
 
-PER_CLASS, CALIBRATION, POSTINGS = 2000, 4000, 3_000_000
+PER_CLASS, CALIBRATION, POSTINGS = 1000, 4000, 2_000_000
 FLOOR, SMOOTH = 0.05, 2.0
-K, BLOCK, PRIOR_MASS = 15, 64, 0.05
+K, BLOCK, DENSE, PRIOR_MASS = 15, 64, 1024, 0.05
+#: Texts that are multiplied with the matrix at once.
+_TEXTS = 256
 THRESHOLD = 0.3
 
 
@@ -51,6 +55,8 @@ class Index:
     starts: np.ndarray  # first posting of each cell
     examples: np.ndarray  # of each posting
     weights: np.ndarray  # of each posting
+    dense: np.ndarray  # weights of the most common words: words by examples, blocks filled up
+    dense_at: np.ndarray  # row of each term in it, -1 for the others
     ids: np.ndarray  # doc_id of each example, in index order
     toxic: np.ndarray
     vote: np.ndarray  # weight of each example's class
@@ -77,7 +83,13 @@ def relevance(present: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def build(
-    ids, toxic, docs: list[tuple[np.ndarray, np.ndarray]], shares: tuple[float, float], frequency: np.ndarray, total: int
+    ids,
+    toxic,
+    docs: list[tuple[np.ndarray, np.ndarray]],
+    shares: tuple[float, float],
+    frequency: np.ndarray,
+    total: int,
+    dense: int = DENSE,
 ) -> Index:
     """An index of examples (distinct words and counts per example).
 
@@ -106,6 +118,15 @@ def build(
     rank[order] = np.arange(len(docs))
     example = rank[np.repeat(np.arange(len(docs)), np.diff(ends))]
     every = max(1, -(-len(docs) // BLOCK))
+    held = np.bincount(place, minlength=len(terms))
+    common = np.lexsort((np.arange(len(terms)), -held))[:dense]
+    common = common[held[common] > BLOCK]
+    dense_at = np.full(len(terms), -1, np.int32)
+    dense_at[common] = np.arange(len(common))
+    matrix = np.zeros((len(common), every * BLOCK), np.float32)
+    rare = dense_at[place] < 0
+    matrix[dense_at[place[~rare]], example[~rare]] = weight[~rare]
+    place, weight, example = place[rare], weight[rare], example[rare]
     by = np.lexsort((example, place))
     weight, example = weight[by].astype(np.float32), example[by].astype(np.int32)
     cell = place[by] * every + example // BLOCK
@@ -114,24 +135,40 @@ def build(
     return Index(
         terms, importance, np.searchsorted(cell[starts] // every, np.arange(len(terms) + 1)),
         (cell[starts] % every).astype(np.int32), tops, np.append(starts, len(cell)).astype(np.int32), example, weight,
-        ids[order], toxic[order], vote[order], float(shares[1]), np.array([0.0, 1.0]), np.array([0.0, 1.0]),
+        matrix, dense_at, ids[order], toxic[order], vote[order], float(shares[1]), np.array([0.0, 1.0]), np.array([0.0, 1.0]),
     )
 
 
-def nearest(index: Index, place: np.ndarray, weight: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """The k most similar examples (positions, similarities above 0), ties by position."""
-    n = len(index.ids)
-    sums = np.zeros(n)
-    first = index.cells[place]
-    count = index.cells[place + 1] - first
-    cell, own = ranges(first, count), np.repeat(weight, count)
+def nearest(index: Index, place: np.ndarray, weight: np.ndarray, bounds: np.ndarray, k: int = K) -> Iterator[tuple]:
+    """For each text (of words between ``bounds``) the k most similar examples: positions, similarities above 0.
+
+    Ties go by position.
+    """
+    for first in range(0, len(bounds) - 1, _TEXTS):
+        ends = bounds[first : first + _TEXTS + 1]
+        part = slice(ends[0], ends[-1])
+        row = index.dense_at[place[part]]
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        query = np.zeros((len(ends) - 1, len(index.dense)), np.float32)
+        query[text[row >= 0], row[row >= 0]] = weight[part][row >= 0]
+        base = query @ index.dense
+        for i in range(len(ends) - 1):
+            own = slice(ends[i], ends[i + 1])
+            yield _nearest(index, place[own], weight[own], base[i].astype(float), k)
+
+
+def _nearest(index: Index, place: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int) -> tuple:
+    """The above for one text; ``base`` is what the matrix gives for each example."""
+    cells = index.cells[place + 1] - index.cells[place]
+    cell, own = ranges(index.cells[place], cells), np.repeat(weight, cells)
     block = index.blocks[cell]
-    bound = np.bincount(block, own * index.tops[cell], max(1, -(-n // BLOCK)))
+    bound = np.bincount(block, own * index.tops[cell], len(base) // BLOCK) + base.reshape(-1, BLOCK).max(axis=1)
     order = np.argsort(-bound, kind="stable")
-    least, at, step = 0.0, 0, 4
+    sums = np.zeros(len(base))
+    least, at, step = 0.0, 0, 8
     while at < len(order):
         chosen = order[at : at + step]
-        chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-9)]
+        chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-6)]
         if not len(chosen):
             break
         taken = np.zeros(len(bound), bool)
@@ -140,11 +177,12 @@ def nearest(index: Index, place: np.ndarray, weight: np.ndarray, k: int = K) ->
         start = index.starts[cell[mine]]
         size = index.starts[cell[mine] + 1] - start
         posting = ranges(start, size)
-        sums += np.bincount(index.examples[posting], index.weights[posting] * np.repeat(own[mine], size), n)
-        at, step = at + step, 2 * step
-        if n > k:
-            least = np.partition(sums, n - k)[n - k]
-    hit = np.flatnonzero(sums > 0)
+        sums += np.bincount(index.examples[posting], index.weights[posting] * np.repeat(own[mine], size), len(base))
+        sums += np.where(np.repeat(taken, BLOCK), base, 0)
+        at, step = at + step, 3 * step
+        if len(base) > k:
+            least = np.partition(sums, len(base) - k)[len(base) - k]
+    hit = np.flatnonzero((sums > 0) & (sums >= least))
     best = hit[np.lexsort((hit, -sums[hit]))[:k]]
     return best, sums[best]
 
@@ -271,11 +309,10 @@ def fit(
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            raw = []
-            for bag, count in zip(batch.column("items"), batch.column("counts"), strict=True):
-                bag, count = np.asarray(bag.values, np.int64).view(np.uint64), np.asarray(count.values, np.int64)
-                place, weight, _ = _vectors(bag, count, np.array([0, len(bag)]), index.terms, index.importance)
-                raw.append(votes(index, *nearest(index, place, weight)))
+            bags, counts = batch.column("items"), batch.column("counts")
+            bounds = np.concatenate(([0], np.cumsum(bags.value_lengths().to_numpy()))).astype(np.int64)
+            flat = bags.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy()
+            raw = [votes(index, *found) for found in nearest(index, *_vectors(*flat, bounds, index.terms, index.importance))]
             columns = [batch.column("key"), batch.column("toxic"), pa.array(raw, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "toxic", "raw"])
 
@@ -310,9 +347,7 @@ def scored(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
                 mine = index.terms[known] == hashes if len(index.terms) else np.zeros(len(hashes), bool)
                 kept = np.concatenate(([0], np.cumsum(mine)))[per_text]
                 vectors = _vectors(*weighted(hashes[mine], kept), index.terms, index.importance)
-                for i in range(len(bounds) - 1):
-                    part = slice(vectors[2][i], vectors[2][i + 1])
-                    found, values = nearest(index, vectors[0][part], vectors[1][part])
+                for found, values in nearest(index, *vectors):
                     score.append(votes(index, found, values))
                     seen.append(index.ids[found[:evidence]].tolist())
             score = np.interp(score, index.raw, index.probability)

@@ -9,7 +9,7 @@ from opsloom.llm.shared import held_out
 from opsloom.llm.words import words
 
 
-def made_index(seed, n=700):
+def made_index(seed, n=700, dense=toxicity.DENSE):
     rng = np.random.default_rng(seed)
     docs, toxic = [], rng.integers(0, 2, n)
     for t in toxic:
@@ -17,7 +17,7 @@ def made_index(seed, n=700):
         items = np.unique(np.concatenate((items, rng.integers(100, 130, 6)))).astype(np.uint64)
         docs.append((items, rng.integers(1, 4, len(items))))
     seen = np.bincount(np.concatenate([items for items, _ in docs]).astype(int))
-    return docs, toxic, toxicity.build(np.arange(n), toxic, docs, (0.9, 0.1), seen[seen > 0], n)
+    return docs, toxic, toxicity.build(np.arange(n), toxic, docs, (0.9, 0.1), seen[seen > 0], n, dense)
 
 
 def cosines_by_definition(docs, toxic):
@@ -36,17 +36,21 @@ def cosines_by_definition(docs, toxic):
     return vectors @ vectors.T
 
 
-def test_nearest_are_those_of_all_cosines_over_all_words():
-    docs, toxic, index = made_index(1)
-    assert len(index.ids) > 5 * toxicity.BLOCK
+@pytest.mark.parametrize("dense", [0, 20, toxicity.DENSE])
+def test_nearest_are_those_of_all_cosines_over_all_words(dense):
+    docs, toxic, index = made_index(1, dense=dense)
+    assert len(index.ids) > 5 * toxicity.BLOCK and len(index.dense) <= dense
     assert set(index.terms) == {w for items, _ in docs for w in items}
     every = cosines_by_definition(docs, toxic)
-    for i, (items, counts) in enumerate(docs[:80]):
-        place, weight, _ = toxicity._vectors(items, counts, np.array([0, len(items)]), index.terms, index.importance)
-        assert len(place) == len(items)
-        found, values = toxicity.nearest(index, place, weight)
+    items, counts = (np.concatenate(x) for x in zip(*docs, strict=True))
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x, _ in docs])))
+    place, weight, ends = toxicity._vectors(items, counts, bounds, index.terms, index.importance)
+    assert (ends == bounds).all()
+    found = list(toxicity.nearest(index, place, weight, ends))
+    assert len(found) == len(docs) > toxicity._TEXTS
+    for i, (at, values) in enumerate(found):
         assert values == pytest.approx(np.sort(every[i])[::-1][: toxicity.K], abs=1e-5)
-        assert every[i][index.ids[found]] == pytest.approx(values, abs=1e-5)
+        assert every[i][index.ids[at]] == pytest.approx(values, abs=1e-5)
 
 
 def test_frequencies_count_all_documents(spark):
