@@ -13,6 +13,7 @@ blocks in front; entries that agree in front are compared in full. This finds ev
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -117,51 +118,47 @@ def _compared(pairs: list[tuple]) -> pa.RecordBatch:
 def with_next(docs: DataFrame) -> DataFrame:
     """The rows above for every document and the next one in descending doc_id; after the last comes the first.
 
-    Ids are cut into ranges at quantiles, one sort per range, and each range gets a guest: the first document
-    of the range below, or of all for the lowest. So no sort holds all rows and texts are shuffled once. Rows of
-    equal doc_id are ordered by a hash of the text; null ids come last; a null text is empty.
+    Rows are cut into ranges of (doc_id, hash of the text), one sort per range, and each range gets a guest: the
+    first document of the range below, or of all for the lowest. So no sort holds all rows, also where many have no
+    id or the same one, and texts are shuffled once. Rows of equal doc_id are ordered by the hash of the text; null
+    ids come last; a null text is empty. Rows that repeat id and text are in one range.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    ids = docs.select(key.alias("key"))
+    ids = docs.select(key.alias("key"), text_key().alias("tie"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [(i + 1) / parts for i in range(parts - 1)]
-    cuts = ids.agg(F.percentile_approx("key", F.array(*map(F.lit, cuts)), F.lit(20 * parts))).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.searchsorted(cuts, batch.column("key").to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "place"])
-
-    placed = ids.mapInArrow(place, "key bigint, place int")
-    tops = dict(placed.groupBy("place").agg(F.max("key")).collect())  # a row per range
-    ranges = sorted(tops)
-    host = {tops[below]: above for below, above in zip(ranges, ranges[1:], strict=False)}
-    if ranges:
-        host_of_first = ranges[0]
-        first = tops[ranges[-1]]
+    ranged = ids.repartitionByRange(parts, "key", "tie").groupBy(F.spark_partition_id())
+    ranged = ranged.agg(F.max(F.struct("key", "tie")).alias("top")).select("top.*")
+    tops = sorted((r["key"], bytes(r["tie"])) for r in ranged.collect())  # a row per range
+    host = {top: [i + 1] for i, top in enumerate(tops[:-1])}
+    if tops:
+        host.setdefault(tops[-1], []).append(0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in place(batches):
-            rows = batch.append_column("guest", pa.array(np.zeros(len(batch), bool)))
-            yield rows
-            keys = rows.column("key").to_pylist()
-            guests = [(i, host[k]) for i, k in enumerate(keys) if k in host]
-            guests += [(i, host_of_first) for i, k in enumerate(keys) if k == first]
+        sent = set()  # rows that repeat need one guest a task
+        for batch in batches:
+            rows = list(zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist(), strict=True))
+            guests = []
+            for i, row in enumerate(rows):
+                if row in host and row not in sent:
+                    sent.add(row)
+                    guests += [(i, place) for place in host[row]]
+            place = pa.array([bisect_left(tops, row) for row in rows], pa.int32())
+            names = [*batch.schema.names, "place", "guest"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, place, pa.array([False] * len(rows))], names=names)
             if guests:
-                part = rows.take(pa.array([i for i, _ in guests]))
-                part = part.set_column(part.schema.get_field_index("place"), "place", pa.array([p for _, p in guests], pa.int32()))
-                yield part.set_column(part.schema.get_field_index("guest"), "guest", pa.array([True] * len(guests)))
+                part = batch.take(pa.array([i for i, _ in guests]))
+                place = pa.array([place for _, place in guests], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, place, pa.array([True] * len(guests))], names=names)
 
-    if not ranges:
+    if not tops:
         rows = docs.select(F.lit(0).alias("place"), F.lit(True).alias("guest"), F.col("doc_id").cast("bigint"), "text").limit(0)
     else:
         text = F.coalesce("text", F.lit("")).alias("text")
         rows = docs.select(F.col("doc_id").cast("bigint"), text, key.alias("key"), text_key().alias("tie"))
         rows = rows.mapInArrow(deal, "doc_id bigint, text string, key bigint, tie binary, place int, guest boolean")
         # Of the guests of a range the first in order is the next document; guests follow the hosts.
-        rows = rows.repartition("place").sortWithinPartitions("place", "guest", F.desc("key"), "tie")
+        rows = rows.repartition("place").sortWithinPartitions("place", "guest", F.desc("key"), F.desc("tie"))
         rows = rows.select("place", "guest", "doc_id", "text")
     return rows.mapInArrow(
         _pairs,

@@ -1,11 +1,13 @@
 import hashlib
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import sentence
+from pyspark.sql import functions as F
 
 from opsloom.llm import fingerprints as fp
 from opsloom.llm.shared import slices
@@ -97,3 +99,26 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert by_id[9]["n_near"] == 5 - 1 and by_id[None]["n_near"] is None
     assert fp.fingerprinted(odd_docs).count() == len(odd_rows)
     assert fp.edited_and_next(no_docs).count() == 0
+
+
+def test_documents_without_id_are_dealt_over_ranges(spark):
+    rows = [(None if i % 3 == 0 else i, f"text number {i}") for i in range(900)] + [(7, "same")] * 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    placed = fp.with_next(docs)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tasks would be put together
+    try:
+        found = placed.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == len(rows)
+    tasks = {}
+    for row in found:
+        if row["doc_id"] is None:
+            tasks[row["part"]] = tasks.get(row["part"], 0) + 1
+    assert len(tasks) > 2 and max(tasks.values()) < 200
+    order = sorted(((-(1 << 63) if i is None else i, hashlib.md5(t.encode()).digest(), t) for i, t in rows), reverse=True)
+    edits = Counter(
+        hashlib.sha256(fp.edited(t, order[(at + 1) % len(order)][2]).encode()).hexdigest()
+        for at, (_, _, t) in enumerate(order)
+    )
+    assert edits == Counter(r["edited_sha256"] for r in found)
