@@ -60,13 +60,18 @@ def _state_partitions(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.shuffle.partitions")
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Runs a stream until its input is used up and returns what it wrote, as a batch table."""
+def run_available(stream: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream until its input is used up and returns what it wrote, as a batch table.
+
+    ``settings`` are settings of the session that the stream starts with, whatever the session has.
+    """
     spark = stream.sparkSession
     folder = shared_dir(spark, label)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", _state_partitions(spark))
+    settings = {"spark.sql.shuffle.partitions": _state_partitions(spark), **(settings or {})}
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -76,7 +81,8 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
             .start()
         )
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 

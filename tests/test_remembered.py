@@ -3,6 +3,7 @@
 import pandas as pd
 import pytest
 
+import __spark_entry__ as contract
 from opsloom.streaming import remembered, runner
 
 SCHEMA = "message_id STRING, body STRING, attributes MAP<STRING, STRUCT<data_type: STRING, binary_value: BINARY>>, n BIGINT"
@@ -66,3 +67,14 @@ def test_repeats_go_before_the_shuffle_and_odd_sizes():
     assert [f["m_payload"].tolist() for f in remembered._once(iter([frame]))] == [["first", "b"]]
     with pytest.raises(ValueError):
         remembered.tail_queue_bounded(None, "n", remembered=3, buckets=4)
+
+
+def test_the_query_runs_in_a_session_with_another_state_store(spark):
+    key, other = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    plain = spark.newSession()
+    plain.conf.set(key, other)
+    folder = "/root/testdata/sf0.001"
+    got = contract.queries()["tail_queue_bounded"](plain, folder).collect()
+    wanted = [f"msg-{r.event_id}" for r in spark.read.parquet(f"{folder}/events.parquet").select("event_id").collect()]
+    assert sorted(r.message_id for r in got) == sorted(wanted)
+    assert plain.conf.get(key) == other
