@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from opsloom import schemas
 from opsloom.operators import cold_starts, distribution
 from opsloom.operators.distribution import distribution_stats
+from opsloom.plans.views import SCHEMAS
 from opsloom.sources import filters
 from opsloom.sources.logs import group_names, missing_groups, scan_logs
 
@@ -203,3 +205,16 @@ def test_only_the_days_and_region_of_the_range_are_read(spark, logs, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     filters_shown = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "date" in filters_shown and "region" in filters_shown
+
+
+def test_missing_groups_follow_from_the_logs(spark, tmp_path):
+    """Every third function has a line in the logs, the others are missing, whatever their keys are."""
+    for name, rows in {
+        "region": [(i, f"R{i}") for i in range(5)],
+        "customer": [(i, f"Customer#{i:09d}", 0, 1.0, "BUILDING") for i in range(21)],
+        "events": [(i, datetime(2024, 1, 1 + i), i, "view", 1.0, "{}") for i in range(0, 21, 3)],
+    }.items():
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = contract.queries()["missing_log_groups"](spark, str(tmp_path)).collect()
+    wanted = [(f"R{i % 5}", f"/aws/lambda/Customer#{i:09d}") for i in range(21) if i % 3]
+    assert sorted((r.region, r.log_group) for r in got) == sorted(wanted)
