@@ -1,11 +1,16 @@
+from datetime import datetime
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from opsloom import schemas
 from opsloom.constants import SCAN_REGIONS
 from opsloom.operators import inventory, resolve
 from opsloom.operators.versions import latest_version, sorted_versions, version_drift
+from opsloom.plans import views
+from opsloom.plans.views import SCHEMAS
 from opsloom.sources import tables
 from opsloom.sources.regions import read_regions, region_paths
 
@@ -215,3 +220,15 @@ def test_recent_streams(spark):
     df = inventory.recent_log_streams(logs.withColumn("ts", F.col("t").cast("timestamp")), 3)
     assert [r.log_stream for r in df.orderBy("position").collect()] == ["s7", "s6", "s5"]
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recent_streams_of_a_silent_group(spark, tmp_path):
+    for name, rows in {
+        "region": [(i, f"R{i}") for i in range(5)],
+        "events": [(i, datetime(2024, 1, day), user, "view", 1.0, "{}") for i, (user, day) in enumerate([(1, 2), (1, 3), (2, 20)])],
+    }.items():
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = contract.queries()["recent_log_streams"](spark, str(tmp_path)).collect()
+    assert sorted((r.region, r.log_stream, r.position) for r in got) == [("R1", "stream-0", 2), ("R1", "stream-1", 1), ("R2", "stream-2", 1)]
+    logs = views.logs(views.events(spark, str(tmp_path)))
+    assert [r.log_stream for r in inventory.recent_log_streams(logs, 50, "2024-01-08").collect()] == ["stream-2"]
