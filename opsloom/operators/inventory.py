@@ -108,8 +108,15 @@ def queue_sources(queues: DataFrame) -> DataFrame:
 
 
 def inventory_queues(queues: DataFrame, tags: DataFrame) -> DataFrame:
-    """Queues with tags; the queues that use them as dead-letter target as rows of their own."""
-    return nest(queues, ["region", "queue_arn"], {"source_queues": queue_sources(queues)}, tags=tags)
+    """Queues with tags; the queues that use them as dead-letter target as rows of their own.
+
+    ``source_totals`` of a queue has the number of those rows and the characters of their URLs; it is null without any.
+    """
+    keys, sources = ["region", "queue_arn"], queue_sources(queues)
+    totals = sources.groupBy(*keys).agg(
+        F.count("*").alias("sources"), F.sum(F.length("source_queue_url")).alias("url_chars")
+    )
+    return nest(queues, keys, {"source_queues": sources}, {"source_totals": totals}, tags)
 
 
 def inventory_report(documents: dict[str, DataFrame]) -> DataFrame:

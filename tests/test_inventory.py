@@ -232,3 +232,15 @@ def test_recent_streams_of_a_silent_group(spark, tmp_path):
     assert sorted((r.region, r.log_stream, r.position) for r in got) == [("R1", "stream-0", 2), ("R1", "stream-1", 1), ("R2", "stream-2", 1)]
     logs = views.logs(views.events(spark, str(tmp_path)))
     assert [r.log_stream for r in inventory.recent_log_streams(logs, 50, "2024-01-08").collect()] == ["stream-2"]
+
+
+def test_queues_have_the_totals_of_their_sources(spark):
+    target = '{"deadLetterTargetArn":"arn:dlq"}'
+    rows = [("r", "arn:a", "url/a", target), ("r", "arn:b", "url/bb", target), ("r", "arn:dlq", "url/dlq", None)]
+    odd = [(None, "arn:c", "url/c", target), (None, "arn:dlq", "url/d", None), ("r", "arn:e", "url/e", '{"deadLetterTargetArn":"arn:gone"}')]
+    queues = spark.createDataFrame([*rows, *odd], "region STRING, queue_arn STRING, queue_url STRING, redrive_policy STRING")
+    tags = spark.createDataFrame([], "region STRING, queue_arn STRING, pos INT, key STRING, value STRING")
+    got = inventory.inventory_queues(queues, tags).collect()
+    totals = {(r.region, r.queue_arn): tuple(r.source_totals) for r in got if r.source_totals}
+    assert totals == {("r", "arn:dlq"): (2, 11), (None, "arn:dlq"): (1, 5)}
+    assert sorted(r.kind for r in got) == ["resource"] * 6 + ["source_queues"] * 3
