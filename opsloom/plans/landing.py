@@ -35,8 +35,9 @@ def _in_parts(rows: DataFrame, path: str) -> None:
 def part_name(path: Column | str) -> Column:
     """``<source>/<part>`` of the path of a file that was landed so, and the name of any other."""
     path = F.col(path) if isinstance(path, str) else path
-    found = F.regexp_extract(path, r"([^/]*)/part=(\d+)/[^/]*$", 1)
-    part = F.regexp_extract(path, r"([^/]*)/part=(\d+)/[^/]*$", 2)
+    # Only the end of the path: a search that may begin anywhere tries every sign of it.
+    end = F.substring_index(path, "/", -3)
+    found, part = [F.regexp_extract(end, r"^([^/]*)/part=(\d+)/[^/]*$", i) for i in (1, 2)]
     return F.when(found == "", F.element_at(F.split(path, "/"), -1)).otherwise(F.concat(found, F.lit("/"), part))
 
 

@@ -15,7 +15,7 @@ import csv
 import io
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -32,8 +32,10 @@ from opsloom.sources.objects import COMPRESSION_SUFFIX
 from opsloom.sources.remote import entries, named, opened
 
 SPLIT_BYTES = 64 << 20
-#: Bytes that a task reads at a time, and bytes of text in a batch of lines.
-_READ, _BATCH = 1 << 20, 4 << 20
+#: Bytes of a file that a task reads in one range after the other, where ranges are smaller.
+TASK_BYTES = 16 << 20
+#: Bytes that a task reads at a time, those behind the end of a range, and bytes of text in a batch of lines.
+_READ, _BEHIND, _BATCH = 1 << 20, 16 << 10, 4 << 20
 LISTING = "path STRING, size BIGINT, modified TIMESTAMP"
 _LEVEL = "path STRING, size BIGINT, modified TIMESTAMP, is_folder BOOLEAN, error STRING"
 
@@ -104,11 +106,12 @@ def _range_lines(path: str, start: int, end: int | None) -> Iterator[tuple[int,
         # The byte before tells whether a line begins right here.
         source.seek(max(start - 1, 0))
         at = max(start - 1, 0)
-    skipping = at < start
+    skipping, reached = at < start, at
     held: list[bytes] = []  # the line so far; only what is new is searched for its end
     with source:
-        while block := source.read(_READ):
-            first = 0
+        # Of a range no more is read than it has, and then the rest of its last line.
+        while block := source.read(_READ if end is None else min(_READ, max(end - reached, _BEHIND))):
+            first, reached = 0, reached + len(block)
             while (newline := block.find(b"\n", first)) >= 0:
                 held.append(block[first:newline])
                 line, held, first = b"".join(held), [], newline + 1
@@ -118,7 +121,8 @@ def _range_lines(path: str, start: int, end: int | None) -> Iterator[tuple[int,
                     yield at, line.removesuffix(b"\r")
                 at, skipping = at + len(line) + 1, False
             held.append(block[first:])
-            if end is not None and at >= end and not skipping:
+            # Of a line that goes through a whole range nothing begins in it.
+            if end is not None and (reached if skipping else at) >= end:
                 return
     line = b"".join(held)
     if line and not skipping and (end is None or at < end):
@@ -128,29 +132,31 @@ def _range_lines(path: str, start: int, end: int | None) -> Iterator[tuple[int,
 _LINES = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("line", pa.string()), ("error", pa.string())])
 
 
-def _batched(path: str, found: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded size, and a last row with the error if the reading ends with one."""
-    offsets, lines, size, error = [], [], 0, None
+def _batched(path: str, parts: Iterable[Iterator[tuple[int, str]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size with the lines of all parts, and a row with the error behind each part that ends with one."""
+    offsets, lines, errors, size = [], [], [], 0
 
-    def batch(errors: list[str | None]) -> pa.RecordBatch:
+    def batch() -> pa.RecordBatch:
         columns = [[path] * len(offsets), offsets, lines, errors]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _LINES.types, strict=True)], schema=_LINES)
 
-    try:
-        for offset, line in found:
-            offsets.append(offset)
-            lines.append(line)
-            size += len(line) + 64
-            if size >= _BATCH:
-                yield batch([None] * len(lines))
-                offsets, lines, size = [], [], 0
-    except (OSError, EOFError, ValueError, pa.ArrowException, csv.Error) as problem:
-        error = f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else 'unreadable'}"
-    if lines:
-        yield batch([None] * len(lines))
-    if error:
-        offsets, lines = [None], [None]
-        yield batch([error])
+    def add(offset: int | None, line: str | None, error: str | None) -> int:
+        offsets.append(offset)
+        lines.append(line)
+        errors.append(error)
+        return len(line or error or "") + 64
+
+    for part in parts:
+        try:
+            for offset, line in part:
+                size += add(offset, line, None)
+                if size >= _BATCH:
+                    yield batch()
+                    offsets, lines, errors, size = [], [], [], 0
+        except (OSError, EOFError, ValueError, pa.ArrowException, csv.Error) as problem:
+            size += add(None, None, f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else 'unreadable'}")
+    if offsets:
+        yield batch()
 
 
 def _spread(rows: DataFrame, tasks: int, *by: str) -> DataFrame:
@@ -160,14 +166,25 @@ def _spread(rows: DataFrame, tasks: int, *by: str) -> DataFrame:
 
 
 def _ranges(files: DataFrame, split_bytes: int, whole: bool = False) -> DataFrame:
-    """``(path, start, end)``: stretches of bytes; compressed files, and all with ``whole``, are one stretch."""
-    cut = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
+    """``(path, start, end, step)``: stretches of bytes, each of which is read in ranges of ``step`` bytes.
+
+    A stretch has as many ranges as ``TASK_BYTES`` hold, so the number of tasks does not grow when ranges get smaller.
+    Compressed files, and all with ``whole``, are one range without end.
+    """
+    stretch = max(TASK_BYTES // split_bytes, 1) * split_bytes
+    cut = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(stretch).cast("bigint"))
     one = F.col("path").rlike(r"\.(gz|bz2)$") | F.lit(whole)
     starts = F.when(one, F.array(F.lit(0).cast("bigint"))).otherwise(cut)
-    ranges = files.where(F.col("size") > 0).select("path", F.explode(starts).alias("start"), one.alias("one"))
-    ranges = ranges.select("path", "start", F.when(~F.col("one"), F.col("start") + split_bytes).alias("end"))
+    ranges = files.where(F.col("size") > 0).select("path", "size", F.explode(starts).alias("start"), one.alias("one"))
+    end = F.when(~F.col("one"), F.least(F.col("start") + stretch, "size"))
+    ranges = ranges.select("path", "start", end.alias("end"), F.lit(split_bytes).cast("bigint").alias("step"))
     total = files.agg(F.sum("size")).first()[0] or 0
-    return _spread(ranges, -(-total // split_bytes), "path", "start")
+    return _spread(ranges, -(-total // stretch), "path", "start")
+
+
+def _steps(start: int, end: int | None, step: int) -> Iterator[tuple[int, int | None]]:
+    """The ranges of a stretch; the last one goes on to its full length, as a file may have grown."""
+    return iter([(start, None)]) if end is None else ((at, at + step) for at in range(start, end, step))
 
 
 def _read_ranges(
@@ -175,8 +192,8 @@ def _read_ranges(
 ) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from _batched(path, read(path, start, end))
+            for path, start, end, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _batched(path, (read(path, *ends) for ends in _steps(start, end, step)))
 
     return ranges.mapInArrow(run, "path STRING, offset BIGINT, line STRING, error STRING")
 

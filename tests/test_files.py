@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from opsloom.commands import run
 from opsloom.operators.objects import query_objects, select_objects
 from opsloom.operators.packing import pack_batches
+from opsloom.plans.landing import part_name
 from opsloom.sources import files, lines
 from opsloom.sources.files import list_files, read_lines, read_records
 
@@ -92,6 +93,66 @@ def test_long_lines_and_small_reads(tmp_path, monkeypatch):
         assert parts == whole
 
 
+def test_small_ranges_do_not_make_more_tasks(spark, tmp_path):
+    content = b"".join(b"line %d\n" % i * (i % 4) + b"\n" * (i % 3) for i in range(3000))
+    (tmp_path / "t.txt").write_bytes(content)
+    found, _ = list_files(spark, f"{tmp_path}/t.txt")
+    rows = read_lines(found, 16)
+    assert rows.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < len(content) // 16
+    whole = read_lines(found, 1 << 20).collect()
+    assert sorted(rows.collect(), key=lambda r: r["offset"]) == sorted(whole, key=lambda r: r["offset"])
+
+
+def test_a_stretch_of_ranges_in_more_than_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TASK_BYTES", 100)
+    content = b"".join(b"%d\r\n" % i * (i % 5) for i in range(400)) + b"x" * 250 + b"\nend"
+    (tmp_path / "t.txt").write_bytes(content)
+    found, _ = list_files(spark, f"{tmp_path}/t.txt")
+    whole = [(at, line.decode()) for at, line in files._range_lines(f"{tmp_path}/t.txt", 0, None)]
+    for split in (7, 30, 100, 101):
+        rows = read_lines(found, split)
+        assert rows.rdd.getNumPartitions() > 1
+        assert sorted((r["offset"], r["line"]) for r in rows.collect()) == whole
+
+
+def test_a_range_reads_little_more_than_it_has(tmp_path, monkeypatch):
+    read = []
+
+    class Counting:
+        def __init__(self, source):
+            self.source = source
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.source.close()
+
+        def seek(self, at):
+            self.source.seek(at)
+
+        def read(self, n):
+            read.append(len(block := self.source.read(n)))
+            return block
+
+    class System:
+        open_input_file = staticmethod(lambda path: Counting(open(path, "rb")))
+
+    (tmp_path / "t").write_bytes(b"ab\n" * 40000 + b"c" * 600000 + b"\n" + b"de\n" * 100)
+    monkeypatch.setattr(files, "opened", lambda path: (System, path))
+    for start in (0, 30000, 300000):  # short lines, and inside of the long line
+        read.clear()
+        found = [*files._range_lines(f"{tmp_path}/t", start, start + 1000)]
+        assert len(found) == (0 if start == 300000 else 334)
+        assert sum(read) <= 1000 + 2 * files._BEHIND
+
+
+def test_names_of_landed_parts(spark):
+    texts = {"/t/source=a/part=1/part-0.txt": "source=a/1", "source=b/part=12/x": "source=b/12", "/t/part=1a/x": "x", "part=1/y": "y", "//part=1/f": "f", "/t/s/part=3/u/z": "z"}
+    rows = spark.createDataFrame([(p,) for p in texts], "file STRING")
+    assert {r["file"]: r["name"] for r in rows.select("file", part_name("file").alias("name")).collect()} == texts
+
+
 def test_files_that_break_off_give_what_is_there_and_an_error(spark, tmp_path):
     good = b"".join(b'{"id": %d}\n' % i for i in range(2000))
     (tmp_path / "a.json.gz").write_bytes(gzip.compress(good))
