@@ -42,7 +42,7 @@ def scan_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
     files, unlisted = _found(spark, path)
     folder = shared_dir(spark, "lines")
     rows = read_lines(files, split_bytes).where(F.col("error").isNotNull() | (F.length("line") > 0))
-    rows.write.parquet(folder)
+    rows.write.option("compression", "zstd").parquet(folder)
     rows = spark.read.schema(rows.schema).parquet(folder)
     failed = rows.where(F.col("error").isNotNull()).select("path", "error").unionByName(unlisted).take(5)
     if failed:

@@ -1,9 +1,13 @@
 """Listing and reading of files as they lie, with error rows; lines known by the byte they begin at."""
 
 import bz2
+import glob
 import gzip
 import json
+import pathlib
 import random
+import tempfile
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from opsloom.commands import run
 from opsloom.operators.objects import query_objects, select_objects
 from opsloom.operators.packing import pack_batches
-from opsloom.plans.landing import part_name
+from opsloom.plans.landing import land_texts, part_name
 from opsloom.sources import files, lines
 from opsloom.sources.files import list_files, read_lines, read_records
 
@@ -147,6 +151,21 @@ def test_a_range_reads_little_more_than_it_has(tmp_path, monkeypatch):
         assert sum(read) <= 1000 + 2 * files._BEHIND
 
 
+def test_landing_leaves_no_shuffled_texts(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.sparkContext._jvm.System.gc()
+    blocks = lambda: {str(p) for d in glob.glob(f"{tempfile.gettempdir()}/blockmgr-*") for p in pathlib.Path(d).rglob("shuffle_*.data")}
+    earlier = blocks()
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("text "), 50).alias("text"))
+    land_texts(docs, f"{tmp_path}/t")
+    until = time.time() + 20
+    while blocks() - earlier and time.time() < until:
+        time.sleep(0.2)
+    assert not blocks() - earlier and spark.conf.get(key) == before
+    assert lines.scan_lines(spark, f"{tmp_path}/t").groupBy(part_name("file").alias("f")).count().count() == 12
+
+
 def test_names_of_landed_parts(spark):
     texts = {"/t/source=a/part=1/part-0.txt": "source=a/1", "source=b/part=12/x": "source=b/12", "/t/part=1a/x": "x", "part=1/y": "y", "//part=1/f": "f", "/t/s/part=3/u/z": "z"}
     rows = spark.createDataFrame([(p,) for p in texts], "file STRING")
