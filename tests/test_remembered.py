@@ -1,6 +1,10 @@
 """Tails whose memory is bounded by number."""
 
+import random
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as contract
@@ -78,3 +82,58 @@ def test_the_query_runs_in_a_session_with_another_state_store(spark):
     wanted = [f"msg-{r.event_id}" for r in spark.read.parquet(f"{folder}/events.parquet").select("event_id").collect()]
     assert sorted(r.message_id for r in got) == sorted(wanted)
     assert plain.conf.get(key) == other
+
+
+class State:
+    """Values in memory as Spark would keep them: one row per key of a state variable."""
+
+    def __init__(self):
+        self.rows, self.written = {}, 0
+
+    def getValueState(self, name, schema, ttl):
+        return self
+
+    def getMapState(self, name, schema, values, ttl):
+        return self
+
+    def get(self):
+        return self.rows.get(None)
+
+    def update(self, value):
+        self.rows[None] = value
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+        self.written += 1
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 4, 5, 17, 40])
+def test_pages_of_a_large_memory(monkeypatch, capacity):
+    monkeypatch.setattr(remembered, "PAGE", 4)
+    monkeypatch.setattr(remembered, "SLICE", 7)
+    monkeypatch.setattr(remembered, "HELD_BYTES", 100)
+    rng, state, bucket = random.Random(capacity), State(), remembered._Bucket(capacity, None)
+    bucket.init(state)
+    batches = [[(f"m{rng.randrange(60)}", f"b{i}") for i in range(rng.choice([1, 5, 50]))] for _ in range(40)]
+    got = []
+    for rows in batches:
+        frame = pd.DataFrame({"m_id": [m for m, _ in rows], "m_order": [float(n) for n in range(len(rows))], "m_payload": [b for _, b in rows]})
+        frame = frame.sample(frac=1, random_state=rng.randrange(99))
+        for found in bucket.handleInputRows((0,), iter([frame.iloc[:3], frame.iloc[3:]]), None):
+            got += found.itertuples(index=False, name=None)
+        # The newest ids, and the pages before them that the memory reaches.
+        assert len(state.rows) <= 1 + (capacity > 4) * (capacity // 4 + 2)
+    assert sorted(got) == sorted(by_hand(batches, capacity))
+    # A page is written once, whatever the number of batches.
+    assert state.written <= (len(got) // 4 if capacity > 4 else 0)
+
+
+def test_messages_without_a_turn_come_last():
+    order = np.array([2.0, np.nan, 1.0, 2.0, np.nan])
+    assert remembered._in_turn(pa.array(["b", "z", "c", "a", "y"]), order).to_pylist() == [2, 3, 0, 4, 1]
