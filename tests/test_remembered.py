@@ -118,14 +118,16 @@ def test_pages_of_a_large_memory(monkeypatch, capacity):
     monkeypatch.setattr(remembered, "PAGE", 4)
     monkeypatch.setattr(remembered, "SLICE", 7)
     monkeypatch.setattr(remembered, "HELD_BYTES", 100)
+    monkeypatch.setattr(remembered, "_ROWS_BYTES", 300)
+    monkeypatch.setattr(remembered, "_once", iter)
     rng, state, bucket = random.Random(capacity), State(), remembered._Bucket(capacity, None)
     bucket.init(state)
     batches = [[(f"m{rng.randrange(60)}", f"b{i}") for i in range(rng.choice([1, 5, 50]))] for _ in range(40)]
     got = []
     for rows in batches:
-        frame = pd.DataFrame({"m_id": [m for m, _ in rows], "m_order": [float(n) for n in range(len(rows))], "m_payload": [b for _, b in rows]})
+        frame = pd.DataFrame({"m_id": [m for m, _ in rows], "m_order": [float(n) for n in range(len(rows))], "m_payload": [b for _, b in rows], "m_bucket": 0})
         frame = frame.sample(frac=1, random_state=rng.randrange(99))
-        for found in bucket.handleInputRows((0,), iter([frame.iloc[:3], frame.iloc[3:]]), None):
+        for found in bucket.handleInputRows((0,), remembered._by_bucket(iter([frame.iloc[:3], frame.iloc[3:]])), None):
             got += found.itertuples(index=False, name=None)
         # The newest ids, and the pages before them that the memory reaches.
         assert len(state.rows) <= 1 + (capacity > 4) * (capacity // 4 + 2)
