@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.session import shuffles_dropped
 from opsloom.sources.remote import opened
 
 
@@ -29,14 +30,8 @@ def _in_parts(rows: DataFrame, path: str) -> None:
     """``source, doc_id, value`` rows as text, one file per source and part in the order of doc_id."""
     rows = rows.select("source", (F.col("doc_id") % PARTS).alias("part"), "doc_id", "value")
     rows = rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").drop("doc_id")
-    # The shuffled texts are not kept beside their files until the driver collects its garbage.
-    conf, cleanup = rows.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(cleanup)
-    conf.set(cleanup, "true")
-    try:
+    with shuffles_dropped(rows.sparkSession):
         rows.write.partitionBy("source", "part").text(path)
-    finally:
-        conf.set(cleanup, before)
 
 
 def part_name(path: Column | str) -> Column:
